@@ -3,8 +3,6 @@
 import base64
 import heapq
 import json
-from collections.abc import Iterable
-
 import numpy as np
 
 NONE = np.int32(2**31 - 1)
@@ -14,41 +12,55 @@ _ROWS = 1 << 14
 _WIDTHS = [2, 3, 4, 5, 6, 7, 8, 10, 12, 14, 16, 20, 24, 32, 48, 64, 96, 128, 192, LONG]
 
 
+EMPTY = np.uint64(2**64 - 1)
+
+
+class Slots:
+    """Open addressing for whole arrays of 64-bit keys."""
+
+    def __init__(self, bits: int):
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys = np.full(1 << bits, EMPTY, np.uint64)
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """The slot of each key, or the empty one where its search ends."""
+        slot = ((key * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+        held = self.keys[slot]
+        off = np.flatnonzero((held != key) & (held != EMPTY))
+        while len(off):
+            slot[off] = (slot[off] + 1) & self.mask
+            held = self.keys[slot[off]]
+            off = off[(held != key[off]) & (held != EMPTY)]
+        return slot
+
+    def insert(self, key: np.ndarray) -> np.ndarray:
+        """The slots of distinct keys that aren't there yet."""
+        slot, todo = np.zeros(len(key), np.int64), np.arange(len(key))
+        while len(todo):
+            at = self.find(key[todo])
+            _, one = np.unique(at, return_index=True)
+            slot[todo[one]] = at[one]
+            self.keys[at[one]] = key[todo[one]]
+            todo = np.delete(todo, one)
+        return slot
+
+
 class PairTable:
-    """(left, right) -> (rank, merged id) by open addressing, looked up for whole arrays."""
+    """(left, right) -> (rank, merged id), looked up for whole arrays."""
 
     def __init__(self, left, right, rank, merged):
         key = (np.asarray(left, np.uint64) << np.uint64(32)) | np.asarray(right, np.uint64)
         bits = max(4, int(len(key) * 4).bit_length())
-        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
-        self.keys = np.full(1 << bits, 2**64 - 1, np.uint64)
-        self.ranks = np.full(1 << bits, NONE, np.int32)
-        self.merged = np.zeros(1 << bits, np.int32)
-        rank, merged = np.asarray(rank, np.int32), np.asarray(merged, np.int32)
-        slot, todo = self._slot(key), np.arange(len(key))
-        while len(todo):
-            free = self.keys[slot[todo]] == np.uint64(2**64 - 1)
-            _, one = np.unique(slot[todo[free]], return_index=True)
-            put = todo[free][one]
-            self.keys[slot[put]], self.ranks[slot[put]], self.merged[slot[put]] = key[put], rank[put], merged[put]
-            todo = np.setdiff1d(todo, put, assume_unique=True)
-            slot[todo] = (slot[todo] + 1) & self.mask
-
-    def _slot(self, key: np.ndarray) -> np.ndarray:
-        return ((key * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+        self.slots = Slots(bits)
+        self.ranks, self.merged = np.full(1 << bits, NONE, np.int32), np.zeros(1 << bits, np.int32)
+        at = self.slots.insert(key)
+        self.ranks[at], self.merged[at] = rank, merged
 
     def find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank (NONE where the pair doesn't merge) and merged id."""
         key = ((left.astype(np.uint64) << np.uint64(32)) | right.astype(np.uint64)).ravel()
-        slot = self._slot(key)
-        held = self.keys[slot]
-        off = np.flatnonzero((held != key) & (held != np.uint64(2**64 - 1)))
-        while len(off):
-            slot[off] = (slot[off] + 1) & self.mask
-            held = self.keys[slot[off]]
-            off = off[(held != key[off]) & (held != np.uint64(2**64 - 1))]
-        hit = self.keys[slot] == key
-        return np.where(hit, self.ranks[slot], NONE).reshape(left.shape), self.merged[slot].reshape(left.shape)
+        at = self.slots.find(key)
+        return self.ranks[at].reshape(left.shape), self.merged[at].reshape(left.shape)
 
 
 class Ragged:
@@ -226,21 +238,68 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in printing else chr(next(spare)) for b in range(256)]
 
 
-class Words(dict):
-    """Numbers keys as they are met; new ones wait to be encoded."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list = []
-
-    def __missing__(self, key):
-        self[key] = n = len(self)
-        self.new.append(key)
-        return n
-
-    def places(self, keys: Iterable, n: int) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, keys), np.int64, n)
-
-    def met(self) -> list:
-        new, self.new = self.new, []
-        return new
+class KnownRanges:
+    """Ids of stretches of bytes, each distinct one encoded once. They are told apart by a 64-bit hash."""
+
+    def __init__(self, kept: int):
+        self.kept, self.bits = kept, (4 * kept).bit_length()
+        self.forget()
+
+    def forget(self) -> None:
+        self.slots, self.number = Slots(self.bits), np.zeros(1 << self.bits, np.int32)
+        self.ids, self.odd = Ragged(), np.zeros(0, bool)
+
+    def places(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, learn) -> np.ndarray:
+        """Where in ids each stretch is; learn(new stretches) gives ids, lengths and marks of odd ones."""
+        distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        distinct = np.where(distinct == EMPTY, np.uint64(0), distinct)
+        at = self.slots.find(distinct)
+        new = np.flatnonzero(self.slots.keys[at] == EMPTY)
+        if len(new):
+            if self.ids.n + len(new) > self.kept and self.ids.n:
+                self.forget()
+                new = np.arange(len(distinct))
+            if self.ids.n + len(new) > self.kept:  # one text with more distinct words than are kept
+                self.kept, self.bits = 2 * (self.ids.n + len(new)), (8 * (self.ids.n + len(new))).bit_length()
+                self.forget()
+            raw, s, e = data.tobytes(), starts[first[new]].tolist(), ends[first[new]].tolist()
+            ids, lengths, odd = learn([raw[a:b] for a, b in zip(s, e, strict=True)])
+            slots = self.slots.insert(distinct[new])
+            self.number[slots] = np.arange(self.ids.n, self.ids.n + len(new))
+            self.ids.extend(ids, lengths)
+            self.odd = np.concatenate([self.odd, odd])
+            at = self.slots.find(distinct)
+        return self.number[at].astype(np.int64)[inverse]
+
+
+def split_stops(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cuts a last full stop or comma from words where an ASCII letter or digit stands before it."""
+    at = np.flatnonzero((ends - starts > 1) & _STOP[data[ends - 1]] & _ALNUM[data[np.maximum(ends - 2, 0)]])
+    cut_ends = ends.copy()
+    cut_ends[at] -= 1
+    return np.insert(starts, at + 1, ends[at] - 1), np.insert(cut_ends, at + 1, ends[at])
+
+
+_STOP, _ALNUM = np.zeros(256, bool), np.zeros(256, bool)
+_STOP[[44, 46]] = True
+_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+
+
+def encode_split(vocabulary: Vocabulary, split: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of stretches that are split already, and how many each has."""
+    number: dict = {}
+    at = np.fromiter((number.setdefault(x, len(number)) for parts in split for x in parts), np.int64)
+    known = Ragged()
+    known.extend(*vocabulary.encode(list(number)))
+    ids, lengths = known.gather(at)
+    ends = np.concatenate(([0], np.cumsum(lengths)))[np.concatenate(([0], np.cumsum([len(x) for x in split]))).astype(np.int64)]
+    return ids, np.diff(ends)
+
+
+def joined(ids: np.ndarray, lengths: np.ndarray, own: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The same with some sequences replaced."""
+    if not own:
+        return ids, lengths
+    ends = np.cumsum(lengths)
+    parts = [own[i] if i in own else ids[b - n : b] for i, (b, n) in enumerate(zip(ends, lengths, strict=True))]
+    return np.concatenate(parts).astype(np.int32), np.array([len(x) for x in parts], np.int64)

@@ -3,89 +3,77 @@
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Ragged, Vocabulary, Words
+from .bpe import KnownRanges, Vocabulary, encode_split, joined, split_stops
+from .textscan import slices, utf8, word_bounds, word_hashes
 
 #: Distinct words that a worker keeps with their ids; beyond them it starts anew.
 KEPT_WORDS = 400_000
-#: Marks that the pattern cuts from a word of letters before them.
-_STOPS = (".", ",")
 
 
 class Encoder:
-    """Encodes texts by a rank file and a pattern that splits them before the merges."""
+    """Encodes texts by a rank file and a pattern that splits them before the merges.
+
+    The pattern keeps at most one space before a word and never joins two words, so words with that space, and the rest of
+    the white space, are encoded once each. A text with white space outside ASCII is split whole.
+    """
 
     def __init__(self, path: str, pattern: str):
         import regex
 
         self.vocabulary = Vocabulary.from_ranks(path)
         self.split = regex.compile(pattern).findall
-        self.forget()
-
-    def forget(self) -> None:
-        self.matches, self.match_ids = Words(), Ragged()
-        self.firsts, self.rests, self.piece_ids = Words(), Words(), (Ragged(), Ragged())
-        self.loose = (np.zeros(0, bool), np.zeros(0, bool))
-
-    def _learn(self, words: Words, prefix: str, which: int) -> None:
-        """Ids of new pieces, which are what stands between two single spaces."""
-        new = words.met()
-        if not new:
-            return
-        split = [[prefix + x] if x.isalpha() else [prefix + x[:-1], x[-1]] if x[-1:] in _STOPS and x[:-1].isalpha() else self.split(prefix + x) for x in new]
-        flat = list(chain.from_iterable(split))
-        at = self.matches.places(flat, len(flat))
-        self._learn_matches()
-        ids, lengths = self.match_ids.gather(at)
-        ends = np.concatenate(([0], np.cumsum(lengths)))[np.concatenate(([0], np.cumsum([len(x) for x in split])))]
-        self.piece_ids[which].extend(ids, np.diff(ends))
-        loose = [not x or x[-1].isspace() or (prefix and x[0].isspace()) for x in new]
-        self.loose = tuple(np.concatenate([old, np.array(loose, bool)]) if i == which else old for i, old in enumerate(self.loose))
-
-    def _learn_matches(self) -> None:
-        new = self.matches.met()
-        if new:
-            self.match_ids.extend(*self.vocabulary.encode([x.encode() for x in new]))
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts in one array, and how many each has.
-
-        Between pieces joined by a single space the pattern always cuts before that space, so pieces are split and
-        encoded once each. Where a piece is empty or ends in white space that doesn't hold, and the text is split whole.
-        """
-        if len(self.firsts) + len(self.rests) + len(self.matches) > 2 * KEPT_WORDS:
-            self.forget()
-        pieces = [x.split(" ") for x in texts]
-        counts = np.array([len(x) - 1 for x in pieces], np.int64)
-        first = self.firsts.places((x[0] for x in pieces), len(pieces))
-        rest = self.rests.places(chain.from_iterable(x[1:] for x in pieces), int(counts.sum()))
-        self._learn(self.firsts, "", 0)
-        self._learn(self.rests, " ", 1)
-        ends = np.cumsum(counts)
-        loose = np.concatenate(([0], np.cumsum(self.loose[1][rest])))
-        whole = (loose[ends] > loose[ends - counts]) | ((counts > 0) & self.loose[0][first])
-        first_ids, first_n = self.piece_ids[0].gather(first)
-        rest_ids, rest_n = self.piece_ids[1].gather(rest)
-        first_at = np.concatenate(([0], np.cumsum(first_n)))
-        rest_at = np.concatenate(([0], np.cumsum(rest_n)))
-        parts, lengths = [], np.zeros(len(texts), np.int64)
-        for i in range(len(texts)):
-            if whole[i]:
-                match = self.split(texts[i])
-                at = self.matches.places(match, len(match))
-                self._learn_matches()
-                own = [self.match_ids.gather(at)[0]]
+        self.known = KnownRanges(KEPT_WORDS)
+
+    def _learn(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        split, odd = [], np.zeros(len(raw), bool)
+        for i, x in enumerate(raw):
+            if (x[1:] if x[:1] == b" " else x).isalpha() or x.isspace():
+                split.append([x])
+                continue
+            text = x.decode()
+            if (text[1:] if text[:1] == " " else text).isalpha():
+                split.append([x])
             else:
-                own = [first_ids[first_at[i] : first_at[i + 1]], rest_ids[rest_at[ends[i] - counts[i]] : rest_at[ends[i]]]]
-            lengths[i] = sum(map(len, own))
-            parts += own
-        return np.concatenate(parts) if parts else np.zeros(0, np.int32), lengths
+                odd[i] = any(c.isspace() for c in text[1:]) or (text[:1] != " " and text[:1].isspace())
+                split.append([y.encode() for y in self.split(text)])
+        return *encode_split(self.vocabulary, split), odd
+
+    def whole(self, text: str) -> np.ndarray:
+        return encode_split(self.vocabulary, [[y.encode() for y in self.split(text)]])[0]
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in one array, and how many each has."""
+        starts, ends, firsts = word_bounds(data, offsets)
+        counts = np.diff(firsts)
+        has = counts > 0
+        # The gap before each word, and the one at the end of each text.
+        gap = np.zeros(len(starts), np.int64)
+        gap[1:] = ends[:-1]
+        gap[firsts[:-1][has]] = offsets[:-1][has]
+        tail = offsets[:-1].copy()
+        tail[has] = ends[firsts[1:][has] - 1]
+        spaced = (starts > gap) & (data[np.maximum(starts - 1, 0)] == 32)
+        bare = (starts > gap) & ~spaced
+        to = starts - (starts > gap)
+        cut = [(gap, to, to > gap), (to, starts, bare), (tail, offsets[1:], offsets[1:] > tail)]
+        starts, ends = split_stops(data, starts - spaced, ends)
+        starts = np.concatenate([starts, *(a[m] for a, _, m in cut)])
+        ends = np.concatenate([ends, *(b[m] for _, b, m in cut)])
+        order = np.argsort(starts, kind="stable")
+        starts, ends = starts[order], ends[order]
+        at = self.known.places(data, starts, ends, word_hashes(data, starts, ends, lower=False), self._learn)
+        ids, lengths = self.known.ids.gather(at)
+        firsts = np.searchsorted(starts, offsets)
+        lengths = np.diff(np.concatenate(([0], np.cumsum(lengths)))[firsts])
+        odd = np.diff(np.concatenate(([0], np.cumsum(self.known.odd[at])))[firsts])
+        own = {int(i): self.whole(data[offsets[i] : offsets[i + 1]].tobytes().decode()) for i in np.flatnonzero(odd)}
+        return joined(ids, lengths, own)
 
 
 @lru_cache(maxsize=2)
@@ -94,18 +82,11 @@ def encoder(path: str, pattern: str) -> Encoder:
     return Encoder(path, pattern)
 
 
-def texts_of(column: pa.Array, most_bytes: int = 1 << 20) -> Iterator[list[str]]:
-    """The texts of a column, null as empty, in runs of some bytes or of one text that is longer."""
-    run, size = [], 0
-    for x in column:
-        x = x.as_py() or ""
-        run.append(x)
-        size += len(x)
-        if size >= most_bytes:
-            yield run
-            run, size = [], 0
-    if run:
-        yield run
+def encoded(column: pa.Array, encode) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, ids, lengths) of a column's texts, null as empty, in runs of bounded bytes."""
+    data, offsets = utf8(column)
+    for a, b in slices(offsets):
+        yield a, *encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -114,12 +95,9 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, pattern)
         for batch in batches:
-            at = 0
-            for texts in texts_of(batch.column(1)):
-                ids, lengths = own.encode(texts)
+            for at, ids, lengths in encoded(batch.column(1), own.encode):
                 ends = pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.ListArray.from_arrays(ends, pa.array(ids))], names=[id_col, "ids"])
-                at += len(texts)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(lengths)), pa.ListArray.from_arrays(ends, pa.array(ids))], names=[id_col, "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
@@ -149,8 +127,7 @@ def round_trip_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "
         own = encoder(path, pattern)
         for batch in batches:
             counts, of_ids, of_bytes = [], [], []
-            for texts in texts_of(batch.column(1)):
-                ids, lengths = own.encode(texts)
+            for _, ids, lengths in encoded(batch.column(1), own.encode):
                 ends = np.concatenate(([0], np.cumsum(lengths)))
                 raw, sizes = own.vocabulary.decode(ids)
                 cuts = np.concatenate(([0], np.cumsum(sizes)))[ends]

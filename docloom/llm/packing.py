@@ -3,7 +3,6 @@
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -11,8 +10,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Ragged, Vocabulary, Words
-from .byte_bpe import texts_of
+from .bpe import KnownRanges, Vocabulary, encode_split, joined, split_stops
+from .byte_bpe import encoded
+from .textscan import word_bounds, word_hashes
 
 #: Distinct words that a worker keeps with their ids; beyond them it starts anew.
 KEPT_WORDS = 500_000
@@ -43,64 +43,39 @@ class WordEncoder:
         with open(path, encoding="utf-8") as f:
             own = json.load(f)
         self.split = regex.compile(own["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
-        self.special = [x["content"] for x in own["added_tokens"]]
         # Characters whose lower case and composed form are a letter by letter affair.
         self.plain = regex.compile("[!-~¡-¬®-įı-ɏ]+").fullmatch
         self.vocabulary = Vocabulary.from_merges(path)
-        self.forget()
-
-    def forget(self) -> None:
-        self.words, self.word_ids = Words(), Ragged()
-        self.parts, self.part_ids = Words(), Ragged()
+        self.known = KnownRanges(KEPT_WORDS)
+
+    def _learn(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        split, own = [], {}
+        for i, x in enumerate(raw):
+            x = x.lower()
+            if x.isalpha():
+                split.append([x])
+                continue
+            text = x.decode()
+            if not self.plain(text):
+                own[i] = np.array(self.library.encode(text, add_special_tokens=False).ids, np.int32)
+                split.append([])
+                continue
+            text = text.lower()
+            split.append([text.encode()] if text.isalpha() else [y.encode() for y in self.split(text)])
+        return *joined(*encode_split(self.vocabulary, split), own), np.zeros(len(raw), bool)
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in one array, and how many each has."""
-        if len(self.words) + len(self.parts) > 2 * KEPT_WORDS:
-            self.forget()
-        split = [x.encode().split() for x in texts]
-        counts = np.array([len(x) for x in split], np.int64)
-        at = self.words.places(chain.from_iterable(split), int(counts.sum()))
-        self._learn()
-        ids, lengths = self.word_ids.gather(at)
-        ends = np.concatenate(([0], np.cumsum(lengths)))[np.concatenate(([0], np.cumsum(counts)))]
-        return ids, np.diff(ends)
-
-    def _learn(self) -> None:
-        new = self.words.met()
-        if not new:
-            return
-        split: list[list] = []
-        for raw in new:
-            word = raw.decode()
-            if not self.plain(word) or "<|" in word:
-                split.append([tuple(self.library.encode(word, add_special_tokens=False).ids)])
-                continue
-            word = word.lower()
-            if word.isalpha():
-                split.append([word])
-            elif word[-1] in ".," and word[:-1].isalpha():
-                split.append([word[:-1], word[-1]])
-            else:
-                split.append(self.split(word))
-        flat = list(chain.from_iterable(split))
-        at = self.parts.places(flat, len(flat))
-        parts = self.parts.met()
-        if parts:
-            known = [x for x in parts if isinstance(x, tuple)]
-            ids, lengths = self.vocabulary.encode([x.encode() for x in parts if not isinstance(x, tuple)])
-            if known:
-                merged, where, own = Ragged(), iter(range(len(lengths))), np.concatenate(([0], np.cumsum(lengths)))
-                for x in parts:
-                    if isinstance(x, tuple):
-                        merged.extend(np.array(x, np.int32), np.array([len(x)]))
-                    else:
-                        i = next(where)
-                        merged.extend(ids[own[i] : own[i + 1]], lengths[i : i + 1])
-                ids, lengths = merged.gather(np.arange(merged.n))
-            self.part_ids.extend(ids, lengths)
-        ids, lengths = self.part_ids.gather(at)
-        ends = np.concatenate(([0], np.cumsum(lengths)))[np.concatenate(([0], np.cumsum([len(x) for x in split])))]
-        self.word_ids.extend(ids, np.diff(ends))
+        starts, ends, _ = word_bounds(data, offsets)
+        starts, ends = split_stops(data, starts, ends)
+        at = self.known.places(data, starts, ends, word_hashes(data, starts, ends), self._learn)
+        ids, lengths = self.known.ids.gather(at)
+        lengths = np.diff(np.concatenate(([0], np.cumsum(lengths)))[np.searchsorted(starts, offsets)])
+        # Texts that may hold a special token as it is written, upper and lower case apart.
+        marks = np.flatnonzero((data[:-1] == 60) & (data[1:] == 124)) if len(data) else data
+        rows = {int(i) for i in np.searchsorted(offsets, marks, "right") - 1}
+        own = {i: np.array(self.library.encode(data[offsets[i] : offsets[i + 1]].tobytes().decode(), add_special_tokens=False).ids, np.int32) for i in rows}
+        return joined(ids, lengths, own)
 
 
 @lru_cache(maxsize=2)
@@ -258,8 +233,7 @@ def pack_documents(docs: DataFrame, path: str, size: int = 4096, end_id: int = 2
         packer = _Packer(size, TaskContext.get().partitionId() << 32)
         for batch in batches:
             ids_of = iter(batch.column(0).to_pylist())
-            for texts in texts_of(batch.column(1)):
-                ids, lengths = own.encode(texts)
+            for _, ids, lengths in encoded(batch.column(1), own.encode):
                 ends = np.cumsum(lengths)
                 for a, b in zip(ends - lengths, ends, strict=True):
                     packer.add(next(ids_of), np.append(ids[a:b], np.int32(end_id)))
