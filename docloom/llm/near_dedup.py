@@ -12,8 +12,8 @@ from .storage import Scratch
 from .textscan import mix, shingle_sets
 
 MINIMA = 192
-#: Buckets with no more documents than this have their remaining cross-class pairs checked outright.
-SMALL_BUCKET = 64
+#: Documents on either side of a block whose pairs one task compares.
+BLOCK_DOCS = 512
 #: A side of at most so many 8-byte ids is broadcast; a larger one is joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -103,9 +103,48 @@ def _linked(k: int, num: int, den: int):
     return check
 
 
-def _sized(ids: DataFrame) -> DataFrame:
+def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets on the left with all on the right."""
+    universe, at = np.unique(np.concatenate(left + right), return_inverse=True)
+    row = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in left + right])
+    order = np.argsort(at, kind="stable")
+    at, row = at[order], row[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for low in range(0, len(universe), 4096):
+        a, b = np.searchsorted(at, (low, low + 4096))
+        part = np.zeros((len(left) + len(right), 4096), np.float32)
+        part[row[a:b], at[a:b] - low] = 1
+        out += part[: len(left)] @ part[len(left) :].T
+    return out.astype(np.int64)
+
+
+def _block_links(k: int, num: int, den: int):
+    """Of a block, a link from each document of side 0 to every class of side 1 that it is linked to."""
+
+    def compare(block: pa.Table) -> pa.Table:
+        side = block["side"].to_numpy()
+        ids, labels = block["doc_id"].to_numpy(), block["label"].to_numpy()
+        sets = list(shingle_sets(block["text"], k))
+        lefts, rights = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        a, b = [], []
+        if len(lefts) and len(rights):
+            left, right = [sets[i] for i in lefts], [sets[i] for i in rights]
+            both = _shared(left, right)
+            either = np.array([len(x) for x in left])[:, None] + np.array([len(x) for x in right]) - both
+            linked = (both > 0) & (den * both >= num * either) & (labels[lefts][:, None] != labels[rights])
+            for i in np.flatnonzero(linked.any(axis=1)):
+                to = rights[linked[i]]
+                _, one = np.unique(labels[to], return_index=True)
+                a += [ids[lefts[i]]] * len(one)
+                b += ids[to[one]].tolist()
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return compare
+
+
+def _sized(rows: DataFrame) -> DataFrame:
     """Marked for broadcast if its counted size allows that."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
 
 
 class _Run:
@@ -148,16 +187,39 @@ class _Run:
         both = near.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
         return self.scratch.write(both.mapInArrow(_linked(self.k, self.num, self.den), "a long, b long").distinct(), f"links-{name}")
 
+    def between(self, near: DataFrame, labels: DataFrame) -> DataFrame:
+        """Links between different classes of the same wide class, by exact comparison in blocks.
+
+        near: (node, component), joined by buckets alone; labels: (node, component), joined by links. In a wide class all
+        documents outside its largest class are compared with all its documents.
+        """
+        docs = near.toDF("doc_id", "wide").join(labels.toDF("doc_id", "label"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+        docs = self.scratch.write(docs, "wide")
+        sizes = docs.groupBy("wide", "label").agg(F.count("*").alias("n"))
+        largest = sizes.groupBy("wide").agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("n")).where("m.n < n")
+        largest = self.scratch.write(largest.select("wide", F.col("m.label").alias("major"), F.ceil(F.col("n") / BLOCK_DOCS).cast("int").alias("blocks"), F.ceil((F.col("n") - F.col("m.n")) / BLOCK_DOCS).cast("int").alias("minor_blocks")), "open")
+        docs = self.scratch.write(docs.join(_sized(largest), "wide"), "open-docs")
+        texts = self.texts.join(_sized(docs.select("doc_id")), "doc_id").dropDuplicates(["doc_id"])
+        docs = docs.join(texts, "doc_id")
+        part = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        columns = ["wide", "i", "j", "side", "doc_id", "label", "text"]
+        left = docs.where("label <> major").withColumn("i", part("minor_blocks")).withColumn("j", every("blocks")).withColumn("side", F.lit(0))
+        right = docs.withColumn("j", part("blocks")).withColumn("i", every("minor_blocks")).withColumn("side", F.lit(1))
+        blocks = left.select(*columns).unionByName(right.select(*columns)).groupBy("wide", "i", "j")
+        return self.scratch.write(blocks.applyInArrow(_block_links(self.k, self.num, self.den), "a long, b long"), "between")
+
 
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
     Two documents are linked if den * |A and B| >= num * |A or B| for their sets of k-word shingles; component_id is the
     least id reachable, kept says that it is the document's own. Equal sets count as one document until the end, so
-    thousands of copies cost one. A bucket of candidates is not expanded into pairs: each document is checked against
-    its bucket's most central one, classes are joined, and only buckets that still hold several classes go on, with
-    another centre or, when small, with all their pairs between classes. So a link between different texts is lost only
-    if banding misses it: with a probability of 1e-6 at the threshold and less above.
+    thousands of copies cost one. A bucket of candidates is not expanded into pairs: each document is checked by signature
+    and then exactly against the most central one it shares most buckets with, which joins nearly all of a class. Where
+    documents joined by buckets are then still in several classes, those outside the largest are compared exactly, in
+    blocks. So a link between different texts is lost only if banding misses it: with a probability of 1e-6 at the
+    threshold and less above.
 
     Null and empty texts have no shingles and no links. Rows with a null id link with nothing; their component_id is
     null and kept is true. Rows that share an id count as one document. An empty table gives an empty result. Other
@@ -168,37 +230,13 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     members = run.members()
     centre = members.groupBy("key").agg(F.max(F.struct("score", (-F.col("doc_id")).alias("id"))).alias("c")).select("key", (-F.col("c.id")).alias("b"), F.col("c.score").alias("score_b"))
     stars = members.join(centre, "key").where("doc_id <> b").groupBy(F.col("doc_id").alias("a"), "b", "score_b").agg(F.count("*").alias("shared"))
+    stars = scratch.write(stars, "stars")
     best = stars.groupBy("a").agg(F.max(F.struct("shared", "score_b", (-F.col("b")).alias("id"))).alias("c"))
-    checked = scratch.write(best.select("a", (-F.col("c.id")).alias("b")), "best")
-    links = run.linked(checked)
+    links = run.linked(best.select("a", (-F.col("c.id")).alias("b")))
     labels = components(links.toDF("u", "v"), scratch, "labels-0")
-    centres = docs.sparkSession.createDataFrame([], "key long, doc_id long")
-    turn = 0
-    while True:
-        turn += 1
-        label = members.join(labels.toDF("doc_id", "label"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-        label = label.join(centres, ["key", "doc_id"], "left_anti") if turn > 1 else label
-        open_ = label.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("left"), F.max(F.struct("score", (-F.col("doc_id")).alias("id"))).alias("c")).where("lo < hi")
-        rest = scratch.write(label.select("key", "doc_id", "label").join(open_.select("key", "left", (-F.col("c.id")).alias("centre")), "key"), f"rest-{turn}")
-        large = rest.where(F.col("left") > SMALL_BUCKET)
-        small = rest.where(F.col("left") <= SMALL_BUCKET).select("key", "doc_id", "label")
-        other = small.toDF("key", "other", "other_label")
-        pairs = small.join(other, "key").where("doc_id < other and label <> other_label").select(F.col("doc_id").alias("a"), F.col("other").alias("b"))
-        middle = large.where("doc_id = centre").select("key", F.col("label").alias("centre_label"))
-        pairs = pairs.unionByName(large.join(middle, "key").where("label <> centre_label").select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")))
-        pairs = scratch.write(pairs.distinct().join(checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), f"rest-pairs-{turn}")
-        any_large = bool(large.limit(1).count())
-        if pairs.limit(1).count():
-            more = run.linked(pairs)
-            if more.limit(1).count():
-                links = scratch.write(links.unionByName(more), f"links-all-{turn}")
-                labels = components(links.toDF("u", "v"), scratch, f"labels-{turn}")
-        if not any_large:
-            break
-        checked = scratch.write(checked.unionByName(pairs), f"checked-{turn}")
-        # A centre has met its whole bucket; a small bucket has met itself.
-        over = large.where("doc_id = centre").select("key", "doc_id").unionByName(small.select("key", "doc_id"))
-        centres = scratch.write(centres.unionByName(over), f"centres-{turn}")
+    near = components(stars.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch, "near")
+    more = run.between(near, labels)
+    labels = components(links.unionByName(more).toDF("u", "v"), scratch, "labels-1")
     first = run.signed.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
     first = first.join(labels.toDF("first", "label"), "first", "left").where("copies > 1 or label is not null")
     classes = scratch.write(first.select("d1", "d2", F.coalesce("label", "first").alias("component_id")), "classes")
