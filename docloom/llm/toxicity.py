@@ -28,13 +28,13 @@ def held_out(id_: Column) -> Column:
 
 
 def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text, hashed term) of all words, lower-cased in ASCII, and of the beginnings of longer words; repeats included."""
+    """(text, hashed term) of all words, lower-cased in ASCII, and of their beginnings where they are long enough; repeats included."""
     starts, ends, _ = word_bounds(data, offsets)
     starts, ends = split_stops(data, starts, ends)
     row = np.searchsorted(offsets, starts, "right") - 1
     rows, found = [row], [word_hashes(data, starts, ends)]
     for n in STEMS:
-        longer = ends - starts > n
+        longer = ends - starts >= n
         rows.append(row[longer])
         found.append(mix(word_hashes(data, starts[longer], starts[longer] + n) + np.uint64(n)))
     return np.concatenate(rows), (np.concatenate(found) >> np.uint64(64 - BITS)).astype(np.int32)
