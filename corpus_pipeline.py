@@ -1,16 +1,68 @@
-"""Corpus cleaning: a chain of training-data operators over the documents table."""
+"""Corpus cleaning: toxicity, quality rules, near duplicates, personal data, packing, each over all that the last one kept."""
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+from docloom.llm import near_dedup, packing, pii, quality, toxicity
+from docloom.llm.registry import table
+from docloom.llm.storage import Scratch
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a toxicity score of 0.5 or more go. The machine learns from the labels of sf_dir."""
+    return toxicity.accepted(docs, table(spark, sf_dir, "labels"))
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail a rule of the threshold table, or the base rule, go."""
+    return quality.accepted(docs)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of five-word shingles at a similarity of 0.8, the document with the least id stays."""
+    classes = near_dedup.near_duplicate_classes(docs, k=5, num=80, den=100)
+    gone = classes.where("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced in the texts and n_chars follows; every document stays."""
+    return pii.sanitise(docs, length_col="n_chars")
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per packed piece."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), size=4096, end_id=2)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", toxicity_stage),
+    ("quality", quality_stage),
+    ("near_dedup", near_dedup_stage),
+    ("pii", pii_stage),
+    ("packing", packing_stage),
+]
+
+#: A trained model, connected components and a tokenizer are beyond SQL.
 ORACLE_SQL: str | None = None
 
 
-def queries() -> dict:
-    return {}
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over documents, each written to the shared folder and read again."""
+    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
+    for i, (name, stage) in enumerate(STAGES):
+        out = stage(spark, docs, sf_dir)
+        docs = scratch.write(out, name) if i + 1 < len(STAGES) else out
+    return docs
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {"pipeline": run}
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {"pipeline": ORACLE_SQL} if ORACLE_SQL else {}
