@@ -6,7 +6,8 @@ from pathlib import Path
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, byte_bpe, chat, near_dedup, packing, pii, quality, toxicity
+from . import ann, byte_bpe, chat, licenses, near_dedup, packing, pii, quality, sharding, toxicity
+from .storage import Scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,11 +44,20 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(licenses.document_paths(table(spark, sf_dir, "documents")), keep=["doc_id"])
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
-QUERIES = (op1_near_dedup, op2_packing, op3_byte_bpe, op4_chat, op5_ann, op6_toxicity, op7_quality, op9_pii)
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = sharding.shard_table(table(spark, sf_dir, "documents"), f"{Scratch(spark, 'shards').base}/store", arrivals=16)
+    return sharding.placement(store)
+
+
+QUERIES = (op1_near_dedup, op2_packing, op3_byte_bpe, op4_chat, op5_ann, op6_toxicity, op7_quality, op8_licenses, op9_pii, op10_sharding)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -55,4 +65,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat": chat.chat_sql(), "op7_quality": quality.quality_sql()}
+    return {"op4_chat": chat.chat_sql(), "op7_quality": quality.quality_sql(), "op8_licenses": licenses.document_sql()}
