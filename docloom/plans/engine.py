@@ -10,8 +10,9 @@ from ..functions.text import parent_text
 from ..operators import conflicts as C
 from ..operators import retrieval as R
 from ..operators.blocks import parse_blocks
-from ..operators.chunking import STRATEGIES, get_strategy
+from ..operators.chunking import STRATEGIES, build_children, get_strategy
 from ..sources.documents import read_json
+from ..sources.kept import kept
 from . import prompts as P
 from .domains import Domain, get_domain
 from .providers import Chat, Embedder, Reranker, complete_column, embed_column
@@ -49,13 +50,14 @@ class Engine:
 
     def build(self) -> "Engine":
         """Parses, chunks, maps conflicts and embeds. Building again starts anew."""
-        self.blocks = parse_blocks(self._documents()).persist()
-        self.parents, children = (x.persist() for x in self.strategy.build(self.blocks))
-        self.conflicts = C.conflict_map(self.parents).persist()
+        self.blocks = kept(parse_blocks(self._documents()))
+        self.parents = kept(self.strategy.parents(self.blocks))
+        children = kept(build_children(self.parents))
+        self.conflicts = kept(C.conflict_map(self.parents))
         self.n_children = children.count()
         self.direct = self.n_children < self.small
         needs = not self.direct and self.mode != "sparse"
-        self.children = (embed_column(children, self.embedder, "embed_text") if needs else children).persist()
+        self.children = kept(embed_column(children, self.embedder, "embed_text")) if needs else children
         return self
 
     def _questions(self, questions: Sequence[str] | DataFrame) -> DataFrame:
@@ -97,17 +99,19 @@ class Engine:
             ready, context, cited = self._direct(questions)
         else:
             asked, matched = self._found(questions, k)
-            matched = matched.persist()
-            parents = R.matched_parents(matched, self.parents.drop("doc_ord")).persist()
+            matched = kept(matched)
+            parents = R.matched_parents(matched, self.parents.drop("doc_ord"))
+            parents = kept(parents)
             best = matched.groupBy("qid").agg(F.max("best_score").alias("best_score"))
             gated = R.gate(asked.drop("vector").join(best, "qid", "left"), self.threshold)
             gated = gated.withColumn("max_tokens", F.lit(max_tokens).cast("long")) if max_tokens is not None else gated
             ready = gated.join(P.rag_prompt(questions, parents, matched), "qid").withColumn("mode", F.lit(self.mode))
             context, cited = P.contexts(parents), P.citation(parents)
         columns = ["qid", "question", "prompt", "max_tokens", "blocked", "reason", "best_score", "mode"]
-        ready = ready.select(*columns)
+        ready = kept(ready.select(*columns))
         asked = ready.where("not blocked")
-        answered = complete_column(asked.repartition(max_workers) if max_workers else asked, self.chat, self.domain.system_prompt).persist()
+        answered = complete_column(asked.repartition(max_workers) if max_workers else asked, self.chat, self.domain.system_prompt)
+        answered = kept(answered)
         answered = answered.withColumn("answer", replies.answer(F.col("raw")))
         answered = C.check_grounding(answered.join(context, "qid", "left")).join(cited, "qid", "left")
         found = C.detect_conflicts(questions, self.conflicts).groupBy("qid").agg(F.array_sort(F.collect_list("message")).alias("conflicts"))
@@ -145,7 +149,8 @@ class Engine:
     def evaluate(self, questions: Sequence[str] | DataFrame, strategies: Sequence[str] | None = None) -> DataFrame:
         """(strategy, qid, question, best_score, n_parents, n_children, n_docs) by dense retrieval, without the model."""
         questions = self._questions(questions)
-        asked = embed_column(questions, self.embedder, "question", "retrieval.query").persist()
+        asked = embed_column(questions, self.embedder, "question", "retrieval.query")
+        asked = kept(asked)
         parts = []
         for name in strategies or STRATEGIES:
             parents, children = get_strategy(name).build(self.blocks)
