@@ -37,11 +37,11 @@ class Rule:
 
 
 RULES = [
-    Rule("word_length", "word_chars / n_words", 2.0, 16.0),
-    Rule("symbol_ratio", "n_symbols / n_words", most=0.1),
-    Rule("stop_word_ratio", "n_stop_words / n_words", least=0.04),
-    Rule("exclamation_ratio", "n_exclamations / n_words", most=0.25),
-    Rule("duplicate_line_ratio", "n_dup_lines / n_lines", most=0.6),
+    Rule("word_length", "word_chars / nullif(n_words, 0)", 2.0, 16.0),
+    Rule("symbol_ratio", "n_symbols / nullif(n_words, 0)", most=0.1),
+    Rule("stop_word_ratio", "n_stop_words / nullif(n_words, 0)", least=0.04),
+    Rule("exclamation_ratio", "n_exclamations / nullif(n_words, 0)", most=0.25),
+    Rule("duplicate_line_ratio", "n_dup_lines / nullif(n_lines, 0)", most=0.6),
 ]
 
 
@@ -100,8 +100,10 @@ def quality(docs: DataFrame, rules: list[Rule] = RULES, id_col: str = "doc_id",
 def accepted(docs: DataFrame, rules: list[Rule] = RULES, text_col: str = "text") -> DataFrame:
     """The rows of docs that quality() keeps, with all their columns."""
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(text_col))
-    found = measures(packed, text_col=text_col, keep=["_row"])
-    return found.where(_verdict(rules)[1]).select("_row.*")
+    # A filter on computed counts would be pushed below them, with every count's whole expression in it; the row number,
+    # which isn't deterministic, keeps it above.
+    found = measures(packed, text_col=text_col, keep=["_row"]).withColumn("_at", F.monotonically_increasing_id())
+    return found.where(_verdict(rules)[1] & (F.col("_at") >= 0)).select("_row.*")
 
 
 def quality_sql(rules: list[Rule] = RULES, table: str = "documents") -> str:

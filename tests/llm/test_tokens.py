@@ -1,0 +1,163 @@
+"""BPE encoding, decoding and packing against the libraries."""
+
+import base64
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import public_tokenizers as P
+import pyarrow as pa
+import pytest
+import tiktoken
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from docloom.llm import byte_bpe, packing
+from docloom.llm.bpe import LONG, Vocabulary
+from docloom.llm.textscan import utf8
+
+RANKS, WORDS = P.path("byte_bpe_multi_50k.tiktoken"), P.path("word_bpe_49k.json")
+
+
+@pytest.fixture(scope="module")
+def tik():
+    with open(RANKS, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+@pytest.fixture(scope="module")
+def library():
+    return Tokenizer.from_file(WORDS)
+
+
+def encode(encoder, texts):
+    ids, lengths = encoder.encode(*utf8(pa.array(texts, pa.string())))
+    ends = np.cumsum(lengths)
+    return [ids[b - n : b].tolist() for b, n in zip(ends, lengths, strict=True)]
+
+
+PIECES = ["the", "The", "naïve", "'s", "'S", " ", "  ", "\n", "\r\n", "\t", "\x0b", "\x1c", "\x85", " ", "　", ".", ",", "...", "12", "½", "日本", "é", "İ", "ß", "Σ", "<|endoftext|>", "<|ENDOFTEXT|>", "\U0001f600", "a.b", "x,", "\0"]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.one_of(st.lists(st.sampled_from(PIECES), max_size=12).map("".join), st.text(max_size=20).filter(lambda t: not any(0xD800 <= ord(c) < 0xE000 for c in t))), min_size=1, max_size=4))
+def test_encoders_match_the_libraries(tik, library, texts):
+    assert encode(byte_bpe.encoder(RANKS, P.PATTERN), texts) == [tik.encode_ordinary(t) for t in texts]
+    assert encode(packing.encoder(WORDS), texts) == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_long_words(tik):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abé") for _ in range(n)) for n in (LONG - 1, LONG, LONG + 1, 5000)] + ["!" * 3000]
+    assert encode(byte_bpe.Encoder(RANKS, P.PATTERN), words) == [tik.encode_ordinary(w) for w in words]
+
+
+def test_kept_words_are_bounded(tik, monkeypatch):
+    encoder = byte_bpe.Encoder(RANKS, P.PATTERN)
+    encoder.known = byte_bpe.KnownRanges(50)
+    for i in range(20):
+        texts = [f"w{i}x{j} and" for j in range(30)]
+        assert encode(encoder, texts) == [tik.encode_ordinary(t) for t in texts]
+    many = [" ".join(f"q{j}" for j in range(300))]
+    assert encode(encoder, many) == [tik.encode_ordinary(many[0])]
+
+
+def test_decoding():
+    vocabulary = Vocabulary.from_ranks(RANKS)
+    raw, sizes = vocabulary.decode(np.array([0, 300, 50255]))
+    assert len(raw) == sizes.sum()
+
+
+def test_round_trip(odd, odd_texts, empty, tik):
+    found = byte_bpe.round_trip_digests(odd, RANKS, P.PATTERN)
+    assert found.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    want = []
+    for i, t in odd_texts:
+        ids = tik.encode_ordinary(t or "")
+        want.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(want, key=repr)
+    assert byte_bpe.round_trip_digests(empty, RANKS, P.PATTERN).count() == 0
+
+
+def test_encode_then_decode_frames(odd, odd_texts):
+    back = byte_bpe.decode_documents(byte_bpe.encode_documents(odd, RANKS, P.PATTERN), RANKS)
+    assert sorted(((r.doc_id, bytes(r.bytes).decode()) for r in back.collect()), key=repr) == sorted(((i, t or "") for i, t in odd_texts), key=repr)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 64), max_size=60))
+def test_best_fit_decreasing(lengths):
+    windows, full = packing.best_fit_decreasing(lengths, 64)
+    # The same rule, looking at every window.
+    left: list[int] = []
+    for n in sorted(lengths, reverse=True):
+        fits = [c for c in left if c >= n]
+        if fits:
+            left.remove(min(fits))
+            left.append(min(fits) - n)
+        else:
+            left.append(64 - n)
+    assert sorted(left) == sorted(64 - f for f in full)
+    assert sorted(i for w in windows for i in w) == list(range(len(lengths)))
+
+
+def check_pieces(rows, texts, library, size):
+    """Every id in exactly one piece, sequences without gaps, padding only in full windows' place."""
+    want = sorted(((i, library.encode(t or "", add_special_tokens=False).ids + [2]) for i, t in texts), key=repr)
+    pools: dict = {}
+    for i, ids in want:
+        pools.setdefault((i, len(ids)), []).append(ids)
+    by_doc: dict = {}
+    for r in rows:
+        by_doc.setdefault((r.doc_id, r.doc_tokens), []).append(r)
+    assert by_doc.keys() == pools.keys()
+    for key, own in by_doc.items():
+        copies = pools[key]
+        assert all(c == copies[0] for c in copies)
+        ids = copies[0]
+        assert sum(r.length for r in own) == len(ids) * len(copies)
+        cover = np.zeros(len(ids), int)
+        for r in own:
+            cover[r.start : r.start + r.length] += 1
+            assert r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes())
+        assert (cover == len(copies)).all()
+    sequences: dict = {}
+    for r in rows:
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    padding = 0
+    for own in sequences.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at and length > 0
+            at += length
+        assert at <= size
+        padding += size - at if at & (at - 1) else 0
+    return padding, sum(r.length for r in rows)
+
+
+@pytest.mark.parametrize("size", [64, 4096])
+def test_packing(spark, odd, odd_texts, library, size):
+    rows = packing.pack_documents(odd, WORDS, size=size).collect()
+    padding, total = check_pieces(rows, odd_texts, library, size)
+    assert padding <= 0.01 * total
+
+
+def test_packing_in_small_blocks(spark, library, monkeypatch):
+    rng = random.Random(9)
+    texts = [(i, " ".join(rng.choice(["red", "green", "blue"]) for _ in range(rng.randint(0, 150)))) for i in range(300)]
+    packer = packing._Packer(64, 0)
+    monkeypatch.setattr(packing, "BLOCK_IDS", 500)
+    for i, t in texts:
+        packer.add(i, np.array(library.encode(t, add_special_tokens=False).ids + [2], np.int32))
+    packer.finish()
+    names = "doc_id start length ids_crc32 doc_tokens sequence_id offset".split()
+    rows = [type("Row", (), dict(zip(names, r, strict=True))) for r in packer.rows]
+    padding, total = check_pieces(rows, texts, library, 64)
+    assert padding <= 0.01 * total
+
+
+def test_empty_table_packs_nothing(empty):
+    assert packing.pack_documents(empty, WORDS).count() == 0
