@@ -17,6 +17,7 @@ from ..functions.html import html_rows
 from ..operators import bm25, chunking, conflicts, retrieval
 from ..operators.blocks import parse_blocks
 from ..sources.documents import from_table, page_content
+from ..sources.workers import find_package
 from . import engine, prompts
 from .domains import FIELDS, domain_fields
 
@@ -36,7 +37,7 @@ def _query(sql: str | None):
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return find_package(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 # --- the documents made of suppliers

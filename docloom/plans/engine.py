@@ -13,6 +13,7 @@ from ..operators.blocks import parse_blocks
 from ..operators.chunking import STRATEGIES, build_children, get_strategy
 from ..sources.documents import read_json
 from ..sources.kept import kept
+from ..sources.workers import find_package
 from . import prompts as P
 from .domains import Domain, get_domain
 from .providers import Chat, Embedder, Reranker, complete_column, embed_column
@@ -40,7 +41,7 @@ class Engine:
     ):
         if retrieval_mode not in R.MODES:
             raise ValueError(f"unknown mode {retrieval_mode!r}; known: {', '.join(R.MODES)}")
-        self.spark, self.source, self.chat, self.embedder, self.reranker = spark, source, chat, embedder, reranker
+        self.spark, self.source, self.chat, self.embedder, self.reranker = find_package(spark), source, chat, embedder, reranker
         self.domain = get_domain(domain or "fx_ssi") if isinstance(domain or "fx_ssi", str) else domain
         self.strategy, self.mode, self.default_k, self.threshold, self.small = get_strategy(chunk_strategy), retrieval_mode, default_k, threshold, small_corpus
         self.parents: DataFrame | None = None

@@ -51,7 +51,7 @@ def contexts(parents: DataFrame) -> DataFrame:
 
 
 def field_question(items: Column, scope_label: str, fields: list[str]) -> Column:
-    """A question for a JSON object of items with these fields; items: array<string>."""
+    """A question for a JSON object of items with these fields; items: array<string>. Its wording is fixed."""
     entry = "{" + ", ".join(f'"{f}": "..."' for f in fields) + "}"
     schema = F.array_join(F.transform(items, lambda i: F.concat(F.lit('"'), i, F.lit(f'": {entry}'))), ", ")
     return F.concat(
