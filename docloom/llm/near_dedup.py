@@ -162,7 +162,8 @@ class _Run:
         exploded = self.signed.where("doc_id is not null").select("doc_id", "d1", "d2", F.explode("bands").alias("key"))
         several = exploded.groupBy("key").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi")).where("lo < hi").select("key")
         several = self.scratch.write(several, "several")
-        found = self.scratch.write(exploded.join(_sized(several), "key"), "found")
+        # Copies of a set count once from here, so that a text with very many of them is one row per bucket.
+        found = self.scratch.write(exploded.join(_sized(several), "key").select("key", "d1", "d2").distinct(), "found")
         first = self.signed.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("first"))
         found = found.join(first, ["d1", "d2"]).groupBy("key", "first").agg(F.lit(1).alias("one")).select("key", F.col("first").alias("doc_id"))
         found = self.scratch.write(found, "one-each")
