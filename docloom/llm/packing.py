@@ -2,7 +2,7 @@
 
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +35,8 @@ class WordEncoder:
         import json
 
         import regex
-        from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
-        self.library.no_padding()
-        self.library.no_truncation()
+        self.path = path
         with open(path, encoding="utf-8") as f:
             own = json.load(f)
         self.split = regex.compile(own["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
@@ -48,6 +45,16 @@ class WordEncoder:
         self.vocabulary = Vocabulary.from_merges(path)
         self.known = KnownRanges(KEPT_WORDS)
 
+    @cached_property
+    def library(self):
+        """Loaded by the first word that needs it."""
+        from tokenizers import Tokenizer
+
+        library = Tokenizer.from_file(self.path)
+        library.no_padding()
+        library.no_truncation()
+        return library
+
     def _learn(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         split, own = [], {}
         for i, x in enumerate(raw):
