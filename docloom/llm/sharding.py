@@ -6,6 +6,7 @@ A version is committed by creating its file, which fails if another writer has c
 
 import json
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,9 @@ TARGET_BYTES = 128 << 20
 GROWTH, FAN_IN = 4, 4
 #: Shards smaller than this are of the lowest tier.
 LEAST_BYTES = 1 << 20
+#: A file of at least this part of the target isn't merged again. Small shards arrive at the target divided by ARRIVAL_PART,
+#: and a delivery is so many targets of input at most, unless a single file is larger.
+FULL, ARRIVAL_PART, DELIVERY_TARGETS = 0.75, 8, 8
 
 
 class Conflict(RuntimeError):
@@ -47,6 +51,11 @@ class Store:
         for part in ("data", "manifests"):
             self.fs.mkdirs(self.path(f"{self.base}/{part}"))
 
+    def file_sizes(self, files: list[str]) -> dict[str, int]:
+        conf, uri = self.spark._jsc.hadoopConfiguration(), self.spark._jvm.java.net.URI
+        paths = {f: self.path(uri(f)) for f in files}
+        return {f: p.getFileSystem(conf).getFileStatus(p).getLen() for f, p in paths.items()}
+
     def version(self) -> int:
         """The latest committed version; 0 is the empty store."""
         names = [s.getPath().getName() for s in self.fs.listStatus(self.path(f"{self.base}/manifests"))]
@@ -89,40 +98,59 @@ class Store:
         at = self.version()
         return self.commit(at, [*self.shards(at), self._write(df, 0)])
 
+    def append_split(self, df: DataFrame, rows: int) -> int:
+        """The rows of df as shards of one file and at most so many rows each, all in one version."""
+        at, drafts = self.version(), f"{self.base}/data/{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").option("maxRecordsPerFile", rows).parquet(drafts)
+        files = [s for s in self.fs.listStatus(self.path(drafts)) if s.getPath().getName().endswith(".parquet")]
+        counts = self.spark.read.schema(df.schema).parquet(drafts).groupBy(F.col("_metadata.file_name").alias("file")).count()
+        counts = {r["file"]: r["count"] for r in counts.collect()}
+        made = []
+        for s in files:
+            file, name = s.getPath().getName(), uuid.uuid4().hex
+            self.fs.mkdirs(self.path(f"{self.base}/data/{name}"))
+            if not self.fs.rename(s.getPath(), self.path(f"{self.base}/data/{name}/{file}")):
+                raise RuntimeError(f"{drafts}/{file} can't be moved")
+            made.append(Shard(name, counts.get(file, 0), s.getLen(), 1, 0))
+        self.fs.delete(self.path(drafts), True)
+        return self.commit(at, [*self.shards(at), *made])
+
     def due(self, shards: list[Shard]) -> list[list[Shard]]:
-        """Runs to merge: FAN_IN or more of a tier, oldest first, cut so that a run doesn't pass the target by much. Shards
-        at the target stay as they are."""
+        """Runs to merge: FAN_IN or more of a tier, oldest first, cut so that a run doesn't pass the target by much. A shard is
+        judged by the size of its files: those near the target stay as they are, many small ones in one shard are a run."""
         by_tier: dict[int, list[Shard]] = {}
         for s in shards:
-            if s.bytes < self.target:
-                by_tier.setdefault(tier(s.bytes, self.least), []).append(s)
+            if s.bytes < FULL * self.target * s.files:
+                by_tier.setdefault(tier(s.bytes // s.files, self.least), []).append(s)
         runs = []
         for own in by_tier.values():
             run: list[Shard] = []
             for s in own:
                 run.append(s)
-                if len(run) >= FAN_IN and (sum(x.bytes for x in run) >= self.target or s is own[-1]):
+                full = sum(x.bytes for x in run) >= self.target and sum(x.files for x in run) >= FAN_IN
+                if full or (len(run) >= FAN_IN and s is own[-1]):
                     runs.append(run)
                     run = []
-            if len(run) >= FAN_IN:
-                runs.append(run)
         return runs
 
     def compact(self) -> int:
         """Merges until no tier has FAN_IN shards. Each merge reads its run once, writes files of about the target size, and
-        is committed by itself. Merged shards stay on disk for readers of older versions until vacuum()."""
-        while runs := self.due(self.shards(at := self.version())):
-            run = runs[0]
-            size = sum(s.bytes for s in run)
-            df = self._read(run)
-            files = max(1, round(size / self.target))
-            made = self._write(df.coalesce(files), 1 + max(s.merged for s in run))
-            if made.rows != sum(s.rows for s in run):
-                raise RuntimeError(f"merged {made.rows} rows of {sum(s.rows for s in run)}")
-            names = {s.name for s in run}
-            self.commit(at, [*(s for s in self.shards(at) if s.name not in names), made])
+        is committed by itself; runs that are due together are merged side by side. Merged shards stay on disk for readers of
+        older versions until vacuum()."""
+        while runs := self.due(self.shards()):
+            with ThreadPoolExecutor(min(len(runs), self.spark.sparkContext.defaultParallelism)) as pool:
+                for run, made in zip(runs, pool.map(self._merge, runs), strict=True):
+                    at, names = self.version(), {s.name for s in run}
+                    self.commit(at, [*(s for s in self.shards(at) if s.name not in names), made])
         return self.version()
 
+    def _merge(self, run: list[Shard]) -> Shard:
+        files = max(1, round(sum(s.bytes for s in run) / self.target))
+        made = self._write(self._read(run).coalesce(files), 1 + max(s.merged for s in run))
+        if made.rows != sum(s.rows for s in run):
+            raise RuntimeError(f"merged {made.rows} rows of {sum(s.rows for s in run)}")
+        return made
+
     def _read(self, shards: list[Shard]) -> DataFrame:
         return self.spark.read.parquet(*(f"{self.base}/data/{s.name}" for s in shards))
 
@@ -143,21 +171,22 @@ class Store:
 
 
 def shard_table(df: DataFrame, base: str, arrivals: int, target: int = TARGET_BYTES, least: int = LEAST_BYTES) -> Store:
-    """A new store with the files of df appended in at most so many arrivals, compacted whenever FAN_IN more are there.
+    """A new store with the files of df appended in so many deliveries, or more where one would be large, as small shards.
 
-    df is a frame that reads Parquet files; a file is in one arrival, so each is read once. All columns are stored as they
-    are, nulls and repeated rows too; a table without rows gives shards without rows, one without files an empty store.
+    df is a frame that reads Parquet files; a file is in one delivery, so each is read once. A delivery comes as shards of
+    about the target divided by ARRIVAL_PART, so their number grows with the table, not their size, and a large file is
+    split; each delivery is compacted. All columns are stored as they are, nulls and repeated rows too; a table without rows
+    gives shards without rows, one without files an empty store.
     """
     store = Store(df.sparkSession, base, target, least)
-    files = sorted(df.inputFiles())
-    n = min(arrivals, len(files))
+    sizes = store.file_sizes(df.inputFiles())
+    files, whole = sorted(sizes), sum(sizes.values())
+    n = min(max(arrivals, -(-whole // (DELIVERY_TARGETS * target))), len(files))
+    rows = max(1, df.count() * target // (ARRIVAL_PART * max(1, whole)))
     for i in range(n):
-        store.append(df.sparkSession.read.schema(df.schema).parquet(*files[i::n]))
-        if (i + 1) % FAN_IN == 0:
-            store.compact()
-            store.vacuum()
-    store.compact()
-    store.vacuum()
+        store.append_split(df.sparkSession.read.schema(df.schema).parquet(*files[i::n]), rows)
+        store.compact()
+        store.vacuum()
     return store
 
 

@@ -48,3 +48,22 @@ def test_table(spark, odd, empty, tmp_path):
     assert placed.columns == ["doc_id", "shard", "tier", "shard_rows", "version"] and placed.count() == odd.count()
     empty.write.parquet(str(tmp_path / "none"))
     assert sharding.shard_table(spark.read.schema(empty.schema).parquet(str(tmp_path / "none")), str(tmp_path / "store2"), arrivals=2).version() >= 1
+
+
+def test_small_shards_and_merges_at_every_scale(spark, tmp_path):
+    """One large file, and arrivals that would each pass the target, still come as small shards that are merged."""
+    df = spark.range(60_000).selectExpr("id as doc_id", "sha2(cast(id as string), 256) as text")
+    for parts in (1, 8):
+        df.repartition(parts).write.parquet(str(tmp_path / f"in{parts}"))
+        source, target = spark.read.parquet(str(tmp_path / f"in{parts}")), 200_000
+        store = sharding.shard_table(source, str(tmp_path / f"store{parts}"), arrivals=2, target=target, least=1 << 10)
+        shards = store.shards()
+        assert store.read().select("doc_id").distinct().count() == sum(s.rows for s in shards) == 60_000
+        assert any(s.merged for s in shards) and len(shards) > 4
+        assert all(s.bytes // s.files < 2 * target for s in shards)
+        assert sum(s.bytes for s in shards if s.bytes // s.files >= target // 2) > 0.7 * sum(s.bytes for s in shards)
+
+
+def test_many_small_files_of_one_shard_are_due(spark, tmp_path):
+    store = sharding.Store(spark, str(tmp_path / "store"), target=1000, least=10)
+    assert [[s.name for s in r] for r in store.due([sharding.Shard("a", 1, 8000, 100, 0), sharding.Shard("b", 1, 8000, 8, 0)])] == [["a"]]
