@@ -73,7 +73,8 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def _contexts(text: str, spans: list[tuple[str, int, int]]) -> list[tuple]:
-    """(entity, term, context, start, end) of the words around each value; values and what touches them are no terms."""
+    """(entity, term, context, start, end) of the words around each value, and without a term for the value itself; values
+    and what touches them are no terms."""
     taken = sorted((a, b) for _, a, b in spans)
     out = []
     for kind, a, b in spans:
@@ -86,6 +87,7 @@ def _contexts(text: str, spans: list[tuple[str, int, int]]) -> list[tuple]:
         near = before + after
         context = hashlib.blake2b("\0".join(text[x:y].lower() for x, y in near).encode(), digest_size=8).digest()
         seen = int.from_bytes(context, "little", signed=True)
+        out.append((f"{kind}:{value}", None, seen, a, b))
         for x, y in near:
             while y > x and not text[y - 1].isalnum():
                 y -= 1
@@ -156,13 +158,15 @@ def _stretches(terms: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _disclosing(found: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     """(entity, term) pairs whose pointwise mutual information is at least DISCLOSED of the entity's own information.
 
-    Probabilities are over the words of the whole corpus: an entity's is the number of its different contexts, a term's
-    the number of its occurrences, the pair's the number of different contexts with both. Copies of a context count once.
+    Probabilities are over the words of the whole corpus, all in occurrences, so copies weigh alike on both sides: an
+    entity's are its values', a term's its own, the pair's those of the term beside the value. A pair needs SUPPORT different
+    contexts, and there copies of a context count once.
     """
-    seen = found.where(F.size("contexts") > 0).select(F.explode("contexts").alias("c")).select("c.entity", "c.term", "c.context").distinct()
+    seen = found.where(F.size("contexts") > 0).select(F.explode("contexts").alias("c")).groupBy("c.entity", "c.term", "c.context").agg(F.count("*").alias("n"))
     seen = scratch.write(seen, "contexts")
-    pairs = scratch.write(seen.groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= SUPPORT), "pairs")
-    values = seen.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    pairs = seen.where("term is not null").groupBy("entity", "term").agg(F.sum("n").alias("both"), F.count("*").alias("support"))
+    pairs = scratch.write(pairs.where(F.col("support") >= SUPPORT), "pairs")
+    values = seen.where("term is null").groupBy("entity").agg(F.sum("n").alias("n_entity"))
     terms = scratch.write(pairs.select("term").distinct(), "terms")
     n_terms = terms.count()
     if n_terms <= BROADCAST_TERMS:

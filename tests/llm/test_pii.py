@@ -89,3 +89,20 @@ def test_cut_joins_overlaps():
     assert pii.cut("ab cd ef", [("email", 0, 5), ("phone", 3, 8)]) == "[EMAIL]"
     assert pii.cut("ab 12 ef", [("term", 3, 5), ("term", 6, 8)]) == "ab [NUMBER] [TERM]"
     assert pii.cut("", []) == ""
+
+
+def terms_of(df, texts):
+    """{doc_id: the marked terms' texts}."""
+    rows = pii.find(df).collect()
+    return {r.doc_id: [texts[r.doc_id][int(a) : int(b)] for k, a, b in (x.split(":") for x in r.spans.split(",") if x) if k == "term"] for r in rows}
+
+
+def test_copies_disclose_as_much_as_single_texts(spark):
+    rng = random.Random(3)
+    word = lambda: rng.choice("red green blue dark light".split()) + str(rng.randint(0, 60))
+    texts = [" ".join([word() for _ in range(9)] + ["Heron", "cy@z.org"] + [word() for _ in range(9)]) for _ in range(3)]
+    rest = [" ".join(word() for _ in range(400)) for _ in range(50)]
+    for copies in (1, 8):
+        rows = dict(enumerate(texts * copies + rest))
+        got = terms_of(spark.createDataFrame(list(rows.items()), "doc_id long, text string"), rows)
+        assert [got[i] for i in range(3 * copies)] == [["Heron"]] * 3 * copies
