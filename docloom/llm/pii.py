@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,9 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import split_stops
 from .storage import Scratch
-from .textscan import slices, utf8, word_bounds, word_hashes
 
 KINDS = ("email", "ip", "card", "phone")
 #: Words on either side of a protected value that make its context.
@@ -72,6 +71,21 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def _bare(text: str, x: int, y: int) -> tuple[int, int]:
+    """A word's bounds without what leads or follows its letters and digits."""
+    while y > x and not text[y - 1].isalnum():
+        y -= 1
+    while y > x and not text[x].isalnum():
+        x += 1
+    return x, y
+
+
+def _term(word: str) -> str:
+    """The term that a word counts as; empty if it has no letter or digit."""
+    x, y = _bare(word, 0, len(word))
+    return word[x:y].lower()
+
+
 def _contexts(text: str, spans: list[tuple[str, int, int]]) -> list[tuple]:
     """(entity, term, context, start, end) of the words around each value, and without a term for the value itself; values
     and what touches them are no terms."""
@@ -89,10 +103,7 @@ def _contexts(text: str, spans: list[tuple[str, int, int]]) -> list[tuple]:
         seen = int.from_bytes(context, "little", signed=True)
         out.append((f"{kind}:{value}", None, seen, a, b))
         for x, y in near:
-            while y > x and not text[y - 1].isalnum():
-                y -= 1
-            while y > x and not text[x].isalnum():
-                x += 1
+            x, y = _bare(text, x, y)
             if y > x and all(y <= p or x >= q for p, q in taken):
                 out.append((f"{kind}:{value}", text[x:y].lower(), seen, x, y))
     return out
@@ -127,34 +138,24 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row += n
 
 
-def _counter(terms: list[str]):
-    wanted = np.unique(word_hashes(*_stretches(terms)))
+def _counter(wanted: set[str] | None):
+    """Occurrences of the wanted terms, or of all, in each batch; all words together stand under no term."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, words = np.zeros(len(wanted), np.int64), 0
         for batch in batches:
-            data, offsets = utf8(batch.column(0))
-            for a, b in slices(offsets):
-                part, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                starts, ends, _ = word_bounds(part, at)
-                words += len(starts)
-                if not len(wanted):
-                    continue
-                hashes = word_hashes(part, *split_stops(part, starts, ends))
-                place = np.searchsorted(wanted, hashes)
-                place[place == len(wanted)] = 0
-                total += np.bincount(place[wanted[place] == hashes], minlength=len(wanted))
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(wanted.view(np.int64), 0)), pa.array(np.append(total, words)), pa.array(np.append(np.zeros(len(wanted), bool), True))], names=["hash", "n", "every"])
+            words: Counter[str] = Counter()
+            for text in batch.column(0):
+                words.update(_CONTEXT.findall(text.as_py() or ""))
+            found: Counter[str] = Counter()
+            for word, n in words.items():
+                term = _term(word)
+                if term and (wanted is None or term in wanted):
+                    found[term] += n
+            yield pa.RecordBatch.from_arrays([pa.array([*found, None], pa.string()), pa.array([*found.values(), words.total()], pa.int64())], names=["term", "n"])
 
     return count
 
 
-def _stretches(terms: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    raw = [t.encode() for t in terms]
-    ends = np.cumsum([len(x) for x in raw])
-    return np.frombuffer(b"".join(raw), np.uint8), ends - [len(x) for x in raw], ends
-
-
 def _disclosing(found: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     """(entity, term) pairs whose pointwise mutual information is at least DISCLOSED of the entity's own information.
 
@@ -168,19 +169,11 @@ def _disclosing(found: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFra
     pairs = scratch.write(pairs.where(F.col("support") >= SUPPORT), "pairs")
     values = seen.where("term is null").groupBy("entity").agg(F.sum("n").alias("n_entity"))
     terms = scratch.write(pairs.select("term").distinct(), "terms")
-    n_terms = terms.count()
-    if n_terms <= BROADCAST_TERMS:
-        own = [r.term for r in terms.collect()]
-        counts = texts.mapInArrow(_counter(own), "hash long, n long, every boolean").groupBy("hash", "every").agg(F.sum("n").alias("n"))
-        counts = scratch.write(counts, "counts")
-        by_term = dict(zip(own, word_hashes(*_stretches(own)).view(np.int64).tolist(), strict=True))
-        key = texts.sparkSession.createDataFrame(list(by_term.items()), "term string, hash long")
-        n_term = counts.where("not every").join(F.broadcast(key), "hash").select("term", F.col("n").alias("n_term"))
-        total = counts.where("every").select(F.col("n").alias("total"))
-    else:
-        words = texts.select(F.explode(F.split(F.lower(F.col("text")), r"[\x20\x09-\x0D]+")).alias("word")).where("word <> ''")
-        words = scratch.write(words.groupBy(F.regexp_replace("word", r"(?<=[a-z0-9])[.,]$", "").alias("term")).agg(F.count("*").alias("n_term")), "counts")
-        n_term, total = words.join(terms, "term"), words.agg(F.sum("n_term").alias("total"))
+    few = terms.count() <= BROADCAST_TERMS
+    counts = texts.mapInArrow(_counter({r.term for r in terms.collect()} if few else None), "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
+    counts = scratch.write(counts, "counts")
+    total = counts.where("term is null").select(F.col("n_term").alias("total"))
+    n_term = terms.join(counts, "term", "left").select("term", F.coalesce("n_term", F.lit(0)).alias("n_term"))
     scored = pairs.join(values, "entity").join(n_term, "term").join(F.broadcast(total))
     # A context spans 2 * REACH words, so that many places would hold the term by chance.
     shared = F.log2(F.col("both") * F.col("total") / (F.col("n_entity") * 2 * REACH * F.greatest("n_term", "both")))

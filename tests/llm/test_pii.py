@@ -106,3 +106,17 @@ def test_copies_disclose_as_much_as_single_texts(spark):
         rows = dict(enumerate(texts * copies + rest))
         got = terms_of(spark.createDataFrame(list(rows.items()), "doc_id long, text string"), rows)
         assert [got[i] for i in range(3 * copies)] == [["Heron"]] * 3 * copies
+
+
+def test_counts_follow_the_terms_in_both_branches(spark, monkeypatch):
+    rng = random.Random(4)
+    word = lambda: rng.choice("red green blue dark light".split()) + str(rng.randint(0, 60))
+    texts = [" ".join([word() for _ in range(9)] + ["(Héron)", '"ÉMILE";', "Name:", "cy@z.org"] + [word() for _ in range(9)]) for _ in range(4)]
+    texts += [" ".join([word() for _ in range(40)] + [rng.choice(["Name:", "(name", "NAME;"]) for _ in range(8)]) for _ in range(60)]
+    rows = dict(enumerate(texts))
+    df, got = spark.createDataFrame(list(rows.items()), "doc_id long, text string"), []
+    for bound in (500_000, 0):
+        monkeypatch.setattr(pii, "BROADCAST_TERMS", bound)
+        got.append((terms_of(df, rows), {r.doc_id: r.text for r in pii.sanitise(df).collect()}))
+    assert got[0] == got[1]
+    assert [got[0][0][i] for i in range(5)] == [["Héron", "ÉMILE"]] * 4 + [[]]
