@@ -31,7 +31,6 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
 _CONTEXT = re.compile(r"[^\x20\x09-\x0D]+")
-SPANS = "array<struct<kind:string,start:int,end:int>>"
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -86,13 +85,28 @@ def _term(word: str) -> str:
     return word[x:y].lower()
 
 
+def _entity(text: str, kind: str, a: int, b: int) -> str:
+    value = text[a:b].lower() if kind == "email" else _NOT_DIGIT.sub("", text[a:b]) if kind != "ip" else text[a:b]
+    return f"{kind}:{value}"
+
+
+def _marks(text: str, spans: list[tuple[str, int, int]], wanted: set[str]) -> list[tuple[str, int, int]]:
+    """Every place of a wanted term in the text; values and what touches them are no terms."""
+    out = []
+    for m in _CONTEXT.finditer(text) if wanted else ():
+        x, y = _bare(text, *m.span())
+        if text[x:y].lower() in wanted and all(y <= p or x >= q for _, p, q in spans):
+            out.append(("term", x, y))
+    return out
+
+
 def _contexts(text: str, spans: list[tuple[str, int, int]]) -> list[tuple]:
-    """(entity, term, context, start, end) of the words around each value, and without a term for the value itself; values
-    and what touches them are no terms."""
+    """(entity, term, context) of the words around each value, and without a term for the value itself; values and what
+    touches them are no terms."""
     taken = sorted((a, b) for _, a, b in spans)
     out = []
     for kind, a, b in spans:
-        value = text[a:b].lower() if kind == "email" else _NOT_DIGIT.sub("", text[a:b]) if kind != "ip" else text[a:b]
+        entity = _entity(text, kind, a, b)
         # Enough text on either side for that many words of usual length; a longer word ends the context.
         low, high = max(0, a - 40 * REACH), min(len(text), b + 40 * REACH)
         words = list(_CONTEXT.finditer(text, low, high))
@@ -101,57 +115,66 @@ def _contexts(text: str, spans: list[tuple[str, int, int]]) -> list[tuple]:
         near = before + after
         context = hashlib.blake2b("\0".join(text[x:y].lower() for x, y in near).encode(), digest_size=8).digest()
         seen = int.from_bytes(context, "little", signed=True)
-        out.append((f"{kind}:{value}", None, seen, a, b))
+        out.append((entity, None, seen))
         for x, y in near:
             x, y = _bare(text, x, y)
             if y > x and all(y <= p or x >= q for p, q in taken):
-                out.append((f"{kind}:{value}", text[x:y].lower(), seen, x, y))
+                out.append((entity, text[x:y].lower(), seen))
     return out
 
 
-_FOUND = f"row long, doc_id long, text_hash string, spans {SPANS}, base_sha256 string, contexts array<struct<entity:string,term:string,context:long,start:int,end:int>>"
-_SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-_SEEN = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("context", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
+_FOUND = "text_hash string, contexts array<struct<entity:string,term:string,context:long,first:long>>"
+_SEEN = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("context", pa.int64()), ("first", pa.int64())]))
 
 
 def _line(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from pyspark import TaskContext
+def _likely(texts: pa.Array) -> np.ndarray:
+    """Places of the texts that may hold a value."""
+    return np.flatnonzero(pc.fill_null(pc.match_substring_regex(texts, "[0-9@]"), False).to_numpy(zero_copy_only=False))
+
 
-    row = TaskContext.get().partitionId() << 40
-    nothing = hashlib.sha256(b"").hexdigest()
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        n, texts = batch.num_rows, batch.column(1)
-        spans, seen, sums, hashes = [[]] * n, [[]] * n, [nothing] * n, [None] * n
-        for i in np.flatnonzero(pc.fill_null(pc.match_substring_regex(texts, "[0-9@]"), False).to_numpy(zero_copy_only=False)):
-            text = texts[int(i)].as_py()
-            found = base_spans(text)
-            if found:
-                spans[i] = [{"kind": k, "start": a, "end": b} for k, a, b in found]
-                hashes[i] = hashlib.sha256(text.encode()).hexdigest()
-                sums[i] = hashlib.sha256(_line(found).encode()).hexdigest()
-                seen[i] = [dict(zip(("entity", "term", "context", "start", "end"), x, strict=True)) for x in _contexts(text, found)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(row, row + n), pa.int64()), batch.column(0), pa.array(hashes, pa.string()), pa.array(spans, _SPAN), pa.array(sums), pa.array(seen, _SEEN)], names=["row", "doc_id", "text_hash", "spans", "base_sha256", "contexts"])
-        row += n
+        hashes, seen = [], []
+        for i in _likely(batch.column(0)):
+            text = batch.column(0)[int(i)].as_py()
+            if found := base_spans(text):
+                hashes.append(hashlib.sha256(text.encode()).hexdigest())
+                contexts, had = [], set()
+                for entity, term, context in _contexts(text, found):
+                    contexts.append({"entity": entity, "term": term, "context": context, "first": int((entity, term) not in had)})
+                    had.add((entity, term))
+                seen.append(contexts)
+        yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.string()), pa.array(seen, _SEEN)], names=["text_hash", "contexts"])
 
 
 def _counter(wanted: set[str] | None):
-    """Occurrences of the wanted terms, or of all, in each batch; all words together stand under no term."""
+    """Occurrences of the wanted terms, or of all, in each batch, and texts that hold them; words and texts of the batch stand
+    under no term."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words: Counter[str] = Counter()
+            texts: Counter[str] = Counter()
+            terms: dict[str, str] = {}
             for text in batch.column(0):
-                words.update(_CONTEXT.findall(text.as_py() or ""))
-            found: Counter[str] = Counter()
-            for word, n in words.items():
-                term = _term(word)
-                if term and (wanted is None or term in wanted):
-                    found[term] += n
-            yield pa.RecordBatch.from_arrays([pa.array([*found, None], pa.string()), pa.array([*found.values(), words.total()], pa.int64())], names=["term", "n"])
+                own = Counter(_CONTEXT.findall(text.as_py() or ""))
+                held = set()
+                for word, n in own.items():
+                    if (term := terms.get(word)) is None:
+                        term = _term(word)
+                        term = terms[word] = term if wanted is None or term in wanted else ""
+                    if term:
+                        words[term] += n
+                        held.add(term)
+                texts.update(held)
+                words[""] += own.total()
+            texts[""] = batch.num_rows
+            keys = list(texts)
+            yield pa.RecordBatch.from_arrays([pa.array([k or None for k in keys], pa.string()), pa.array([words[k] for k in keys], pa.int64()), pa.array([texts[k] for k in keys], pa.int64())], names=["term", "n", "texts"])
 
     return count
 
@@ -161,50 +184,77 @@ def _disclosing(found: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFra
 
     Probabilities are over the words of the whole corpus, all in occurrences, so copies weigh alike on both sides: an
     entity's are its values', a term's its own, the pair's those of the term beside the value. A pair needs SUPPORT different
-    contexts, and there copies of a context count once.
+    contexts, and there copies of a context count once. Or else the same holds with texts for words: those with the value,
+    with the term anywhere, and with the term beside the value.
     """
-    seen = found.where(F.size("contexts") > 0).select(F.explode("contexts").alias("c")).groupBy("c.entity", "c.term", "c.context").agg(F.count("*").alias("n"))
+    seen = found.where(F.size("contexts") > 0).select(F.explode("contexts").alias("c")).groupBy("c.entity", "c.term", "c.context").agg(F.count("*").alias("n"), F.sum("c.first").alias("texts"))
     seen = scratch.write(seen, "contexts")
-    pairs = seen.where("term is not null").groupBy("entity", "term").agg(F.sum("n").alias("both"), F.count("*").alias("support"))
+    pairs = seen.where("term is not null").groupBy("entity", "term").agg(F.sum("n").alias("both"), F.sum("texts").alias("both_texts"), F.count("*").alias("support"))
     pairs = scratch.write(pairs.where(F.col("support") >= SUPPORT), "pairs")
-    values = seen.where("term is null").groupBy("entity").agg(F.sum("n").alias("n_entity"))
+    values = seen.where("term is null").groupBy("entity").agg(F.sum("n").alias("n_entity"), F.sum("texts").alias("entity_texts"))
     terms = scratch.write(pairs.select("term").distinct(), "terms")
     few = terms.count() <= BROADCAST_TERMS
-    counts = texts.mapInArrow(_counter({r.term for r in terms.collect()} if few else None), "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
+    counts = texts.mapInArrow(_counter({r.term for r in terms.collect()} if few else None), "term string, n long, texts long").groupBy("term").agg(F.sum("n").alias("n_term"), F.sum("texts").alias("term_texts"))
     counts = scratch.write(counts, "counts")
-    total = counts.where("term is null").select(F.col("n_term").alias("total"))
-    n_term = terms.join(counts, "term", "left").select("term", F.coalesce("n_term", F.lit(0)).alias("n_term"))
+    total = counts.where("term is null").select(F.col("n_term").alias("total"), F.col("term_texts").alias("all_texts"))
+    n_term = terms.join(counts, "term", "left").select("term", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_term", "term_texts")])
     scored = pairs.join(values, "entity").join(n_term, "term").join(F.broadcast(total))
     # A context spans 2 * REACH words, so that many places would hold the term by chance.
     shared = F.log2(F.col("both") * F.col("total") / (F.col("n_entity") * 2 * REACH * F.greatest("n_term", "both")))
     own = F.log2(F.col("total") / (F.col("n_entity") * 2 * REACH))
-    return scratch.write(scored.where(shared >= DISCLOSED * own).select("entity", "term"), "disclosing")
+    # The same by texts: a name that a text repeats away from the value is as close to it there.
+    shared_texts = F.log2(F.col("both_texts") * F.col("all_texts") / (F.col("entity_texts") * F.greatest("term_texts", "both_texts")))
+    own_texts = F.log2(F.col("all_texts") / F.col("entity_texts"))
+    return scratch.write(scored.where((shared >= DISCLOSED * own) | ((own_texts > 0) & (shared_texts >= DISCLOSED * own_texts))).select("entity", "term"), "disclosing")
 
 
-def _analyse(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Base spans of each row, disclosing (entity, term) pairs, and (row, terms) where a row has such terms."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def _terms(docs: DataFrame, text_col: str, scratch: Scratch):
+    """(source, wanted): docs, and a function that gives the disclosing terms of a text's values from the values and the
+    column behind those of docs. Few pairs go to every task; where they are many, a text gets its own terms in that column,
+    by a join on its hash.
+    """
+    texts = docs.select(F.col(text_col).cast("string").alias("text"))
     found = scratch.write(texts.mapInArrow(_scan, _FOUND), "found")
-    pairs = _disclosing(found, texts.select("text"), scratch)
-    seen = found.where(F.size("contexts") > 0).select("row", F.explode("contexts").alias("c")).select("row", "c.*")
-    terms = seen.join(pairs, ["entity", "term"], "left_semi").select("row", "start", "end").distinct()
-    terms = terms.groupBy("row").agg(F.sort_array(F.collect_list(F.struct(F.lit("term").alias("kind"), "start", "end"))).alias("terms"))
-    return found, pairs, scratch.write(terms, "row-terms")
+    pairs = _disclosing(found, texts, scratch)
+    if pairs.count() <= BROADCAST_TERMS:
+        flagged: dict[str, set[str]] = {}
+        for r in pairs.collect():
+            flagged.setdefault(r.entity, set()).add(r.term)
+        return docs, lambda text, spans, own: set().union(*(flagged.get(_entity(text, *s), ()) for s in spans)) if flagged else set()
+    held = found.select("text_hash", F.explode("contexts").alias("c")).where("c.term is null").select("text_hash", "c.entity").distinct()
+    held = held.join(pairs, "entity").groupBy("text_hash").agg(F.collect_set("term").alias("terms"))
+    columns = [f"c{j}" for j in range(len(docs.columns))]
+    hashed = docs.toDF(*columns).withColumn("text_hash", F.sha2(F.col(columns[docs.columns.index(text_col)]).cast("string"), 256))
+    return hashed.join(scratch.write(held, "text-terms"), "text_hash", "left").select(*columns, "terms"), lambda text, spans, own: set(own or ())
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
 
-    spans has the base spans by kind, then the terms that disclose one of the row's values, as kind:start:end in code
-    points. Null and empty texts have none. Null ids pass through, repeated rows are scanned once each, other columns are
-    not read; an empty table gives an empty result. A long text is scanned in time in proportion to its length.
+    spans has the base spans by kind, then every place in the text of a term that discloses one of the row's values, as
+    kind:start:end in code points. Null and empty texts have none. Null ids pass through, repeated rows are scanned once
+    each, other columns are not read; an empty table gives an empty result. A long text is scanned in time in proportion to
+    its length.
     """
-    scratch = Scratch(docs.sparkSession, "pii")
-    found, _, terms = _analyse(docs, id_col, text_col, scratch)
-    both = found.join(terms, "row", "left").select("doc_id", "spans", "base_sha256", F.concat("spans", F.coalesce("terms", F.expr(f"cast(array() as {SPANS})"))).alias("every"))
-    counts = [F.expr(f"cast(size(filter(spans, s -> s.kind = '{k}')) as long)").alias(f"n_{k}") for k in KINDS]
-    line = F.array_join(F.transform("every", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    return both.select("doc_id", *counts, "base_sha256", line.alias("spans"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    source, wanted = _terms(texts, "text", Scratch(docs.sparkSession, "pii"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nothing = hashlib.sha256(b"").hexdigest()
+        for batch in batches:
+            n, texts = batch.num_rows, batch.column(1)
+            counts, sums, lines = np.zeros((len(KINDS), n), np.int64), [nothing] * n, [""] * n
+            for i in _likely(texts):
+                text = texts[int(i)].as_py()
+                if spans := base_spans(text):
+                    for kind, _, _ in spans:
+                        counts[KINDS.index(kind), i] += 1
+                    sums[i] = hashlib.sha256(_line(spans).encode()).hexdigest()
+                    own = batch.column(2)[int(i)].as_py() if batch.num_columns > 2 else None
+                    lines[i] = _line(spans + _marks(text, spans, wanted(text, spans, own)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, counts), pa.array(sums, pa.string()), pa.array(lines, pa.string())], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+
+    return source.mapInArrow(run, f"doc_id long, {', '.join(f'n_{k} long' for k in KINDS)}, base_sha256 string, spans string")
 
 
 def cut(text: str, spans: list[tuple[str, int, int]]) -> str:
@@ -222,31 +272,20 @@ def cut(text: str, spans: list[tuple[str, int, int]]) -> str:
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None) -> DataFrame:
     """docs with the found spans cut from the text; length_col, if given, gets the new length. Other columns stay as they are.
 
-    Spans depend on the text and the disclosing pairs alone. Few pairs go to every task; where they are many, a text gets
-    its own terms by a join on its hash.
+    Spans depend on the text and the disclosing pairs alone.
     """
-    scratch = Scratch(docs.sparkSession, "sanitise")
-    found, pairs, terms = _analyse(docs, id_col, text_col, scratch)
     columns, at = docs.columns, docs.columns.index(text_col)
-    flagged = {(r.entity, r.term) for r in pairs.collect()} if pairs.count() <= BROADCAST_TERMS else None
+    source, wanted = _terms(docs, text_col, Scratch(docs.sparkSession, "sanitise"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(at)
             new = texts.to_pylist()
-            for i in np.flatnonzero(pc.fill_null(pc.match_substring_regex(texts, "[0-9@]"), False).to_numpy(zero_copy_only=False)):
-                spans = base_spans(new[i])
-                if flagged is None:
-                    spans += [("term", x["start"], x["end"]) for x in batch.column(len(columns))[int(i)].as_py() or []]
-                elif spans and flagged:
-                    spans += {("term", a, b) for entity, term, _, a, b in _contexts(new[i], spans) if (entity, term) in flagged}
-                new[i] = cut(new[i], spans)
+            for i in _likely(texts):
+                if spans := base_spans(new[i]):
+                    own = batch.column(len(columns))[int(i)].as_py() if batch.num_columns > len(columns) else None
+                    new[i] = cut(new[i], spans + _marks(new[i], spans, wanted(new[i], spans, own)))
             yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if j == at else batch.column(j) for j in range(len(columns))], names=columns)
 
-    source = docs
-    if flagged is None:
-        texts = found.join(terms, "row").select("text_hash", "terms").dropDuplicates(["text_hash"])
-        hashed = docs.toDF(*[f"c{j}" for j in range(len(columns))]).withColumn("text_hash", F.sha2(F.col(f"c{at}"), 256))
-        source = hashed.join(texts, "text_hash", "left").drop("text_hash")
     out = source.mapInArrow(run, docs.schema)
     return out.withColumn(length_col, F.length(F.col(text_col)).cast(docs.schema[length_col].dataType)) if length_col else out

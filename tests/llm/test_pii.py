@@ -120,3 +120,18 @@ def test_counts_follow_the_terms_in_both_branches(spark, monkeypatch):
         got.append((terms_of(df, rows), {r.doc_id: r.text for r in pii.sanitise(df).collect()}))
     assert got[0] == got[1]
     assert [got[0][0][i] for i in range(5)] == [["Héron", "ÉMILE"]] * 4 + [[]]
+
+
+def test_terms_are_marked_in_the_whole_text(spark, monkeypatch):
+    rng = random.Random(6)
+    word = lambda: rng.choice("red green blue dark light".split()) + str(rng.randint(0, 60))
+    some = lambda n: " ".join(word() for _ in range(n))
+    rows = {i: f"{some(20)} Heron cy@z.org {some(60)}\n\n(heron) {some(30)} HERON's {some(5)} Heron." for i in range(4)}
+    rows |= {i: some(300) for i in range(4, 64)} | {64: f"{some(9)} Heron {some(9)}", 65: f"{some(40)} dan@z.org Heron"}
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    for bound in (500_000, 0):
+        monkeypatch.setattr(pii, "BROADCAST_TERMS", bound)
+        got = terms_of(df, rows)
+        assert [got[i] for i in range(4)] == [["Heron", "heron", "Heron"]] * 4 and got[64] == got[65] == []
+        clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+        assert all(clean[i].count("[TERM]") == 3 and clean[i].endswith(" [TERM].") for i in range(4)) and clean[64] == rows[64]
