@@ -28,6 +28,8 @@ TEMPLATES = {
 TERM = r"[a-z0-9]+(?:\.[0-9]+)*"
 #: A line that may name a licence.
 HEADER = r"(?i)licen[sc]e|copyright|spdx|public domain|permission (?:is hereby granted|to use)"
+#: A term that only stands where HEADER may match: windows of other terms are laid round it.
+KEY = r"licen[sc]e|copyright|^spdx$|^domain$|^permission$"
 LICENCE_FILE = r"(?i)^(?:licen[sc]e|copying|notice|unlicense)(?:[.\-_].*)?$"
 LEAST_COSINE = 0.7
 
@@ -61,10 +63,36 @@ def _weights(spark: SparkSession) -> tuple[DataFrame, DataFrame, float]:
 
 
 def headers(files: DataFrame, text: Column, licence_file: Column) -> DataFrame:
-    """(row, piece, header) of files that have any: each line that may name a licence, and a licence file's whole text."""
+    """(row, piece, header) of files that have any: each line that may name a licence, a licence file's whole text, and the
+    windows of notices inside of lines or wrapped over several."""
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(HEADER))
     pieces = F.when(licence_file, F.array_append(lines, text)).otherwise(lines)
-    return files.where(text.rlike(HEADER) | licence_file).select("row", F.posexplode(pieces).alias("piece", "header"))
+    named = files.where(text.rlike(HEADER) | licence_file)
+    whole = named.select("row", F.posexplode(pieces).alias("piece", "header"))
+    return whole.withColumn("piece", F.col("piece").cast("long")).unionByName(windows(named.select("row", text.alias("text"))))
+
+
+def windows(texts: DataFrame) -> DataFrame:
+    """(row, piece, header): the runs of terms over a key that begin and end with a template's term and are as long as a
+    template may be. Line ends don't count; the best run for a template begins and ends with its terms. A piece's number
+    comes from its place and is below 0, where no line's is."""
+    own = [re.findall(TERM, t.lower()) for texts in TEMPLATES.values() for t in texts]
+    least, most = min(map(len, own)), max(map(len, own))
+    vocabulary = F.array(*[F.lit(t) for t in sorted({t for terms in own for t in terms})])
+    terms = texts.where(F.col("text").rlike(HEADER)).select("row", F.expr(f"regexp_extract_all(lower(text), '{TERM}', 0)".replace("\\", "\\\\")).alias("terms"))
+    places = F.filter(F.transform("terms", lambda t, i: F.when(t.rlike(KEY), i)), lambda i: i.isNotNull())
+    # A run is taken at its first key, so once: it begins behind the key before that.
+    keys = F.transform("keys", lambda k, i: F.struct(k.alias("key"), F.when(i > 0, F.get("keys", i - 1)).otherwise(-1).alias("before")))
+    near = terms.withColumn("keys", places).select("row", "terms", F.explode(keys).alias("k")).select("row", "terms", "k.*")
+    begin = F.greatest(F.col("key") - (most - 1), F.lit(0))
+    near = near.select("row", begin.alias("begin"), (F.col("before") - begin).alias("before"), F.slice("terms", begin + 1, 2 * most - 1).alias("near"), (F.col("key") - begin).alias("key"))
+    known = F.filter(F.transform("near", lambda t, i: F.when(F.array_contains(vocabulary, t), i)), lambda i: i.isNotNull())
+    near = near.withColumn("known", known).select("row", "begin", "near", "key", "known", F.explode(F.filter("known", lambda i: (i <= F.col("key")) & (i > F.col("before")))).alias("first"))
+    near = near.select("row", "begin", "near", "key", "first", F.explode("known").alias("last"))
+    near = near.where((F.col("last") >= F.col("key")) & (F.col("last") - F.col("first") + 1).between(least, most))
+    piece = -1 - ((F.col("begin") + F.col("first")).cast("long") * most + F.col("last") - F.col("first"))
+    run = F.array_join(F.slice("near", F.col("first") + 1, F.col("last") - F.col("first") + 1), " ")
+    return near.select("row", piece.alias("piece"), run.alias("header"))
 
 
 def best_licence(pieces: DataFrame, least: float) -> DataFrame:
@@ -83,7 +111,7 @@ def best_licence(pieces: DataFrame, least: float) -> DataFrame:
 def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", keep: list[str] | None = None, least: float = LEAST_COSINE) -> DataFrame:
     """One row per input row: keep, path, own_license, own_score, is_license_file, license, inherited_from.
 
-    A file's own licence is the template nearest to one of its header lines, if near enough; a licence file (by its base
+    A file's own licence is the template nearest to one of its header lines or to a run of terms in them, if near enough; a licence file (by its base
     name) is compared as a whole too. license is the file's own, else that of the licence file in the nearest directory
     above it, whose path inherited_from gives; a directory with several takes the nearest to its template, then the first
     path. Rows without either have nulls.
@@ -129,7 +157,7 @@ def document_paths(docs: DataFrame) -> DataFrame:
 
 
 def document_sql(least: float = LEAST_COSINE) -> str:
-    """The rows of scan() over document_paths() in DuckDB."""
+    """The rows of scan() over document_paths() in DuckDB where a notice has a line of its own, as in the given table."""
     rows, rare = template_weights()
     values = ", ".join(f"('{name}', {i}, '{t}', {w!r}::DOUBLE)" for name, i, t, w in rows)
     n = sum(map(len, TEMPLATES.values()))

@@ -42,3 +42,16 @@ def test_every_template_is_nearest_to_itself(spark):
     df = spark.createDataFrame([(str(i), text) for i, _, text in rows], "path string, text string")
     found = {r.path: r.own_license for r in licenses.scan(df).collect()}
     assert all(found[str(i)] == name for i, name, _ in rows)
+
+
+def test_notices_inside_of_lines_and_wrapped(spark):
+    rows = [
+        ("MIT", "Copyright (c) 2020 John Doe. Released under the MIT License. All rights reserved."),
+        ("MIT", "The weather was fine that day and we went out. Released under the MIT License. Nothing else of note happened then."),
+        ("GPL-3.0", "x " * 500 + "This work is licensed under the GNU\n# General Public License, version 3 and " + "y " * 500),
+        (None, "Copyright 2020 by the people of the town, who need a license to fish"),
+    ]
+    df = spark.createDataFrame([(str(i), text) for i, (_, text) in enumerate(rows)], "path string, text string")
+    found = {r.path: (r.own_license, r.own_score) for r in licenses.scan(df).collect()}
+    assert [found[str(i)][0] for i in range(len(rows))] == [name for name, _ in rows]
+    assert all(found[str(i)][1] == 1 for i in range(3))
