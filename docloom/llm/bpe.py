@@ -66,8 +66,8 @@ class PairTable:
 class Ragged:
     """A growing list of integer sequences in one flat array."""
 
-    def __init__(self):
-        self.flat, self.starts, self.used, self.n = np.zeros(1 << 16, np.int32), np.zeros(1 << 12, np.int64), 0, 0
+    def __init__(self, kind: type = np.int32):
+        self.flat, self.starts, self.used, self.n = np.zeros(1 << 16, kind), np.zeros(1 << 12, np.int64), 0, 0
 
     def extend(self, flat: np.ndarray, lengths: np.ndarray) -> None:
         while self.used + len(flat) > len(self.flat):
@@ -239,7 +239,7 @@ def byte_letters() -> list[str]:
 
 
 class KnownRanges:
-    """Ids of stretches of bytes, each distinct one encoded once. They are told apart by a 64-bit hash."""
+    """Ids of stretches of bytes, each distinct one encoded once. They are found by a hash and told apart by their bytes."""
 
     def __init__(self, kept: int):
         self.kept, self.bits = kept, (4 * kept).bit_length()
@@ -247,7 +247,13 @@ class KnownRanges:
 
     def forget(self) -> None:
         self.slots, self.number = Slots(self.bits), np.zeros(1 << self.bits, np.int32)
-        self.ids, self.odd = Ragged(), np.zeros(0, bool)
+        self.ids, self.bytes, self.odd = Ragged(), Ragged(np.uint8), np.zeros(0, bool)
+
+    def _add(self, stretches: list[bytes], learn) -> None:
+        ids, lengths, odd = learn(stretches)
+        self.ids.extend(ids, lengths)
+        self.bytes.extend(np.frombuffer(b"".join(stretches), np.uint8), np.fromiter(map(len, stretches), np.int64, len(stretches)))
+        self.odd = np.concatenate([self.odd, odd])
 
     def places(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, learn) -> np.ndarray:
         """Where in ids each stretch is; learn(new stretches) gives ids, lengths and marks of odd ones."""
@@ -262,14 +268,36 @@ class KnownRanges:
             if self.ids.n + len(new) > self.kept:  # one text with more distinct words than are kept
                 self.kept, self.bits = 2 * (self.ids.n + len(new)), (8 * (self.ids.n + len(new))).bit_length()
                 self.forget()
-            raw, s, e = data.tobytes(), starts[first[new]].tolist(), ends[first[new]].tolist()
-            ids, lengths, odd = learn([raw[a:b] for a, b in zip(s, e, strict=True)])
+            before = self.ids.n
+            self._add(_cut(data, starts[first[new]], ends[first[new]]), learn)
             slots = self.slots.insert(distinct[new])
-            self.number[slots] = np.arange(self.ids.n, self.ids.n + len(new))
-            self.ids.extend(ids, lengths)
-            self.odd = np.concatenate([self.odd, odd])
+            self.number[slots] = np.arange(before, self.ids.n)
             at = self.slots.find(distinct)
-        return self.number[at].astype(np.int64)[inverse]
+        found = self.number[at].astype(np.int64)[inverse]
+        other = self._differing(data, starts, ends, found)
+        if len(other):
+            # Stretches whose hash another one holds: each is looked up by its bytes, and forgotten with the rest.
+            own = _cut(data, starts[other], ends[other])
+            number = {x: i for i, x in enumerate(dict.fromkeys(own))}
+            before = self.ids.n
+            self._add(list(number), learn)
+            found[other] = [before + number[x] for x in own]
+        return found
+
+    def _differing(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, found: np.ndarray) -> np.ndarray:
+        """Stretches whose bytes aren't those of the place found for them."""
+        lengths = ends - starts
+        held, sizes = self.bytes.gather(found)
+        if (lengths != sizes).any():
+            wrong = lengths != sizes
+            return np.union1d(np.flatnonzero(wrong), np.flatnonzero(~wrong)[self._differing(data, starts[~wrong], ends[~wrong], found[~wrong])])
+        unlike = np.flatnonzero(gather(data, starts, lengths) != held)
+        return np.unique(np.searchsorted(np.cumsum(lengths), unlike, "right"))
+
+
+def _cut(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    raw = data.tobytes()
+    return [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
 
 
 def split_stops(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .bpe import KnownRanges, Vocabulary, encode_split, joined, split_stops
 from .byte_bpe import encoded
-from .textscan import word_bounds, word_hashes
+from .textscan import lowered, word_bounds, word_hashes
 
 #: Distinct words that a worker keeps with their ids; beyond them it starts anew.
 KEPT_WORDS = 500_000
@@ -75,7 +75,8 @@ class WordEncoder:
         """The ids of all texts in one array, and how many each has."""
         starts, ends, _ = word_bounds(data, offsets)
         starts, ends = split_stops(data, starts, ends)
-        at = self.known.places(data, starts, ends, word_hashes(data, starts, ends), self._learn)
+        small = lowered(data)
+        at = self.known.places(small, starts, ends, word_hashes(small, starts, ends, lower=False), self._learn)
         ids, lengths = self.known.ids.gather(at)
         lengths = np.diff(np.concatenate(([0], np.cumsum(lengths)))[np.searchsorted(starts, offsets)])
         # Texts that may hold a special token as it is written, upper and lower case apart.

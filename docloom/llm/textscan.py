@@ -13,15 +13,12 @@ import pyarrow.compute as pc
 SLICE_BYTES = 1 << 20
 
 _rng = np.random.default_rng(20240607)
-_LETTER = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
 _PLACE = [int(x) * 2 + 1 for x in _rng.integers(1, 2**62, 64)]
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_keys = np.zeros(0, np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -34,14 +31,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        for i, base in enumerate((_BASE, _INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[i] = np.multiply.accumulate(steps)
-    return _powers[0][:n], _powers[1][:n]
+def _key(n: int) -> np.ndarray:
+    """A random number for each of the first n places of a word."""
+    global _keys
+    if len(_keys) < n:
+        _keys = mix((np.arange(1, 1 << (n - 1).bit_length() | 1, dtype=np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0xD1B54A32D192ED03))
+    return _keys
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -86,14 +81,27 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offsets)
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    return _LOWER[data]
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
-    """A 64-bit hash of each stretch of bytes: differences of one running sum, shifted to a common place."""
+    """A 64-bit hash of each stretch of bytes: the sum of its bytes, each times the random number of its place.
+
+    Two stretches differ in a byte by less than 2^9, so for random keys they collide with a probability of at most 2^-56,
+    whatever their pattern, length or repeats.
+    """
     if not len(starts):
         return np.zeros(0, np.uint64)
-    up, down = _power(len(data))
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_LETTER[_LOWER[data] if lower else data] * up, out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    lengths = ends - starts
+    done = np.cumsum(lengths)
+    at = np.arange(done[-1])
+    place = at - np.repeat(done - lengths, lengths)
+    letters = data[np.repeat(starts, lengths) + place]
+    letters = (_LOWER[letters] if lower else letters).astype(np.uint64) + np.uint64(1)
+    total = np.zeros(len(at) + 1, np.uint64)
+    np.cumsum(letters * _key(int(lengths.max()))[place], out=total[1:])
+    return mix(total[done] - total[done - lengths] + lengths.astype(np.uint64))
 
 
 def shingles(words: np.ndarray, firsts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

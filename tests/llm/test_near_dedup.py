@@ -3,11 +3,14 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from docloom.llm import near_dedup
+from docloom.llm import near_dedup, skew
 from docloom.llm.components import components
 from docloom.llm.storage import Scratch
 
+from .test_tokens import thue_morse
+
 
 def shingles(text, k):
     words = (text or "").encode().lower().split()
@@ -65,6 +68,35 @@ def test_matches_brute_force(spark, odd_texts, k, num, groups):
     assert want[8] == 7 and sizes[1] == sizes[2] == sizes[3] == 0 and want[2] == 2
 
 
+@pytest.mark.parametrize("seed", [11, 12])
+def test_every_bound_at_its_least(spark, monkeypatch, seed):
+    """Blocks of few documents or few bytes, no small buckets, and shuffles and hot keys instead of broadcasts."""
+    for name, value in {"BLOCK_DOCS": 4, "BLOCK_BYTES": 4000, "SMALL_BUCKET": 2, "TASK_DOCS": 8, "BROADCAST_IDS": 0}.items():
+        monkeypatch.setattr(near_dedup, name, value)
+    monkeypatch.setattr(skew, "HOT_KEYS", 30)
+    rows = corpus(seed, 8)
+    found = near_dedup.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), k=3, num=85)
+    want, _ = brute_force(rows, 3, 85, 100)
+    assert {r.doc_id: r.component_id for r in found.collect()} == want
+
+
+def test_words_that_collide_in_polynomials(spark):
+    words = [w for n in (10, 11, 12) for w in thue_morse(n)]
+    found = near_dedup.near_duplicate_classes(spark.createDataFrame(list(enumerate(words)), "doc_id long, text string"), k=3, num=85)
+    assert all(r.component_id == r.doc_id and r.n_shingles == 1 for r in found.collect())
+
+
+def test_counted_joins_agree(spark, monkeypatch):
+    rows = spark.createDataFrame([(i % 7 if i % 3 else 100, i) for i in range(200)] + [(None, 0), (55, 1)], "k int, x int")
+    keyed = rows.where("k is not null and k <> 55").groupBy("k").agg(F.count("*").alias("n"), F.max("x").alias("m"))
+    for how in ("inner", "left"):
+        got = []
+        for bound in (100_000, 10, 1):
+            monkeypatch.setattr(skew, "HOT_KEYS", bound)
+            got.append(sorted(map(tuple, skew.join_counted(rows, keyed, ["k"], 202, how).select("k", "x", "n", "m").collect()), key=repr))
+        assert got[0] == got[1] == got[2] and len(got[0]) == (200 if how == "inner" else 202)
+
+
 def test_empty_table(empty):
     assert near_dedup.near_duplicate_classes(empty).columns == ["doc_id", "n_shingles", "component_id", "kept"]
     assert near_dedup.near_duplicate_classes(empty).count() == 0
@@ -82,7 +114,7 @@ def test_band_shape_and_signatures():
         assert bands * rows <= near_dedup.MINIMA and (1 - threshold**rows) ** bands <= 1e-6
     rng = np.random.default_rng(1)
     x = rng.integers(0, 2**64, 900, dtype=np.uint64)
-    room = np.empty((near_dedup.MINIMA, 512), np.uint32)
+    room = np.empty((near_dedup.MINIMA, 512), np.uint64)
     agree = (near_dedup.minima(x[:850], room) == near_dedup.minima(x, room)).mean()
     assert abs(agree - 850 / 900) < 0.08
 

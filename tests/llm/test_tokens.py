@@ -55,6 +55,29 @@ def test_long_words(tik):
     assert encode(byte_bpe.Encoder(RANKS, P.PATTERN), words) == [tik.encode_ordinary(w) for w in words]
 
 
+def thue_morse(n):
+    word = "a"
+    for _ in range(n):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_collide_in_polynomials(tik, library):
+    texts = [f"x {a} {b}" for a, b in map(thue_morse, (10, 11, 12))] + [w for n in (10, 11, 12) for w in thue_morse(n)]
+    assert encode(byte_bpe.Encoder(RANKS, P.PATTERN), texts) == [tik.encode_ordinary(t) for t in texts]
+    assert encode(packing.WordEncoder(WORDS), texts) == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_words_of_one_hash_are_told_apart(tik, library, monkeypatch):
+    """Even if every hash is the same, and is the mark of an empty slot."""
+    alike = lambda data, starts, ends, lower=True: np.full(len(starts), 2**64 - 1, np.uint64)
+    texts = ["The cat sat on the mat, the end.", " a b  c\n", "", "the cat the CAT a"]
+    for module, encoder, want in ((byte_bpe, byte_bpe.Encoder(RANKS, P.PATTERN), tik.encode_ordinary), (packing, packing.WordEncoder(WORDS), lambda t: library.encode(t, add_special_tokens=False).ids)):
+        monkeypatch.setattr(module, "word_hashes", alike)
+        for _ in range(2):
+            assert encode(encoder, texts) == [want(t) for t in texts]
+
+
 def test_kept_words_are_bounded(tik, monkeypatch):
     encoder = byte_bpe.Encoder(RANKS, P.PATTERN)
     encoder.known = byte_bpe.KnownRanges(50)
