@@ -11,6 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .skew import join_counted
 from .storage import Scratch
 
 KINDS = ("email", "ip", "card", "phone")
@@ -20,9 +21,6 @@ REACH = 8
 SUPPORT = 3
 #: A term is disclosing if it gives at least this part of a value's information.
 DISCLOSED = 0.8
-#: Candidate terms of at most this many are broadcast; more are counted by a join.
-BROADCAST_TERMS = 500_000
-
 # Fixed patterns. The look-behinds stop a second start inside a run that the pattern takes whole from its beginning.
 _EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _EMAIL_HERE = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -79,10 +77,18 @@ def _bare(text: str, x: int, y: int) -> tuple[int, int]:
     return x, y
 
 
-def _term(word: str) -> str:
-    """The term that a word counts as; empty if it has no letter or digit."""
-    x, y = _bare(word, 0, len(word))
-    return word[x:y].lower()
+_DATE = re.compile(r"\d{1,4}([-/.])\d{1,2}\1\d{1,4}")
+
+
+def word_class(word: str) -> str:
+    """What a term is generalised to. No term has such a form, since terms begin with a letter or digit."""
+    if word.isdigit():
+        return "[NUMBER]"
+    if _DATE.fullmatch(word):
+        return "[DATE]"
+    if any(c.isdigit() for c in word):
+        return "[CODE]"
+    return "[NAME]" if word[:1].isupper() else "[WORD]"
 
 
 def _entity(text: str, kind: str, a: int, b: int) -> str:
@@ -90,36 +96,48 @@ def _entity(text: str, kind: str, a: int, b: int) -> str:
     return f"{kind}:{value}"
 
 
+def _word_bounds(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each word, in code points."""
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    edges = np.diff(np.concatenate(([0], ((points != 32) & ((points < 9) | (points > 13))).astype(np.int8), [0])))
+    return np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+
+
 def _marks(text: str, spans: list[tuple[str, int, int]], wanted: set[str]) -> list[tuple[str, int, int]]:
     """Every place of a wanted term in the text; values and what touches them are no terms."""
     out = []
-    for m in _CONTEXT.finditer(text) if wanted else ():
-        x, y = _bare(text, *m.span())
-        if text[x:y].lower() in wanted and all(y <= p or x >= q for _, p, q in spans):
-            out.append(("term", x, y))
+    if wanted:
+        taken = np.array(sorted((a, b) for _, a, b in spans))
+        latest = np.maximum.accumulate(taken[:, 1])
+        for x, y in zip(*map(np.ndarray.tolist, _word_bounds(text)), strict=True):
+            x, y = _bare(text, x, y)
+            if text[x:y].lower() in wanted:
+                i = np.searchsorted(taken[:, 0], y)
+                if i == 0 or latest[i - 1] <= x:
+                    out.append(("term", x, y))
     return out
 
 
 def _contexts(text: str, spans: list[tuple[str, int, int]]) -> list[tuple]:
-    """(entity, term, context) of the words around each value, and without a term for the value itself; values and what
-    touches them are no terms."""
-    taken = sorted((a, b) for _, a, b in spans)
+    """(entity, term, context) of the REACH words on either side of each value, the same for each term's class, and once
+    without a term for the value itself; values and what touches them are no terms."""
+    starts, ends = _word_bounds(text)
+    taken = np.array(sorted((a, b) for _, a, b in spans))
+    latest = np.maximum.accumulate(taken[:, 1])
     out = []
     for kind, a, b in spans:
         entity = _entity(text, kind, a, b)
-        # Enough text on either side for that many words of usual length; a longer word ends the context.
-        low, high = max(0, a - 40 * REACH), min(len(text), b + 40 * REACH)
-        words = list(_CONTEXT.finditer(text, low, high))
-        before = [m.span() for m in words if m.end() <= a and (m.start() > low or low == 0)][-REACH:]
-        after = [m.span() for m in words if m.start() >= b and (m.end() < high or high == len(text))][:REACH]
-        near = before + after
+        before, after = np.searchsorted(ends, a, "right"), np.searchsorted(starts, b, "left")
+        at = [*range(max(0, before - REACH), before), *range(after, min(len(starts), after + REACH))]
+        near = [(int(starts[i]), int(ends[i])) for i in at]
         context = hashlib.blake2b("\0".join(text[x:y].lower() for x, y in near).encode(), digest_size=8).digest()
         seen = int.from_bytes(context, "little", signed=True)
         out.append((entity, None, seen))
         for x, y in near:
             x, y = _bare(text, x, y)
-            if y > x and all(y <= p or x >= q for p, q in taken):
-                out.append((entity, text[x:y].lower(), seen))
+            i = np.searchsorted(taken[:, 0], y) if y > x else 0  # values that begin before the word ends
+            if y > x and (i == 0 or latest[i - 1] <= x):
+                out += [(entity, text[x:y].lower(), seen), (entity, word_class(text[x:y]), seen)]
     return out
 
 
@@ -151,32 +169,29 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.string()), pa.array(seen, _SEEN)], names=["text_hash", "contexts"])
 
 
-def _counter(wanted: set[str] | None):
-    """Occurrences of the wanted terms, or of all, in each batch, and texts that hold them; words and texts of the batch stand
-    under no term."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words: Counter[str] = Counter()
-            texts: Counter[str] = Counter()
-            terms: dict[str, str] = {}
-            for text in batch.column(0):
-                own = Counter(_CONTEXT.findall(text.as_py() or ""))
-                held = set()
-                for word, n in own.items():
-                    if (term := terms.get(word)) is None:
-                        term = _term(word)
-                        term = terms[word] = term if wanted is None or term in wanted else ""
-                    if term:
-                        words[term] += n
-                        held.add(term)
-                texts.update(held)
-                words[""] += own.total()
-            texts[""] = batch.num_rows
-            keys = list(texts)
-            yield pa.RecordBatch.from_arrays([pa.array([k or None for k in keys], pa.string()), pa.array([words[k] for k in keys], pa.int64()), pa.array([texts[k] for k in keys], pa.int64())], names=["term", "n", "texts"])
-
-    return count
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Occurrences of all terms and their classes in each batch, and texts that hold them; all words and texts of the batch
+    stand under no term."""
+    for batch in batches:
+        words: Counter[str] = Counter()
+        texts: Counter[str] = Counter()
+        terms: dict[str, tuple[str, str]] = {}
+        for text in batch.column(0):
+            own = Counter(_CONTEXT.findall(text.as_py() or ""))
+            held = set()
+            for word, n in own.items():
+                if (term := terms.get(word)) is None:
+                    x, y = _bare(word, 0, len(word))
+                    term = terms[word] = (word[x:y].lower(), word_class(word[x:y])) if y > x else ("", "")
+                if term[0]:
+                    words[term[0]] += n
+                    words[term[1]] += n
+                    held.update(term)
+            texts.update(held)
+            words[""] += own.total()
+        texts[""] = batch.num_rows
+        keys = list(texts)
+        yield pa.RecordBatch.from_arrays([pa.array([k or None for k in keys], pa.string()), pa.array([words[k] for k in keys], pa.int64()), pa.array([texts[k] for k in keys], pa.int64())], names=["term", "n", "texts"])
 
 
 def _disclosing(found: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
@@ -193,9 +208,7 @@ def _disclosing(found: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFra
     pairs = scratch.write(pairs.where(F.col("support") >= SUPPORT), "pairs")
     values = seen.where("term is null").groupBy("entity").agg(F.sum("n").alias("n_entity"), F.sum("texts").alias("entity_texts"))
     terms = scratch.write(pairs.select("term").distinct(), "terms")
-    few = terms.count() <= BROADCAST_TERMS
-    counts = texts.mapInArrow(_counter({r.term for r in terms.collect()} if few else None), "term string, n long, texts long").groupBy("term").agg(F.sum("n").alias("n_term"), F.sum("texts").alias("term_texts"))
-    counts = scratch.write(counts, "counts")
+    counts = scratch.write(texts.mapInArrow(_count, "term string, n long, texts long").groupBy("term").agg(F.sum("n").alias("n_term"), F.sum("texts").alias("term_texts")), "counts")
     total = counts.where("term is null").select(F.col("n_term").alias("total"), F.col("term_texts").alias("all_texts"))
     n_term = terms.join(counts, "term", "left").select("term", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_term", "term_texts")])
     scored = pairs.join(values, "entity").join(n_term, "term").join(F.broadcast(total))
@@ -208,24 +221,24 @@ def _disclosing(found: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFra
     return scratch.write(scored.where((shared >= DISCLOSED * own) | ((own_texts > 0) & (shared_texts >= DISCLOSED * own_texts))).select("entity", "term"), "disclosing")
 
 
-def _terms(docs: DataFrame, text_col: str, scratch: Scratch):
-    """(source, wanted): docs, and a function that gives the disclosing terms of a text's values from the values and the
-    column behind those of docs. Few pairs go to every task; where they are many, a text gets its own terms in that column,
-    by a join on its hash.
+def _with_terms(docs: DataFrame, text_col: str, scratch: Scratch) -> DataFrame:
+    """docs with a last column, the disclosing terms of the text's values and of their classes; null where there are none.
+
+    They are joined by the text's hash. Only texts with such terms are on that side, so Spark broadcasts it where it is
+    small, and splits the copies of a text where it isn't.
     """
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
     found = scratch.write(texts.mapInArrow(_scan, _FOUND), "found")
     pairs = _disclosing(found, texts, scratch)
-    if pairs.count() <= BROADCAST_TERMS:
-        flagged: dict[str, set[str]] = {}
-        for r in pairs.collect():
-            flagged.setdefault(r.entity, set()).add(r.term)
-        return docs, lambda text, spans, own: set().union(*(flagged.get(_entity(text, *s), ()) for s in spans)) if flagged else set()
     held = found.select("text_hash", F.explode("contexts").alias("c")).where("c.term is null").select("text_hash", "c.entity").distinct()
-    held = held.join(pairs, "entity").groupBy("text_hash").agg(F.collect_set("term").alias("terms"))
+    held = scratch.write(held, "held")
+    terms = pairs.groupBy("entity").agg(F.collect_set("term").alias("terms")).join(held.groupBy("entity").agg(F.count("*").alias("n")), "entity")
+    held = join_counted(held, terms, ["entity"], held.count())
+    held = scratch.write(held.groupBy("text_hash").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms")), "text-terms")
+    scratch.keep("text-terms")
     columns = [f"c{j}" for j in range(len(docs.columns))]
     hashed = docs.toDF(*columns).withColumn("text_hash", F.sha2(F.col(columns[docs.columns.index(text_col)]).cast("string"), 256))
-    return hashed.join(scratch.write(held, "text-terms"), "text_hash", "left").select(*columns, "terms"), lambda text, spans, own: set(own or ())
+    return hashed.join(held, "text_hash", "left").select(*columns, "terms")
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -237,7 +250,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     its length.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    source, wanted = _terms(texts, "text", Scratch(docs.sparkSession, "pii"))
+    source = _with_terms(texts, "text", Scratch(docs.sparkSession, "pii"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nothing = hashlib.sha256(b"").hexdigest()
@@ -250,21 +263,20 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                     for kind, _, _ in spans:
                         counts[KINDS.index(kind), i] += 1
                     sums[i] = hashlib.sha256(_line(spans).encode()).hexdigest()
-                    own = batch.column(2)[int(i)].as_py() if batch.num_columns > 2 else None
-                    lines[i] = _line(spans + _marks(text, spans, wanted(text, spans, own)))
+                    lines[i] = _line(spans + _marks(text, spans, set(batch.column(2)[int(i)].as_py() or ())))
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, counts), pa.array(sums, pa.string()), pa.array(lines, pa.string())], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
 
     return source.mapInArrow(run, f"doc_id long, {', '.join(f'n_{k} long' for k in KINDS)}, base_sha256 string, spans string")
 
 
-def cut(text: str, spans: list[tuple[str, int, int]]) -> str:
-    """The text with values replaced by their kind and disclosing terms generalised. Of spans that overlap, the union goes
-    under the name of the first."""
+def cut(text: str, spans: list[tuple[str, int, int]], disclosing: set[str] = frozenset()) -> str:
+    """The text with values replaced by their kind, and terms by their class, or by nothing where the class is disclosing
+    itself. Of spans that overlap, the union goes under the name of the first."""
     out, at = [], 0
     for start, end, kind in sorted((a, b, k) for k, a, b in spans):
         if start >= at:
-            word = text[start:end]
-            out += [text[at:start], f"[{kind.upper()}]" if kind != "term" else "[NUMBER]" if word.isdigit() else "[TERM]"]
+            name = f"[{kind.upper()}]" if kind != "term" else word_class(text[start:end])
+            out += [text[at:start], name if name not in disclosing else ""]
         at = max(at, end)
     return "".join(out) + text[at:]
 
@@ -272,10 +284,11 @@ def cut(text: str, spans: list[tuple[str, int, int]]) -> str:
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None) -> DataFrame:
     """docs with the found spans cut from the text; length_col, if given, gets the new length. Other columns stay as they are.
 
-    Spans depend on the text and the disclosing pairs alone.
+    A disclosing term becomes its class: [NUMBER], [DATE], [CODE], [NAME] or [WORD]; where that class discloses the value,
+    too, the term is removed. Spans depend on the text and the disclosing pairs alone.
     """
     columns, at = docs.columns, docs.columns.index(text_col)
-    source, wanted = _terms(docs, text_col, Scratch(docs.sparkSession, "sanitise"))
+    source = _with_terms(docs, text_col, Scratch(docs.sparkSession, "sanitise"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -283,8 +296,8 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
             new = texts.to_pylist()
             for i in _likely(texts):
                 if spans := base_spans(new[i]):
-                    own = batch.column(len(columns))[int(i)].as_py() if batch.num_columns > len(columns) else None
-                    new[i] = cut(new[i], spans + _marks(new[i], spans, wanted(new[i], spans, own)))
+                    terms = set(batch.column(len(columns))[int(i)].as_py() or ())
+                    new[i] = cut(new[i], spans + _marks(new[i], spans, terms), terms)
             yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if j == at else batch.column(j) for j in range(len(columns))], names=columns)
 
     out = source.mapInArrow(run, docs.schema)

@@ -1,11 +1,13 @@
 import hashlib
+import math
 import random
 import re
+from collections import Counter, defaultdict
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from docloom.llm import pii
+from docloom.llm import pii, skew
 
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -75,7 +77,7 @@ def test_find_and_sanitise(spark, odd_texts):
         named = {texts[r.doc_id][int(a) : int(b)] for _, a, b in (x.split(":") for x in terms)}
         assert named == ({"Falcon"} if r.doc_id < 12 else set())
     clean = {r.doc_id: r for r in pii.sanitise(df, length_col="n_chars").collect()}
-    assert clean[0].text.split()[10:12] == ["[TERM]", "[EMAIL]"] and clean[0].n_chars == len(clean[0].text)
+    assert clean[0].text.split()[10:12] == ["[NAME]", "[EMAIL]"] and clean[0].n_chars == len(clean[0].text)
     assert clean[20].text.split()[2:4] == ["Eagle", "[EMAIL]"]
     assert clean[201].text is None and clean[201].row == "x"
 
@@ -87,8 +89,85 @@ def test_empty_table(empty):
 
 def test_cut_joins_overlaps():
     assert pii.cut("ab cd ef", [("email", 0, 5), ("phone", 3, 8)]) == "[EMAIL]"
-    assert pii.cut("ab 12 ef", [("term", 3, 5), ("term", 6, 8)]) == "ab [NUMBER] [TERM]"
+    assert pii.cut("ab 12 ef", [("term", 3, 5), ("term", 6, 8)]) == "ab [NUMBER] [WORD]"
+    assert pii.cut("Ab 12 ef", [("term", 0, 2), ("term", 6, 8)], {"[NAME]", "ef"}) == " 12 [WORD]"
     assert pii.cut("", []) == ""
+    assert [pii.word_class(w) for w in ("1", "12/11/2020", "2020-1-2", "x1", "1,5", "Éa", "éa")] == ["[NUMBER]", "[DATE]", "[DATE]", "[CODE]", "[CODE]", "[NAME]", "[WORD]"]
+
+
+def by_hand(texts):
+    """{doc_id: the words of each text that disclose one of its addresses}, and {address: disclosing classes}, from the definition."""
+    words = {i: [(m.start(), m.end()) for m in re.finditer(r"[^ \t\n\v\f\r]+", t)] for i, t in texts.items()}
+    bare = lambda w: re.sub(r"^[\W_]+|[\W_]+$", "", w)
+    form = lambda w: "NUMBER" if w.isdigit() else "DATE" if re.fullmatch(r"\d{1,4}([-/.])\d{1,2}\1\d{1,4}", w) else "CODE" if re.search(r"\d", w) else "NAME" if w[0].isupper() else "WORD"
+    keys = lambda w: [("term", w.lower()), ("class", form(w))] if w else []
+    n_key, texts_key, total = Counter(), Counter(), 0
+    for i, t in texts.items():
+        own = [k for a, b in words[i] for k in keys(bare(t[a:b]))]
+        n_key.update(own)
+        texts_key.update(set(own))
+        total += len(words[i])
+    n_value, texts_value, both, both_texts, contexts = Counter(), Counter(), Counter(), Counter(), defaultdict(set)
+    for i, t in texts.items():
+        spans = brute_force(t)
+        pairs = set()
+        for _, a, b in spans:
+            value = t[a:b].lower()
+            near = [w for w in words[i] if w[1] <= a][-8:] + [w for w in words[i] if w[0] >= b][:8]
+            n_value[value] += 1
+            for x, y in near:
+                if all(y <= p or x >= q for _, p, q in spans):
+                    for key in keys(bare(t[x:y])):
+                        both[value, key] += 1
+                        contexts[value, key].add(tuple(t[p:q].lower() for p, q in near))
+                        pairs.add((value, key))
+        texts_value.update({t[a:b].lower() for _, a, b in spans})
+        both_texts.update(pairs)
+    disclosing = defaultdict(set)
+    for (value, key), n in both.items():
+        by_words = math.log2(n * total / (n_value[value] * 16 * max(n_key[key], n))) >= 0.8 * math.log2(total / (n_value[value] * 16))
+        own = math.log2(len(texts) / texts_value[value])
+        by_texts = own > 0 and math.log2(both_texts[value, key] * len(texts) / (texts_value[value] * max(texts_key[key], both_texts[value, key]))) >= 0.8 * own
+        if len(contexts[value, key]) >= 3 and (by_words or by_texts):
+            disclosing[value].add(key)
+    marked = {}
+    for i, t in texts.items():
+        spans = brute_force(t)
+        wanted = set().union(*(disclosing[t[a:b].lower()] for _, a, b in spans)) if spans else set()
+        marked[i] = [bare(t[a:b]) for a, b in words[i] if ("term", bare(t[a:b]).lower()) in wanted and all(b <= p or a >= q for _, p, q in spans)]
+    return marked, {v: {k for kind, k in found if kind == "class"} for v, found in disclosing.items()}
+
+
+def test_terms_match_the_definition(spark):
+    rng = random.Random(8)
+    word = lambda: rng.choice("red green blue dark light soft (loud) slow, Été x9".split()) + rng.choice(["", str(rng.randint(0, 40))])
+    some = lambda n: " ".join(word() for _ in range(n))
+    people = [(f"p{j}@x.org", [f"Name{j}", f"ref-{j}/{j}", "z" * rng.choice([3, 500]) + str(j)]) for j in range(6)]
+    texts = []
+    for _ in range(60):
+        mail, about = rng.choice(people)
+        near = [x for x in about if rng.random() < 0.7]
+        texts.append(" ".join([some(rng.randint(0, 12)), *near, f"<{mail}>" if rng.random() < 0.3 else mail, some(rng.randint(0, 12)), *(["\"" + about[0] + "\""] if rng.random() < 0.5 else []), some(30), about[0].upper()]))
+    texts += [some(120) + rng.choice(["", " Name1"]) for _ in range(80)] + [texts[0]] * 9 + [None, ""]
+    rows = {i: t or "" for i, t in enumerate(texts)}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    want, classes = by_hand(rows)
+    assert terms_of(df, rows) == want
+    assert sum(len(x) for x in want.values()) > 60 and any(len(w) > 320 for x in want.values() for w in x)
+    clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    for i, t in enumerate(texts):
+        held = set().union(*(classes.get(t[a:b].lower(), set()) for _, a, b in brute_force(t or ""))) if t else set()
+        for w in want[i]:
+            assert (f"[{pii.word_class(w)[1:-1]}]" in clean[i]) == (pii.word_class(w)[1:-1] not in held)
+
+
+def test_a_class_that_discloses_is_removed(spark):
+    rng = random.Random(9)
+    some = lambda n: " ".join(rng.choice("red green blue dark light soft loud slow".split()) + rng.choice("abcdefgh") for _ in range(n))
+    rows = {i: f"{some(9)} 12/11/2020 cy@z.org {some(9)}" for i in range(6)} | {i: some(90) for i in range(6, 90)}
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    assert all("12/11" not in clean[i] and "[DATE]" not in clean[i] and "  [EMAIL]" in clean[i] for i in range(6))
 
 
 def terms_of(df, texts):
@@ -108,30 +187,32 @@ def test_copies_disclose_as_much_as_single_texts(spark):
         assert [got[i] for i in range(3 * copies)] == [["Heron"]] * 3 * copies
 
 
-def test_counts_follow_the_terms_in_both_branches(spark, monkeypatch):
+def test_counts_follow_the_terms(spark, monkeypatch):
     rng = random.Random(4)
     word = lambda: rng.choice("red green blue dark light".split()) + str(rng.randint(0, 60))
     texts = [" ".join([word() for _ in range(9)] + ["(Héron)", '"ÉMILE";', "Name:", "cy@z.org"] + [word() for _ in range(9)]) for _ in range(4)]
     texts += [" ".join([word() for _ in range(40)] + [rng.choice(["Name:", "(name", "NAME;"]) for _ in range(8)]) for _ in range(60)]
     rows = dict(enumerate(texts))
     df, got = spark.createDataFrame(list(rows.items()), "doc_id long, text string"), []
-    for bound in (500_000, 0):
-        monkeypatch.setattr(pii, "BROADCAST_TERMS", bound)
+    for bound, size in ((100_000, "10m"), (1, "-1")):
+        monkeypatch.setattr(skew, "HOT_KEYS", bound)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
         got.append((terms_of(df, rows), {r.doc_id: r.text for r in pii.sanitise(df).collect()}))
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert got[0] == got[1]
     assert [got[0][0][i] for i in range(5)] == [["Héron", "ÉMILE"]] * 4 + [[]]
 
 
-def test_terms_are_marked_in_the_whole_text(spark, monkeypatch):
+def test_terms_are_marked_in_the_whole_text(spark):
     rng = random.Random(6)
     word = lambda: rng.choice("red green blue dark light".split()) + str(rng.randint(0, 60))
     some = lambda n: " ".join(word() for _ in range(n))
     rows = {i: f"{some(20)} Heron cy@z.org {some(60)}\n\n(heron) {some(30)} HERON's {some(5)} Heron." for i in range(4)}
     rows |= {i: some(300) for i in range(4, 64)} | {64: f"{some(9)} Heron {some(9)}", 65: f"{some(40)} dan@z.org Heron"}
     df = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
-    for bound in (500_000, 0):
-        monkeypatch.setattr(pii, "BROADCAST_TERMS", bound)
-        got = terms_of(df, rows)
-        assert [got[i] for i in range(4)] == [["Heron", "heron", "Heron"]] * 4 and got[64] == got[65] == []
-        clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
-        assert all(clean[i].count("[TERM]") == 3 and clean[i].endswith(" [TERM].") for i in range(4)) and clean[64] == rows[64]
+    got = terms_of(df, rows)
+    assert [got[i] for i in range(4)] == [["Heron", "heron", "Heron"]] * 4 and got[64] == got[65] == []
+    clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    for i in range(4):
+        assert re.findall("[hH][eE][rR][oO][nN]", clean[i]) == ["HERON"] and clean[i].endswith((" [NAME].", " ."))
+    assert clean[64] == rows[64]
