@@ -1,15 +1,18 @@
 """Sharding: arrivals append small immutable shards, runs of similar size are merged, a versioned manifest is committed.
 
-A store is a folder: data/<shard>/ holds Parquet files that never change, manifests/<version>.json lists the live shards.
-A version is committed by creating its file, which fails if another writer has created it: a reader sees all of it or none.
+A store is a folder: data/ holds Parquet files that never change, manifests/<version>.json lists the live shards. A manifest
+is written whole under another name and then takes its own, which only one writer can: on a local disk by a link, elsewhere
+by a rename, which has to fail where the name is taken, as HDFS does. Object stores without such a rename need a lock.
 """
 
 import json
+import time
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Size of a file that merging aims at, the ratio between tiers, and how many runs of a tier are merged at once.
@@ -17,9 +20,11 @@ TARGET_BYTES = 128 << 20
 GROWTH, FAN_IN = 4, 4
 #: Shards smaller than this are of the lowest tier.
 LEAST_BYTES = 1 << 20
-#: A file of at least this part of the target isn't merged again. Small shards arrive at the target divided by ARRIVAL_PART,
-#: and a delivery is so many targets of input at most, unless a single file is larger.
-FULL, ARRIVAL_PART, DELIVERY_TARGETS = 0.75, 8, 8
+#: A file of at least this part of the target isn't merged again. Small shards arrive at about the target divided by
+#: ARRIVAL_PART, if Parquet makes a byte of PACKED bytes of values; their real sizes decide what is merged.
+FULL, ARRIVAL_PART, PACKED = 0.75, 8, 3
+#: Seconds that files which no manifest lists are left alone: a writer may be about to commit them.
+GRACE = 86_400.0
 
 
 class Conflict(RuntimeError):
@@ -28,6 +33,8 @@ class Conflict(RuntimeError):
 
 @dataclass(frozen=True)
 class Shard:
+    """name: its file or folder below data/."""
+
     name: str
     rows: int
     bytes: int
@@ -51,15 +58,13 @@ class Store:
         for part in ("data", "manifests"):
             self.fs.mkdirs(self.path(f"{self.base}/{part}"))
 
-    def file_sizes(self, files: list[str]) -> dict[str, int]:
-        conf, uri = self.spark._jsc.hadoopConfiguration(), self.spark._jvm.java.net.URI
-        paths = {f: self.path(uri(f)) for f in files}
-        return {f: p.getFileSystem(conf).getFileStatus(p).getLen() for f, p in paths.items()}
+    def versions(self) -> list[int]:
+        names = [s.getPath().getName() for s in self.fs.listStatus(self.path(f"{self.base}/manifests"))]
+        return sorted(int(n[:-5]) for n in names if n.endswith(".json") and not n.startswith("."))
 
     def version(self) -> int:
         """The latest committed version; 0 is the empty store."""
-        names = [s.getPath().getName() for s in self.fs.listStatus(self.path(f"{self.base}/manifests"))]
-        return max([int(n[:-5]) for n in names if n.endswith(".json")], default=0)
+        return max(self.versions(), default=0)
 
     def shards(self, version: int | None = None) -> list[Shard]:
         version = self.version() if version is None else version
@@ -73,47 +78,62 @@ class Store:
         return [Shard(**s) for s in json.loads(raw)["shards"]]
 
     def commit(self, after: int, shards: list[Shard]) -> int:
-        """Writes the version behind `after` whole under another name, then gives it its own, which only one writer can."""
+        """Writes the version behind `after`; a Conflict if another writer has done so."""
         version = after + 1
-        name = f"{self.base}/manifests/{version:012d}.json"
+        name = self.path(f"{self.base}/manifests/{version:012d}.json")
         draft = self.path(f"{self.base}/manifests/.{version:012d}-{uuid.uuid4().hex}")
         stream = self.fs.create(draft, False)
         stream.write(bytearray(json.dumps({"version": version, "shards": [asdict(s) for s in shards]}).encode()))
         stream.close()
-        if self.fs.exists(self.path(name)) or not self.fs.rename(draft, self.path(name)):
+        try:
+            taken = not self._claim(draft, name)
+        finally:
             self.fs.delete(draft, False)
-            raise Conflict(name)
+        if taken:
+            raise Conflict(str(name))
         return version
 
+    def _claim(self, draft, name) -> bool:
+        if self.fs.getScheme() == "file":
+            local = lambda p: self.spark._jvm.java.nio.file.Paths.get(self.fs.makeQualified(p).toUri())
+            try:
+                self.spark._jvm.java.nio.file.Files.createLink(local(name), local(draft))
+            except Py4JJavaError as e:
+                if e.java_exception.getClass().getSimpleName() != "FileAlreadyExistsException":
+                    raise
+                return False
+            return True
+        return not self.fs.exists(name) and self.fs.rename(draft, name)
+
     def _write(self, df: DataFrame, merged: int) -> Shard:
         name = uuid.uuid4().hex
         at = f"{self.base}/data/{name}"
         df.write.option("compression", "zstd").parquet(at)
-        files = [s for s in self.fs.listStatus(self.path(at)) if s.getPath().getName().endswith(".parquet")]
-        rows = self.spark.read.schema(df.schema).parquet(at).count()
-        return Shard(name, rows, sum(s.getLen() for s in files), len(files), merged)
+        files = self._files(name)
+        return Shard(name, sum(self._rows(name, df).values()), sum(files.values()), len(files), merged)
+
+    def _files(self, name: str) -> dict[str, int]:
+        found = ((s.getPath().getName(), s.getLen()) for s in self.fs.listStatus(self.path(f"{self.base}/data/{name}")))
+        return {file: size for file, size in found if file.endswith(".parquet")}
+
+    def _rows(self, name: str, like: DataFrame) -> dict[str, int]:
+        rows = self.spark.read.schema(like.schema).parquet(f"{self.base}/data/{name}")
+        return {r["file"]: r["count"] for r in rows.groupBy(F.col("_metadata.file_name").alias("file")).count().collect()}
 
     def append(self, df: DataFrame) -> int:
         """One new shard with the rows of df."""
-        at = self.version()
-        return self.commit(at, [*self.shards(at), self._write(df, 0)])
-
-    def append_split(self, df: DataFrame, rows: int) -> int:
-        """The rows of df as shards of one file and at most so many rows each, all in one version."""
-        at, drafts = self.version(), f"{self.base}/data/{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").option("maxRecordsPerFile", rows).parquet(drafts)
-        files = [s for s in self.fs.listStatus(self.path(drafts)) if s.getPath().getName().endswith(".parquet")]
-        counts = self.spark.read.schema(df.schema).parquet(drafts).groupBy(F.col("_metadata.file_name").alias("file")).count()
-        counts = {r["file"]: r["count"] for r in counts.collect()}
-        made = []
-        for s in files:
-            file, name = s.getPath().getName(), uuid.uuid4().hex
-            self.fs.mkdirs(self.path(f"{self.base}/data/{name}"))
-            if not self.fs.rename(s.getPath(), self.path(f"{self.base}/data/{name}/{file}")):
-                raise RuntimeError(f"{drafts}/{file} can't be moved")
-            made.append(Shard(name, counts.get(file, 0), s.getLen(), 1, 0))
-        self.fs.delete(self.path(drafts), True)
-        return self.commit(at, [*self.shards(at), *made])
+        return self.commit(at := self.version(), [*self.shards(at), self._write(df, 0)])
+
+    def draft(self, df: DataFrame, rows: int) -> list[Shard]:
+        """The rows of df, written once as shards of one file and at most so many rows each. No version lists them yet."""
+        name = f"{uuid.uuid4().hex}-each"
+        df.write.option("compression", "zstd").option("maxRecordsPerFile", rows).parquet(f"{self.base}/data/{name}")
+        counts = self._rows(name, df)
+        return [Shard(f"{name}/{file}", counts.get(file, 0), size, 1, 0) for file, size in sorted(self._files(name).items())]
+
+    def deliver(self, shards: list[Shard]) -> int:
+        """A version with these drafted shards, too."""
+        return self.commit(at := self.version(), [*self.shards(at), *shards])
 
     def due(self, shards: list[Shard]) -> list[list[Shard]]:
         """Runs to merge: FAN_IN or more of a tier, oldest first, cut so that a run doesn't pass the target by much. A shard is
@@ -134,14 +154,17 @@ class Store:
         return runs
 
     def compact(self) -> int:
-        """Merges until no tier has FAN_IN shards. Each merge reads its run once, writes files of about the target size, and
-        is committed by itself; runs that are due together are merged side by side. Merged shards stay on disk for readers of
-        older versions until vacuum()."""
+        """Merges until no tier has FAN_IN shards. Each merge reads its run once and writes files of about the target size;
+        runs that are due together are merged side by side and committed as one version. Merged shards stay on disk for
+        readers of older versions until vacuum()."""
+        width = self.spark.sparkContext.defaultParallelism
         while runs := self.due(self.shards()):
-            with ThreadPoolExecutor(min(len(runs), self.spark.sparkContext.defaultParallelism)) as pool:
-                for run, made in zip(runs, pool.map(self._merge, runs), strict=True):
-                    at, names = self.version(), {s.name for s in run}
-                    self.commit(at, [*(s for s in self.shards(at) if s.name not in names), made])
+            for i in range(0, len(runs), width):
+                wave = runs[i : i + width]
+                with ThreadPoolExecutor(len(wave)) as pool:
+                    made = list(pool.map(self._merge, wave))
+                at, names = self.version(), {s.name for run in wave for s in run}
+                self.commit(at, [*(s for s in self.shards(at) if s.name not in names), *made])
         return self.version()
 
     def _merge(self, run: list[Shard]) -> Shard:
@@ -159,34 +182,62 @@ class Store:
         shards = self.shards(version)
         if not shards:
             raise ValueError("the store is empty")
-        return self._read(shards).withColumn("shard", F.regexp_extract(F.input_file_name(), "/data/([0-9a-f]{32})/", 1))
-
-    def vacuum(self) -> int:
-        """Removes the data of shards that the latest version no longer lists; how many."""
-        live = {s.name for s in self.shards()}
-        gone = [s.getPath() for s in self.fs.listStatus(self.path(f"{self.base}/data")) if s.getPath().getName() not in live]
-        for path in gone:
-            self.fs.delete(path, True)
-        return len(gone)
-
-
-def shard_table(df: DataFrame, base: str, arrivals: int, target: int = TARGET_BYTES, least: int = LEAST_BYTES) -> Store:
-    """A new store with the files of df appended in so many deliveries, or more where one would be large, as small shards.
-
-    df is a frame that reads Parquet files; a file is in one delivery, so each is read once. A delivery comes as shards of
-    about the target divided by ARRIVAL_PART, so their number grows with the table, not their size, and a large file is
-    split; each delivery is compacted. All columns are stored as they are, nulls and repeated rows too; a table without rows
-    gives shards without rows, one without files an empty store.
+        return self._read(shards).select("*", F.regexp_extract(F.col("_metadata.file_path"), "/data/([0-9a-f]{32}(?:-each/[^/]+)?)", 1).alias("shard"))
+
+    def vacuum(self, keep: int = 1, grace: float = GRACE) -> int:
+        """Removes the data of shards that an older version lists and none of the last `keep` versions does, and what no version
+        lists and is older than grace seconds; how many. A writer's files are safe until it commits them or the grace is over."""
+        versions = self.versions()
+        listed = {v: {s.name for s in self.shards(v)} for v in versions}
+        live = set().union(*(listed[v] for v in versions[-keep:]))
+        known = set().union(*listed.values())
+        oldest, gone = (time.time() - grace) * 1000, 0
+        for folder in self.fs.listStatus(self.path(f"{self.base}/data")):
+            name = folder.getPath().getName()
+            if name in live:
+                continue
+            files = [s for s in self.fs.listStatus(folder.getPath()) if s.getPath().getName().endswith(".parquet")]
+            places = {f"{name}/{s.getPath().getName()}": s for s in files}
+            dead = [s for x, s in places.items() if x not in live and (x in known or s.getModificationTime() < oldest)]
+            if name in known or (len(dead) == len(files) and (files or folder.getModificationTime() < oldest)):
+                self.fs.delete(folder.getPath(), True)
+                gone += max(1, len(dead)) if name not in known else 1
+            else:
+                for s in dead:
+                    self.fs.delete(s.getPath(), False)
+                gone += len(dead)
+        for v in versions[:-keep]:
+            self.fs.delete(self.path(f"{self.base}/manifests/{v:012d}.json"), False)
+        return gone
+
+
+def value_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row's values take: of strings their length, of arrays 8 for each element, else 8."""
+    size = F.lit(0)
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        kind = f.dataType.typeName()
+        size = size + F.coalesce(F.octet_length(c) if kind in ("string", "binary") else F.greatest(F.size(c), F.lit(0)) * 8 if kind in ("array", "map") else F.lit(8), F.lit(0))
+    return size
+
+
+def shard_table(df: DataFrame, base: str, arrivals: int, target: int = TARGET_BYTES, least: int = LEAST_BYTES, keep: int | None = None) -> Store:
+    """A new store to which the rows of df are delivered in so many arrivals, each of them as small shards and compacted.
+
+    The rows of any frame are written once, as shards of about the target divided by ARRIVAL_PART or less, so that each
+    arrival has one; their number grows with the table, not their size. All columns are stored as they are, nulls and
+    repeated rows too; a table without rows gives shards without rows. keep: versions whose shards outlive later arrivals;
+    all, if None.
     """
     store = Store(df.sparkSession, base, target, least)
-    sizes = store.file_sizes(df.inputFiles())
-    files, whole = sorted(sizes), sum(sizes.values())
-    n = min(max(arrivals, -(-whole // (DELIVERY_TARGETS * target))), len(files))
-    rows = max(1, df.count() * target // (ARRIVAL_PART * max(1, whole)))
-    for i in range(n):
-        store.append_split(df.sparkSession.read.schema(df.schema).parquet(*files[i::n]), rows)
+    n, size = df.agg(F.count("*"), F.sum(value_bytes(df).cast("long"))).first()
+    rows = max(1, min(n * target * PACKED // (ARRIVAL_PART * max(1, size or 1)), -(-n // arrivals)))
+    shards = store.draft(df, rows)
+    for i in range(min(arrivals, len(shards))):
+        store.deliver(shards[i::arrivals])
         store.compact()
-        store.vacuum()
+        if keep is not None:
+            store.vacuum(keep)
     return store
 
 
@@ -194,7 +245,8 @@ def placement(store: Store, id_col: str = "doc_id") -> DataFrame:
     """(id_col, shard, tier, shard_rows, version): where each row of the latest version is; shard is its place in the manifest."""
     version = store.version()
     shards = store.shards(version)
+    # One row per shard of about the target size: Spark broadcasts them where they are few.
     listed = [(s.name, i, tier(s.bytes, store.least), s.rows, version) for i, s in enumerate(shards)]
     listed = store.spark.createDataFrame(listed, "name string, shard long, tier int, shard_rows long, version long")
     rows = store.read(version).select(F.col(id_col), F.col("shard").alias("name"))
-    return rows.join(F.broadcast(listed), "name").select(id_col, "shard", "tier", "shard_rows", "version")
+    return rows.join(listed, "name").select(id_col, "shard", "tier", "shard_rows", "version")

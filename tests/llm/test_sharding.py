@@ -1,4 +1,7 @@
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
+from pyspark.sql import functions as F
 
 from docloom.llm import sharding
 
@@ -47,21 +50,67 @@ def test_table(spark, odd, empty, tmp_path):
     placed = sharding.placement(store)
     assert placed.columns == ["doc_id", "shard", "tier", "shard_rows", "version"] and placed.count() == odd.count()
     empty.write.parquet(str(tmp_path / "none"))
-    assert sharding.shard_table(spark.read.schema(empty.schema).parquet(str(tmp_path / "none")), str(tmp_path / "store2"), arrivals=2).version() >= 1
+    assert sharding.shard_table(spark.read.schema(empty.schema).parquet(str(tmp_path / "none")), str(tmp_path / "store2"), arrivals=2).read().count() == 0
 
 
 def test_small_shards_and_merges_at_every_scale(spark, tmp_path):
-    """One large file, and arrivals that would each pass the target, still come as small shards that are merged."""
+    """One large file, and many, come as small shards that are merged to files near the target."""
     df = spark.range(60_000).selectExpr("id as doc_id", "sha2(cast(id as string), 256) as text")
     for parts in (1, 8):
         df.repartition(parts).write.parquet(str(tmp_path / f"in{parts}"))
         source, target = spark.read.parquet(str(tmp_path / f"in{parts}")), 200_000
-        store = sharding.shard_table(source, str(tmp_path / f"store{parts}"), arrivals=2, target=target, least=1 << 10)
+        store = sharding.shard_table(source, str(tmp_path / f"store{parts}"), arrivals=3, target=target, least=1 << 10)
         shards = store.shards()
         assert store.read().select("doc_id").distinct().count() == sum(s.rows for s in shards) == 60_000
         assert any(s.merged for s in shards) and len(shards) > 4
         assert all(s.bytes // s.files < 2 * target for s in shards)
         assert sum(s.bytes for s in shards if s.bytes // s.files >= target // 2) > 0.7 * sum(s.bytes for s in shards)
+        first = min(v for v in store.versions() if sum(s.rows for s in store.shards(v)) > 10_000)
+        assert store.read(first).count() == sum(s.rows for s in store.shards(first))
+
+
+def test_frames_of_any_kind_are_stored_whole(spark, odd, tmp_path):
+    odd.withColumn("part", F.pmod(F.hash("text"), F.lit(3))).write.partitionBy("part").parquet(str(tmp_path / "in"))
+    table = spark.read.parquet(str(tmp_path / "in"))
+    for i, df in enumerate([table, table.where("doc_id > 5"), table.where("part = 1").select("text", "part"), odd, table.limit(0)]):
+        store = sharding.shard_table(df, str(tmp_path / f"store{i}"), arrivals=4)
+        assert rows(store.read()) == rows(df) and store.read().drop("shard").columns == df.columns
+
+
+def test_small_tables_are_merged_too(spark, odd, tmp_path):
+    odd.coalesce(1).write.parquet(str(tmp_path / "in"))
+    store = sharding.shard_table(spark.read.parquet(str(tmp_path / "in")), str(tmp_path / "store"), arrivals=6)
+    assert max(s.merged for s in store.shards()) == 1 and store.version() == 7 and rows(store.read()) == rows(odd)
+
+
+def test_vacuum_leaves_what_a_writer_has_not_committed(spark, odd, tmp_path):
+    store = sharding.Store(spark, str(tmp_path / "store"), least=1 << 10)
+    for _ in range(4):
+        store.append(odd)
+    drafted = store.draft(odd, 5)
+    pending = store._write(odd, 0)
+    store.compact()
+    assert store.vacuum(keep=2) == 0 and store.read(4).count() == 4 * odd.count()
+    assert store.vacuum() == 4
+    store.deliver([*drafted[1:], pending])
+    assert store.read().count() == 6 * odd.count() - drafted[0].rows
+    assert store.vacuum() == 0 and store.vacuum(grace=-60) == 1
+    assert store.read().count() == 6 * odd.count() - drafted[0].rows
+
+
+def test_one_writer_commits_a_version(spark, tmp_path):
+    store = sharding.Store(spark, str(tmp_path / "store"))
+
+    def write(i):
+        try:
+            return store.commit(0, [sharding.Shard(str(i), 1, 1, 1, 0)])
+        except sharding.Conflict:
+            return None
+
+    with ThreadPoolExecutor(8) as pool:
+        won = [i for i, v in enumerate(pool.map(write, range(24))) if v]
+    assert len(won) == 1 and [s.name for s in store.shards()] == [str(won[0])]
+    assert store.versions() == [1]
 
 
 def test_many_small_files_of_one_shard_are_due(spark, tmp_path):
