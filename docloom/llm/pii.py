@@ -2,7 +2,6 @@
 
 import hashlib
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,8 +10,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import KnownRanges
 from .skew import join_counted
 from .storage import Scratch
+from .textscan import slices, utf8, word_bounds, word_hashes
 
 KINDS = ("email", "ip", "card", "phone")
 #: Words on either side of a protected value that make its context.
@@ -21,6 +22,8 @@ REACH = 8
 SUPPORT = 3
 #: A term is disclosing if it gives at least this part of a value's information.
 DISCLOSED = 0.8
+#: Distinct words, and terms, that a worker keeps; beyond them it starts anew.
+KEPT_WORDS = 400_000
 # Fixed patterns. The look-behinds stop a second start inside a run that the pattern takes whole from its beginning.
 _EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _EMAIL_HERE = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -169,29 +172,52 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.string()), pa.array(seen, _SEEN)], names=["text_hash", "contexts"])
 
 
+class _Vocabulary:
+    """Numbers of terms and classes; each distinct word is taken apart once."""
+
+    def __init__(self):
+        self.known, self.names, self.number = KnownRanges(KEPT_WORDS), [], {}
+
+    def _learn(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ids, lengths = [], np.zeros(len(raw), np.int64)
+        for i, word in enumerate(x.decode() for x in raw):
+            x, y = _bare(word, 0, len(word))
+            if y > x:
+                lengths[i] = 2
+                for name in (word[x:y].lower(), word_class(word[x:y])):
+                    if name not in self.number:
+                        self.number[name] = len(self.names)
+                        self.names.append(name)
+                    ids.append(self.number[name])
+        return np.array(ids, np.int32), lengths, np.zeros(len(raw), bool)
+
+    def count(self, data: np.ndarray, offsets: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+        """(words, occurrences of each number, texts that hold it)"""
+        starts, ends, firsts = word_bounds(data, offsets)
+        at = self.known.places(data, starts, ends, word_hashes(data, starts, ends, lower=False), self._learn)
+        ids, lengths = self.known.ids.gather(at)
+        row = np.repeat(np.repeat(np.arange(len(offsets) - 1), np.diff(firsts)), lengths)
+        held = np.unique(row << 32 | ids) & 0xFFFFFFFF
+        return len(starts), np.bincount(ids, minlength=len(self.names)), np.bincount(held, minlength=len(self.names))
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Occurrences of all terms and their classes in each batch, and texts that hold them; all words and texts of the batch
     stand under no term."""
+    own = _Vocabulary()
     for batch in batches:
-        words: Counter[str] = Counter()
-        texts: Counter[str] = Counter()
-        terms: dict[str, tuple[str, str]] = {}
-        for text in batch.column(0):
-            own = Counter(_CONTEXT.findall(text.as_py() or ""))
-            held = set()
-            for word, n in own.items():
-                if (term := terms.get(word)) is None:
-                    x, y = _bare(word, 0, len(word))
-                    term = terms[word] = (word[x:y].lower(), word_class(word[x:y])) if y > x else ("", "")
-                if term[0]:
-                    words[term[0]] += n
-                    words[term[1]] += n
-                    held.update(term)
-            texts.update(held)
-            words[""] += own.total()
-        texts[""] = batch.num_rows
-        keys = list(texts)
-        yield pa.RecordBatch.from_arrays([pa.array([k or None for k in keys], pa.string()), pa.array([words[k] for k in keys], pa.int64()), pa.array([texts[k] for k in keys], pa.int64())], names=["term", "n", "texts"])
+        if len(own.names) > KEPT_WORDS:
+            own = _Vocabulary()
+        total, words, texts = 0, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        data, offsets = utf8(batch.column(0))
+        for a, b in slices(offsets):
+            n, more_words, more_texts = own.count(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            total += n
+            for sums, more in ((words, more_words), (texts, more_texts)):
+                more[: len(sums)] += sums
+            words, texts = more_words, more_texts
+        held = np.flatnonzero(words)
+        yield pa.RecordBatch.from_arrays([pa.array([None, *(own.names[i] for i in held)], pa.string()), pa.array([total, *words[held]], pa.int64()), pa.array([batch.num_rows, *texts[held]], pa.int64())], names=["term", "n", "texts"])
 
 
 def _disclosing(found: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
