@@ -55,3 +55,36 @@ def test_notices_inside_of_lines_and_wrapped(spark):
     found = {r.path: (r.own_license, r.own_score) for r in licenses.scan(df).collect()}
     assert [found[str(i)][0] for i in range(len(rows))] == [name for name, _ in rows]
     assert all(found[str(i)][1] == 1 for i in range(3))
+
+
+GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+NOTICES = [
+    ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3"),
+    ("AGPL-3.0-or-later", GNU.format("Affero General Public License", 3).replace(" the ", "\n * the ")),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.'),
+    ("Apache-2.0", "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS"),
+    ("BSD-2-Clause", "Copyright (c) 2019, X\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice"),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n3. Neither the name of X nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("BSD-3-Clause", "// Use of this source code is governed by a BSD-style\n// license that can be found in the LICENSE file."),
+    ("CC-BY-3.0", "This text is licensed under CC BY 3.0."), ("CC-BY-4.0", "licensed under a Creative Commons Attribution 4.0 International License"),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"), ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0"), ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0"),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."), ("CC-BY-SA-3.0", "Licensed under CC BY-SA 3.0"),
+    (None, "Licensed under CC BY-SA 2.5"), ("CC0-1.0", "Creative Commons Legal Code\n\nCC0 1.0 Universal\n\n    CREATIVE COMMONS CORPORATION IS NOT A LAW FIRM"),
+    ("GPL-1.0", "GNU GENERAL PUBLIC LICENSE Version 1, February 1989"), ("GPL-2.0", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991\n\n Copyright (C) 1989, 1991 Free Software Foundation, Inc." + "\n" + GNU.format("General Public License", 2)),
+    ("GPL-2.0-or-later", "GNU General Public License version 2 or later"), ("GPL-2.0-or-later", "# SPDX-License-Identifier: GPL-2.0-or-later"), ("GPL-3.0-or-later", "# " + GNU.format("General Public License", 3)),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\n13. Use with the GNU Affero General Public License.\nunder version 3 of the GNU Affero General Public License into a single combined work"),
+    ("LGPL-2.1", "Distributed under the GNU Lesser General Public License, version 2.1"), ("LGPL-2.1-or-later", GNU.format("Lesser General Public License", "2.1")), ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007"),
+    ("MIT", "MIT License\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0\n==================================\n\n1.12. Secondary License means either the GNU General Public License, Version 2.0, the GNU Lesser General Public License, Version 2.1, the GNU Affero General Public License, Version 3.0"),
+    (None, "The library of the town gives a general license to the public, as of version 3"), (None, "GNU Library General Public License, version 2"),
+]
+
+
+def test_notices_are_not_taken_for_variants(spark):
+    df = spark.createDataFrame([(f"{i}/LICENSE", text) for i, (_, text) in enumerate(NOTICES)], "path string, text string")
+    found = {r.path: r.own_license for r in licenses.scan(df).collect()}
+    assert [found[f"{i}/LICENSE"] for i in range(len(NOTICES))] == [name for name, _ in NOTICES]
+
+
+def test_qualifiers():
+    assert licenses.qualifiers(["gpl", "v2.0", "or", "later", "nc", "2004", "12.10"]) == "12.10 2 later noncommercial"
