@@ -1,12 +1,17 @@
 """BM25 with repeated query terms and a floor for frequent ones, as joins over postings."""
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.kept import kept
 
 #: Fixed values of the usual variant.
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Questions' terms of at most so many rows are broadcast to the postings; more are joined by shuffle.
+BROADCAST_TERMS = 500_000
 
 
 def postings(units: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -15,14 +20,26 @@ def postings(units: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return split.select("id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("id", "term", "dl").agg(F.count("*").alias("tf"))
 
 
-def statistics(units: DataFrame, posted: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(n, avgdl) in one row, and (term, df, idf) where an idf under zero is EPSILON times the mean over all terms."""
-    totals = units.agg(F.count("*").cast("double").alias("n"), F.avg(F.size(T.tokens(F.col(text_col)))).alias("avgdl"))
-    df = posted.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(totals))  # one row
-    raw = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    idf = raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    return totals, idf
+@dataclass(frozen=True)
+class Index:
+    """ids: (id) of all units; posted: their postings; terms: (term, df, idf); n units of avgdl tokens on average."""
+
+    ids: DataFrame
+    posted: DataFrame
+    terms: DataFrame
+    n: int
+    avgdl: float
+
+
+def index(units: DataFrame, id_col: str = "child_idx", text_col: str = "embed_text") -> Index:
+    """Postings are written once, and all statistics come from them. An idf under zero is EPSILON times the mean over all terms."""
+    posted, ids = kept(postings(units, id_col, text_col)), units.select(F.col(id_col).alias("id"))
+    n = ids.count()
+    raw = F.log(F.lit(n + 0.5) - F.col("df")) - F.log(F.col("df") + 0.5)
+    terms = kept(posted.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tokens")).withColumn("raw", raw))
+    mean, tokens = terms.agg(F.avg("raw"), F.sum("tokens")).first()
+    idf = F.when(F.col("raw") < 0, F.lit(EPSILON * (mean or 0.0))).otherwise(F.col("raw"))
+    return Index(ids, posted, terms.select("term", "df", idf.alias("idf")), n, (tokens or 0) / n if n else 0.0)
 
 
 def query_terms(questions: DataFrame, text_col: str = "question") -> DataFrame:
@@ -30,14 +47,12 @@ def query_terms(questions: DataFrame, text_col: str = "question") -> DataFrame:
     return questions.select("qid", F.explode(T.tokens(F.col(text_col))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qn"))
 
 
-def scores(units: DataFrame, questions: DataFrame, id_col: str = "child_idx", text_col: str = "embed_text") -> DataFrame:
+def scores(indexed: Index, questions: DataFrame) -> DataFrame:
     """(qid, id, score) of every unit that shares a term with the question; all others score 0.
 
-    Postings meet the questions' terms before anything else, so only those are weighed and summed.
+    The questions' terms get their idf first, so postings meet only those, where they lie if the terms are few.
     """
-    posted = postings(units, id_col, text_col)
-    totals, idf = statistics(units, posted, id_col, text_col)
-    terms = query_terms(questions)
-    hit = terms.join(idf.select("term", "idf"), "term").join(posted, "term").crossJoin(F.broadcast(totals))
-    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    asked = kept(query_terms(questions).join(indexed.terms.select("term", "idf"), "term"))
+    hit = indexed.posted.join(F.broadcast(asked) if asked.count() <= BROADCAST_TERMS else asked, "term")
+    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(indexed.avgdl)))
     return hit.groupBy("qid", "id").agg(F.sum(F.col("qn") * weight).alias("score"))

@@ -1,6 +1,7 @@
 """Blocks to parents (sections, tables) and children (retrieval units), by a strategy.
 
-parents: doc_ord, doc_name, parent_id, type, heading, preamble, rows array<string>, notes array<string>
+parents: doc_ord, doc_name, parent_id, type, heading, preamble, rows array<string>, notes array<string>, first_child (the
+  child_idx of its first child)
 children: child_idx, parent_id, doc_ord, doc_name, row_text, embed_text
 Ids are dense over the corpus in document order, unlike ids that restart or skip.
 """
@@ -12,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .ordering import running_offset
+from ..sources.kept import kept
+from .ordering import running_offsets
 
 WINDOW_WORDS, OVERLAP_WORDS = 150, 30
 _KEYS = ["doc_ord", "section", "table_no"]
@@ -35,13 +37,22 @@ def sections(blocks: DataFrame) -> DataFrame:
     return named.withColumn("table_no", F.sum((F.col("type") == "table").cast("int")).over(Window.partitionBy("doc_ord", "section").orderBy("pos")))
 
 
+_PARENT = ["doc_ord", "doc_name", "parent_id", "type", "heading", "preamble", "rows", "notes", "first_child"]
+
+
+def _child_rows() -> Column:
+    """One child per row of a table parent, one per other parent."""
+    return F.when(F.col("type") == "narrative", F.slice("rows", 1, 1)).otherwise(F.col("rows"))
+
+
 def _numbered(parents: DataFrame, order: str) -> DataFrame:
-    """parent_id from the order within each document."""
-    parents = parents.withColumn("parent_ord", F.row_number().over(Window.partitionBy("doc_ord").orderBy(order)) - 1)
-    sizes = parents.groupBy("doc_ord").agg(F.count("*").alias("_c"))
-    offsets = running_offset(sizes, "doc_ord", F.col("_c"), "_offset").select("doc_ord", "_offset")
-    parents = parents.join(offsets, "doc_ord").withColumn("parent_id", F.col("_offset") + F.col("parent_ord"))
-    return parents.select("doc_ord", "doc_name", "parent_id", "type", "heading", "preamble", "rows", "notes")
+    """parent_id and first_child from the order within each document and the counts of the documents before it."""
+    so_far = Window.partitionBy("doc_ord").orderBy(order)
+    parents = parents.withColumn("_n", F.size(_child_rows())).withColumn("_place", F.row_number().over(so_far) - 1).withColumn("_first", F.sum("_n").over(so_far) - F.col("_n"))
+    parents = kept(parents.drop(order))
+    sizes = parents.groupBy("doc_ord").agg(F.count("*").alias("_parents"), F.sum("_n").alias("_children"))
+    offsets = running_offsets(sizes, "doc_ord", {"_p": "_parents", "_c": "_children"})
+    return parents.join(offsets, "doc_ord").withColumn("parent_id", F.col("_p") + F.col("_place")).withColumn("first_child", F.col("_c") + F.col("_first")).select(*_PARENT)
 
 
 def build_parents(blocks: DataFrame, merge: bool = True) -> DataFrame:
@@ -90,21 +101,13 @@ def merge_tables(parents: DataFrame) -> DataFrame:
 
 
 def build_children(parents: DataFrame) -> DataFrame:
-    """One child per row of a table parent, one per other parent."""
-    rows = F.when(F.col("type") == "narrative", F.slice("rows", 1, 1)).otherwise(F.col("rows"))
-    counted = running_offset(parents.withColumn("_rows", rows), "parent_id", F.size("_rows"), "_first")
-    out = counted.select("_first", "parent_id", "doc_ord", "doc_name", "heading", F.posexplode("_rows").alias("row_pos", "row_text"))
+    """One child per row of a table parent, one per other parent. Nothing is shuffled: parents know their first child."""
+    out = parents.select("first_child", "parent_id", "doc_ord", "doc_name", "heading", F.posexplode(_child_rows()).alias("row_pos", "row_text"))
     return out.select(
-        (F.col("_first") + F.col("row_pos")).alias("child_idx"), "parent_id", "doc_ord", "doc_name", "row_text", F.concat(T.prefix(F.col("doc_name"), F.col("heading")), "row_text").alias("embed_text")
+        (F.col("first_child") + F.col("row_pos")).alias("child_idx"), "parent_id", "doc_ord", "doc_name", "row_text", F.concat(T.prefix(F.col("doc_name"), F.col("heading")), "row_text").alias("embed_text")
     )
 
 
-def _narrative(pieces: DataFrame, order: str) -> DataFrame:
-    empty = F.expr("cast(array() as array<string>)")
-    pieces = pieces.withColumn("type", F.lit("narrative")).withColumn("preamble", F.lit("")).withColumn("notes", empty)
-    return _numbered(pieces.withColumn("rows", F.array("piece")), order)
-
-
 def section_table(blocks: DataFrame) -> DataFrame:
     return build_parents(blocks)
 
@@ -119,12 +122,18 @@ def sliding_window(blocks: DataFrame, window: int = WINDOW_WORDS, overlap: int =
 
 
 def windows_of(docs: DataFrame, window: int = WINDOW_WORDS, overlap: int = OVERLAP_WORDS) -> DataFrame:
-    """The same from (doc_ord, doc_name, content) without blocks: nothing is shuffled before the numbering."""
+    """The same from (doc_ord, doc_name, content) without blocks. Windows are cut inside the row, and only the number of
+    each document's windows is shuffled and summed before their ids are joined on."""
     step = max(1, window - overlap)
-    split = docs.select("doc_ord", "doc_name", T.words(F.col("content")).alias("w")).where(F.size("w") > 0)
-    starts = split.select("doc_ord", "doc_name", "w", F.posexplode(F.sequence(F.lit(0), F.size("w") - 1, F.lit(step))).alias("pos", "start"))
-    pieces = starts.select("doc_ord", "doc_name", "pos", F.lit("").alias("heading"), F.array_join(F.slice("w", F.col("start") + 1, F.lit(window)), " ").alias("piece"))
-    return _narrative(pieces, "pos")
+    counts = docs.select("doc_ord", F.ceil(F.size(T.words(F.col("content"))) / step).alias("_n")).where("_n > 0")
+    offsets = running_offsets(counts, "doc_ord", {"_first": "_n"})
+    split = docs.select("doc_ord", "doc_name", T.words(F.col("content")).alias("w")).join(offsets, "doc_ord")
+    pieces = F.transform(F.sequence(F.lit(0), F.size("w") - 1, F.lit(step)), lambda start: F.array_join(F.slice("w", start + 1, window), " "))
+    cut = split.select("doc_ord", "doc_name", "_first", F.posexplode(pieces).alias("pos", "piece"))
+    number, empty = F.col("_first") + F.col("pos"), F.expr("cast(array() as array<string>)")
+    return cut.select(
+        "doc_ord", "doc_name", number.alias("parent_id"), F.lit("narrative").alias("type"), F.lit("").alias("heading"), F.lit("").alias("preamble"), F.array("piece").alias("rows"), empty.alias("notes"), number.alias("first_child")
+    )
 
 
 def paragraph(blocks: DataFrame) -> DataFrame:

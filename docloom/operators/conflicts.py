@@ -24,16 +24,21 @@ def conflict_map(parents: DataFrame) -> DataFrame:
 def detect_conflicts(questions: DataFrame, conflicts: DataFrame, whole_words: bool = False) -> DataFrame:
     """(qid, scope, message) for each scope of the map that is anywhere in the upper-cased question, or only as whole words.
 
-    The map holds one row per conflicting scope, so its summary is the small side; Spark decides on its measured size.
+    The question's stretches of the lengths that scopes have are looked up by equality, so no question meets every scope. The
+    wording of the message is fixed.
     """
     summary = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_name", F.array_join("codes", ", ").alias("c")))), lambda x: F.concat_ws(": ", x["doc_name"], x["c"])), "; ")
     scopes = conflicts.groupBy("scope").agg(summary.alias("summary"))
-    upper = F.upper("question")
-    held = upper.contains(F.col("scope"))
+    lengths = conflicts.agg(F.collect_set(F.length("scope")).alias("lengths"))  # one row of small numbers
+    upper = F.upper(F.coalesce("question", F.lit("")))
+    stretches = lambda n: F.transform(F.sequence(F.lit(1), F.length("upper") - n + 1), lambda i: F.substr(F.col("upper"), i, n))
+    every = F.array_distinct(F.flatten(F.transform(F.filter("lengths", lambda n: n <= F.length("upper")), stretches)))
+    asked = questions.select("qid", upper.alias("upper")).join(F.broadcast(lengths), F.lit(True)).select("qid", "upper", F.explode(every).alias("scope"))
+    found = asked.join(scopes, "scope")
     if whole_words:
-        held = held & F.concat(F.lit(" "), F.regexp_replace(upper, r"[^\p{L}\p{N}]+", " "), F.lit(" ")).contains(F.concat(F.lit(" "), F.col("scope"), F.lit(" ")))
+        found = found.where(F.concat(F.lit(" "), F.regexp_replace("upper", r"[^\p{L}\p{N}]+", " "), F.lit(" ")).contains(F.concat(F.lit(" "), F.col("scope"), F.lit(" "))))
     message = F.concat(F.lit("Conflicting SSI found for '"), "scope", F.lit("' across documents: "), "summary", F.lit(". Verify with the responsible desk before settling."))
-    return questions.join(scopes, held).select("qid", "scope", message.alias("message"))
+    return found.select("qid", "scope", message.alias("message"))
 
 
 def answer_codes(answer: Column) -> Column:

@@ -1,20 +1,21 @@
 """Dense numbers over a whole table without one task that holds it."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of one bucket are numbered in one task; so many buckets' sums at most meet in another.
-BUCKET = 1 << 16
+from ..sources.kept import kept
 
 
-def running_offset(rows: DataFrame, order: str, count: Column, name: str) -> DataFrame:
-    """Adds, for each row, the sum of count over the rows with a smaller order, an integer that doesn't repeat.
+def running_offsets(counts: DataFrame, order: str, sums: dict[str, str]) -> DataFrame:
+    """(order, *names): for each row the sums of its columns over the rows with a smaller order, a value that doesn't repeat.
 
-    Sums are taken within buckets of the order value and then over buckets, so no task holds more than BUCKET rows or one
-    row per bucket.
+    sums: name -> column of counts. Rows are dealt by ranges of the order; each range is summed by itself, and only the
+    ranges' own sums, one row for each, meet in one task. Only these small columns are shuffled and written.
     """
-    rows = rows.withColumn("_n", count.cast("long")).withColumn("_b", F.floor(F.col(order) / BUCKET))
-    sums = rows.groupBy("_b").agg(F.sum("_n").alias("_s"))
-    sums = sums.withColumn("_before", F.sum("_s").over(Window.orderBy("_b")) - F.col("_s")).drop("_s")
-    own = F.sum("_n").over(Window.partitionBy("_b").orderBy(order)) - F.col("_n")
-    return rows.withColumn("_own", own).join(sums, "_b").withColumn(name, F.col("_own") + F.col("_before")).drop("_n", "_b", "_own", "_before")
+    columns = [F.col(c).cast("long").alias(f"_{name}") for name, c in sums.items()]
+    dealt = kept(counts.select(order, *columns).repartitionByRange(order).withColumn("_range", F.spark_partition_id()))
+    before, whole = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1), dealt.groupBy("_range").agg(*(F.sum(f"_{n}").alias(f"_{n}") for n in sums))
+    whole = whole.select("_range", *(F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in sums))
+    own = Window.partitionBy("_range").orderBy(order)
+    dealt = dealt.select("*", *((F.sum(f"_{n}").over(own) - F.col(f"_{n}")).alias(f"_o_{n}") for n in sums))
+    return dealt.join(whole, "_range").select(order, *((F.col(f"_o_{n}") + F.col(f"_b_{n}")).alias(n) for n in sums))

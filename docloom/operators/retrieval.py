@@ -1,10 +1,12 @@
 """Dense, sparse and fused top-k, gates, and the parents of what was found. Ties go to the smaller child_idx everywhere."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import vectors as V
 from ..functions.text import is_broad
+from ..sources.kept import kept
 from . import bm25
 
 RRF_K, THRESHOLD, DEFAULT_K, SMALL_CORPUS = 60, 0.15, 10, 50
@@ -13,6 +15,8 @@ BROAD_TOKENS, USUAL_TOKENS = 4096, 2048
 MODES = ("dense", "sparse", "hybrid")
 #: Decimals to which scores are rounded before they are ranked, so that the order of summation doesn't decide.
 DECIMALS = 6
+#: Units and questions of one block of the dense search at most, but for the unevenness of a hash.
+UNIT_BLOCK, QUESTION_BLOCK = 16_384, 4096
 
 
 def top_k(scored: DataFrame, k: Column | int, id_col: str = "id", by: str = "score") -> DataFrame:
@@ -21,27 +25,64 @@ def top_k(scored: DataFrame, k: Column | int, id_col: str = "id", by: str = "sco
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def dense_scores(questions: DataFrame, units: DataFrame, id_col: str = "id") -> DataFrame:
-    """(qid, id, score): inner products of normalised vectors. questions (qid, vector) is the small side: every question
-    meets every unit by definition, and the units stay where they are."""
-    q = questions.select("qid", V.normalise(F.col("vector")).alias("q"))
-    u = units.select(F.col(id_col).alias("id"), V.normalise(F.col("vector")).alias("u"))
-    return u.join(q, F.lit(True)).select("qid", "id", F.round(V.dot(F.col("q"), F.col("u")), DECIMALS).alias("score"))
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Vectors as rows, at length 1; zero vectors stay as they are."""
+    rows = column.combine_chunks()
+    rows = rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+    length = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+    return rows / np.where(length == 0, 1.0, length)
 
 
-def sparse_scores(questions: DataFrame, units: DataFrame, k: int, id_col: str = "child_idx", text_col: str = "embed_text") -> DataFrame:
-    """(qid, id, score, rank): the k best by BM25. Where fewer units match, the first others fill up with 0.
+def _block_top_k(k: int):
+    def compare(units: pa.Table, questions: pa.Table) -> pa.Table:
+        out: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if units.num_rows and questions.num_rows:
+            ids, qids = units["id"].to_numpy(), questions["qid"].to_numpy()
+            order = np.argsort(ids, kind="stable")
+            ids, u, q = ids[order], _matrix(units["vector"])[order], _matrix(questions["vector"])
+            for at in range(0, len(q), 256):
+                near = q[at : at + 256] @ u.T
+                best = np.argsort(-np.round(near, DECIMALS), axis=1, kind="stable")[:, :k]
+                out.append((np.repeat(qids[at : at + 256], best.shape[1]), ids[best].ravel(), np.take_along_axis(near, best, axis=1).ravel()))
+        qid, id_, score = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pa.table({"qid": pa.array(qid, pa.int64()), "id": pa.array(id_, pa.int64()), "score": pa.array(score, pa.float64())})
 
-    Only the k units with the least ids can be needed to fill up, so questions aren't crossed with the corpus.
+    return compare
+
+
+def dense_top_k(questions: DataFrame, units: DataFrame, k: int, id_col: str = "id") -> DataFrame:
+    """(qid, id, score, rank): the k units of the largest cosine, exactly. Ids are integers; null vectors take no part.
+
+    Every question meets every unit, in blocks of bounded rows on both sides; a block passes on its own k best of each
+    question, so pairs don't leave it. Units are copied once for every QUESTION_BLOCK questions.
+    """
+    u = units.select(F.col(id_col).cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector")).where("vector is not null")
+    q = questions.select(F.col("qid").cast("long").alias("qid"), F.col("vector").cast("array<double>").alias("vector")).where("vector is not null")
+    parts, blocks = (max(1, -(-df.count() // size)) for df, size in ((u, UNIT_BLOCK), (q, QUESTION_BLOCK)))
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    u = u.withColumn("part", part("id", parts)).withColumn("block", every(blocks)).groupBy("part", "block")
+    q = q.withColumn("block", part("qid", blocks)).withColumn("part", every(parts)).groupBy("part", "block")
+    found = u.cogroup(q).applyInArrow(_block_top_k(k), "qid long, id long, score double")
+    return top_k(found.withColumn("score", F.round("score", DECIMALS)), k)
+
+
+def sparse_scores(questions: DataFrame, units: DataFrame | bm25.Index, k: int, id_col: str = "child_idx", text_col: str = "embed_text") -> DataFrame:
+    """(qid, id, score, rank): the k best by BM25 of units or of an index of them. Where fewer units match, the first others
+    fill up with 0.
+
+    Only questions with fewer than k positive scores need others, and only the units with the least ids can be needed.
     """
-    ids = units.select(F.col(id_col).alias("id"))
-    scored = bm25.scores(units, questions, id_col, text_col).withColumn("score", F.round("score", DECIMALS))
+    indexed = units if isinstance(units, bm25.Index) else bm25.index(units, id_col, text_col)
+    scored = kept(bm25.scores(indexed, questions).withColumn("score", F.round("score", DECIMALS)))
     # A match with a negative or zero score ties with or loses to units that don't match at all.
-    best = top_k(scored.where("score > 0"), k).drop("rank")
-    low = scored.where("score <= 0").select("qid", "id", "score")
+    best = kept(top_k(scored.where("score > 0"), k).drop("rank"))
+    enough = best.groupBy("qid").agg(F.count("*").alias("n")).where(F.col("n") >= k)
+    needy = questions.select("qid").distinct().join(enough, "qid", "left_anti")
+    low = scored.where("score <= 0").join(needy, "qid", "left_semi").select("qid", "id", "score")
     # Each of a question's k places may need one of them, and up to k of the first ids may be matches already.
-    filler = ids.orderBy("id").limit(2 * k)
-    fill = questions.select("qid").join(filler, F.lit(True)).join(scored.select("qid", "id"), ["qid", "id"], "left_anti").withColumn("score", F.lit(0.0))
+    filler = indexed.ids if 2 * k >= indexed.n else indexed.ids.orderBy("id").limit(2 * k)
+    fill = needy.join(filler, F.lit(True)).join(scored.select("qid", "id"), ["qid", "id"], "left_anti").withColumn("score", F.lit(0.0))
     return top_k(best.unionByName(low).unionByName(fill), k)
 
 
@@ -61,36 +102,38 @@ def fuse(dense: DataFrame, sparse: DataFrame, k: int) -> DataFrame:
     return one.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("qid", "id", "score", "rank")
 
 
-def retrieve(questions: DataFrame, units: DataFrame, mode: str = "dense", k: int = DEFAULT_K) -> DataFrame:
-    """(qid, id, score, rank, best_score). units: child_idx, embed_text, vector; questions: qid, question, vector. best_score
-    is what the gate looks at: the best cosine in dense and hybrid mode, the normalised best in sparse mode."""
+def retrieve(questions: DataFrame, units: DataFrame, mode: str = "dense", k: int = DEFAULT_K, indexed: bm25.Index | None = None) -> DataFrame:
+    """(qid, id, score, rank, best_score). units: child_idx, embed_text, vector; questions: qid, question, vector; indexed: the
+    units' index, if it is built already. best_score is what the gate looks at: the best cosine in dense and hybrid mode, the
+    normalised best in sparse mode."""
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode!r}; known: {', '.join(MODES)}")
     if mode == "sparse":
-        hits = normalised_sparse(sparse_scores(questions, units, k))
+        hits = normalised_sparse(sparse_scores(questions, indexed or units, k))
         return hits.withColumn("best_score", F.max("score").over(Window.partitionBy("qid")))
-    wide = top_k(dense_scores(questions, units, "child_idx"), k if mode == "dense" else DENSE_FACTOR * k)
+    wide = dense_top_k(questions, units, k if mode == "dense" else DENSE_FACTOR * k, "child_idx")
     wide = wide.withColumn("best_score", F.max("score").over(Window.partitionBy("qid")))
     if mode == "dense":
         return wide
     best = wide.groupBy("qid").agg(F.max("best_score").alias("best_score"))
-    return fuse(wide, sparse_scores(questions, units, DENSE_FACTOR * k), k).join(best, "qid")
+    return fuse(wide, sparse_scores(questions, indexed or units, DENSE_FACTOR * k), k).join(best, "qid")
 
 
 def matched_children(hits: DataFrame, children: DataFrame) -> DataFrame:
-    """Hits with their child's columns; hits without a child are left out."""
-    return hits.join(children.withColumnRenamed("child_idx", "id"), "id")
+    """Hits with their child's columns; hits without a child are left out. Hits are written first, so that Spark knows how few
+    they are before it moves the children."""
+    return kept(hits).join(children.withColumnRenamed("child_idx", "id"), "id")
 
 
 def matched_parents(matched: DataFrame, parents: DataFrame) -> DataFrame:
     """Each question's parents once, by their best child: parent_rank from 1."""
     first = matched.groupBy("qid", "parent_id").agg(F.min("rank").alias("first_rank"))
     first = first.withColumn("parent_rank", F.row_number().over(Window.partitionBy("qid").orderBy("first_rank")))
-    return first.join(parents, "parent_id")
+    return kept(first).join(parents, "parent_id")
 
 
 def gate(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Adds blocked and reason from best_score (null counts as 0): blocked if it is below the threshold."""
+    """Adds blocked and reason from best_score (null counts as 0): blocked if it is below the threshold. Fixed wording."""
     best = F.coalesce(F.col("best_score"), F.lit(0.0))
     reason = F.format_string(
         "No sufficiently relevant settlement instructions found (best retrieval score %.3f < threshold %.3f). The queried instrument or currency may not be in the SSI corpus.",

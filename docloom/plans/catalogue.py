@@ -17,9 +17,11 @@ from ..functions.html import html_rows
 from ..operators import bm25, chunking, conflicts, retrieval
 from ..operators.blocks import parse_blocks
 from ..sources.documents import from_table, page_content
+from ..sources.kept import kept
 from ..sources.workers import find_package
 from . import engine, prompts
 from .domains import FIELDS, domain_fields
+from .providers import EchoChat, HashedEmbedder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -224,11 +226,15 @@ def sliding_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.build_children(_window_parents(spark, sf_dir)).select("child_idx", F.col("doc_ord").alias("doc_id"), "row_text", "embed_text")
 
 
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, each line a paragraph."""
+    return from_table(_t(spark, sf_dir, "documents").withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n"))), "doc_id", "text")
+
+
 @_query(r"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents), p AS (SELECT doc_id, i, trim(x) AS row_text FROM l WHERE trim(x) <> '')
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS BIGINT) AS paragraph, row_text FROM p""")
 def paragraph_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = from_table(_t(spark, sf_dir, "documents").withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n"))), "doc_id", "text")
-    parents = chunking.paragraph(parse_blocks(docs))
+    parents = chunking.paragraph(parse_blocks(_lines(spark, sf_dir)))
     own = F.row_number().over(Window.partitionBy("doc_ord").orderBy("parent_id")) - 1
     return parents.select(F.col("doc_ord").alias("doc_id"), own.cast("long").alias("paragraph"), F.col("rows")[0].alias("row_text"))
 
@@ -290,11 +296,11 @@ def grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(
     """WITH n AS (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS l FROM embeddings)
-SELECT vec_id, round(list_sum(list_transform(e, lambda x: x / l)), 6) AS total, round(e[1] / l, 6) AS first FROM n"""
+SELECT vec_id, CAST(unnest(generate_series(0, len(e) - 1)) AS INTEGER) AS place, round(unnest(list_transform(e, lambda x: x / l)), 6) AS value FROM n"""
 )
 def l2_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = _t(spark, sf_dir, "embeddings").select("vec_id", V.normalise(F.col("embedding")).alias("v"))
-    return v.select("vec_id", F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 6).alias("total"), F.round(F.col("v")[0], 6).alias("first"))
+    v = _t(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(V.normalise(F.col("embedding"))).alias("place", "value"))
+    return v.withColumn("value", F.round("value", 6))
 
 
 _DENSE_SQL = f"""e AS (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS l FROM embeddings),
@@ -304,7 +310,7 @@ dk AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, i
 
 def _dense(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     e = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return retrieval.top_k(retrieval.dense_scores(e.where("id % 50 = 0").withColumnRenamed("id", "qid"), e), k)
+    return retrieval.dense_top_k(e.where("id % 50 = 0").withColumnRenamed("id", "qid"), e, k)
 
 
 @_query(f"WITH {_DENSE_SQL} SELECT qid, id, score, rank FROM dk WHERE rank <= {K}")
@@ -335,7 +341,7 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"WITH {_bm25_sql('documents', 'doc_id', 'text')} SELECT qid, id, score FROM sc")
 def bm25_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bm25.scores(_units(spark, sf_dir), _items(spark, sf_dir)).withColumn("score", F.round("score", 6))
+    return bm25.scores(bm25.index(_units(spark, sf_dir)), _items(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
 @_query(f"WITH {_bm25_sql('documents', 'doc_id', 'text')} SELECT qid, id, score, rank FROM sk WHERE rank <= {K}")
@@ -357,7 +363,7 @@ fk AS (SELECT qid, id, coalesce(1.0::DOUBLE / (60 + d), 0) + coalesce(1.0::DOUBL
 def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     dense = _dense(spark, sf_dir, 2 * K)
     vectors = _t(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("doc_id"))
-    asked = _t(spark, sf_dir, "documents").join(F.broadcast(vectors), "doc_id").select(F.col("doc_id").alias("qid"), F.col("text").alias("question"))
+    asked = _t(spark, sf_dir, "documents").join(vectors, "doc_id").select(F.col("doc_id").alias("qid"), F.col("text").alias("question"))
     sparse = retrieval.sparse_scores(asked, _units(spark, sf_dir), 2 * K)
     return retrieval.fuse(dense, sparse, K).withColumn("score", F.round("score", 9))
 
@@ -365,17 +371,20 @@ def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
 _HITS_SQL = f"{_WINDOWS_SQL}, {_bm25_sql('ch', 'child_idx', 'embed_text')}, hit AS (SELECT sk.qid, sk.id, sk.score, sk.rank, doc_name, row_text FROM sk JOIN ch ON sk.id = ch.child_idx WHERE rank <= {K})"
 
 
-def _hits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(questions, hits with their children, parents): windows of documents against benchmark items by BM25."""
-    parents = _window_parents(spark, sf_dir)
+def _hits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(hits with their children, parents): windows of documents against benchmark items by BM25."""
+    parents = kept(_window_parents(spark, sf_dir))
+    return _matched(spark, sf_dir, parents), parents
+
+
+def _matched(spark: SparkSession, sf_dir: str, parents: DataFrame) -> DataFrame:
     children = chunking.build_children(parents)
-    questions = _items(spark, sf_dir)
-    return questions, retrieval.matched_children(retrieval.sparse_scores(questions, children, K), children), parents
+    return kept(retrieval.matched_children(retrieval.sparse_scores(_items(spark, sf_dir), children, K), children))
 
 
 @_query(f"WITH {_HITS_SQL} SELECT qid, id, rank, id AS parent_id, doc_name, row_text FROM hit")
 def child_parent_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, matched, parents = _hits(spark, sf_dir)
+    matched, parents = _hits(spark, sf_dir)
     return matched.join(parents.select("parent_id"), "parent_id").select("qid", "id", "rank", "parent_id", "doc_name", "row_text")
 
 
@@ -424,25 +433,77 @@ SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY rerank_score DESC, i
 )
 def rerank_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
     units, items = _units(spark, sf_dir), _items(spark, sf_dir)
-    hits = retrieval.sparse_scores(items, units, 4 * K).join(units.withColumnRenamed("child_idx", "id"), "id").join(F.broadcast(items), "qid")
+    hits = retrieval.sparse_scores(items, units, 4 * K).join(units.withColumnRenamed("child_idx", "id"), "id").join(items, "qid")
     return retrieval.rerank(hits, retrieval.overlap_score(F.col("question"), F.col("embed_text")), K).select("qid", "id", "rerank_score", "rank")
 
 
+_PARAGRAPHS_SQL = r"""l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+ch AS (SELECT CAST(row_number() OVER (ORDER BY doc_id, i) - 1 AS BIGINT) AS child_idx, 'doc_' || doc_id AS doc_name, trim(x) AS row_text, '[doc ' || doc_id || '] ' || trim(x) AS embed_text FROM l WHERE trim(x) <> '')"""
+
+
+def _evaluated_sql(strategy: str, chunks: str) -> str:
+    return f"""SELECT * FROM (WITH {chunks}, {_bm25_sql("ch", "child_idx", "embed_text")}, hit AS (SELECT sk.qid, sk.id, sk.score, doc_name FROM sk JOIN ch ON sk.id = ch.child_idx WHERE rank <= {K}),
+e AS (SELECT qid, max(score) AS best_score, count(DISTINCT id) AS n_parents, count(*) AS n_children, count(DISTINCT doc_name) AS n_docs FROM hit GROUP BY qid)
+SELECT '{strategy}' AS strategy, qid, substr(text, 1, 60) AS question, best_score, n_parents, n_children, n_docs FROM benchmark JOIN e ON item_id = qid)"""
+
+
+@_query(f"{_evaluated_sql('sliding_window', _WINDOWS_SQL)} UNION ALL {_evaluated_sql('paragraph', _PARAGRAPHS_SQL)}")
+def evaluate_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same questions over windows and over paragraphs."""
+    windows = _hits(spark, sf_dir)[0]
+    paragraphs = _matched(spark, sf_dir, kept(chunking.paragraph(parse_blocks(_lines(spark, sf_dir)))))
+    one, two = (engine.evaluation(_items(spark, sf_dir), matched).withColumn("strategy", F.lit(name)) for name, matched in (("sliding_window", windows), ("paragraph", paragraphs)))
+    return one.unionByName(two)
+
+
 @_query(
-    f"""WITH {_HITS_SQL}, e AS (SELECT qid, max(score) AS best_score, count(DISTINCT id) AS n_parents, count(*) AS n_children, count(DISTINCT doc_name) AS n_docs FROM hit GROUP BY qid)
-SELECT qid, substr(text, 1, 60) AS question, best_score, n_parents, n_children, n_docs FROM benchmark JOIN e ON item_id = qid"""
+    f"""WITH {_bm25_sql("documents", "doc_id", "text")}, h AS (SELECT sk.*, d.text AS dt, d.source, question FROM sk JOIN documents d ON id = doc_id JOIN q USING (qid) WHERE rank <= {4 * K}),
+o AS (SELECT qid, id, source, list_distinct(list_filter(regexp_split_to_array(lower(question), '\\s+'), lambda x: x <> '')) AS a, list_filter(regexp_split_to_array(lower(dt), '\\s+'), lambda x: x <> '') AS b FROM h),
+r AS (SELECT qid, id, source, row_number() OVER (PARTITION BY qid ORDER BY round(len(list_intersect(a, b))::DOUBLE / len(a), 4) DESC, id) AS rank FROM o),
+m AS (SELECT qid, source AS parent_id, CAST(min(rank) AS INTEGER) AS first_rank FROM r WHERE rank <= {K} GROUP BY ALL)
+SELECT qid, parent_id, first_rank, CAST(row_number() OVER (PARTITION BY qid ORDER BY first_rank) AS INTEGER) AS parent_rank FROM m"""
 )
-def evaluate_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    questions, matched, _ = _hits(spark, sf_dir)
-    return engine.evaluation(questions, matched)
+def reranked_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """More hits than asked for are fetched and reranked, and the parents rebuilt from those that stay."""
+    units, items = _units(spark, sf_dir), _items(spark, sf_dir)
+    hits = retrieval.matched_children(retrieval.sparse_scores(items, units, 4 * K), units).join(items, "qid")
+    best = retrieval.rerank(hits, retrieval.overlap_score(F.col("question"), F.col("embed_text")), K)
+    sources = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("parent_id"))
+    found = kept(best.select("qid", "id", "rank")).join(sources, "id")
+    return retrieval.matched_parents(found, sources.select("parent_id").distinct()).select("qid", "parent_id", "first_rank", "parent_rank")
+
+
+_SUMMED_SQL = "SELECT a.vec_id, list_transform(list_zip(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), lambda x: x[1] + x[2]) AS e FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 50 = 0 AND a.vec_id IN (SELECT doc_id FROM documents)"
+
+
+@_query(
+    f"""WITH qv AS ({_SUMMED_SQL}), e AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents)),
+d AS (SELECT qv.vec_id AS qid, e.vec_id AS id, round(list_dot_product(qv.e, e.e) / sqrt(list_dot_product(qv.e, qv.e)) / sqrt(list_dot_product(e.e, e.e)), 6) AS score FROM qv, e),
+dk AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS INTEGER) AS rank FROM d QUALIFY rank <= {2 * K}),
+{_bm25_sql("documents", "doc_id", "text", f"SELECT doc_id AS qid, coalesce(text, '') AS question FROM documents WHERE doc_id IN (SELECT vec_id FROM ({_SUMMED_SQL}))")},
+f AS (SELECT coalesce(a.qid, b.qid) AS qid, coalesce(a.id, b.id) AS id, a.rank AS d, b.rank AS s FROM dk a FULL JOIN (SELECT * FROM sk WHERE rank <= {2 * K}) b ON a.qid = b.qid AND a.id = b.id),
+fk AS (SELECT qid, id, coalesce(1.0::DOUBLE / (60 + d), 0) + coalesce(1.0::DOUBLE / (60 + s), 0) AS raw, d, s FROM f),
+best AS (SELECT qid, max(score) AS best_score FROM dk GROUP BY qid)
+SELECT qid, id, round(raw, 9) AS score, CAST(row_number() OVER (PARTITION BY qid ORDER BY raw DESC, d NULLS LAST, s NULLS LAST) AS INTEGER) AS rank, best_score, best_score < 0.75 AS blocked FROM fk JOIN best USING (qid) QUALIFY rank <= {K}"""
+)
+def hybrid_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fused hits with the score that the gate looks at, the best cosine. A question's vector is the sum of two documents'."""
+    vectors = _t(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    units = _units(spark, sf_dir).join(vectors.toDF("child_idx", "vector"), "child_idx", "left")
+    both = vectors.where("vec_id % 50 = 0").join(vectors.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next")), "vec_id")
+    asked = both.select(F.col("vec_id").alias("child_idx"), F.zip_with("embedding", "next", lambda a, b: a.cast("double") + b.cast("double")).alias("vector"))
+    asked = asked.join(_units(spark, sf_dir), "child_idx").select(F.col("child_idx").alias("qid"), F.col("embed_text").alias("question"), "vector")
+    hits = retrieval.retrieve(kept(asked), units, "hybrid", K)
+    return retrieval.gate(hits, 0.75).select("qid", "id", F.round("score", 9).alias("score"), "rank", "best_score", "blocked")
 
 
 # --- prompts
 
 
 def _ranked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    questions, matched, parents = _hits(spark, sf_dir)
-    return questions, matched, retrieval.matched_parents(matched.select("qid", "rank", "parent_id"), parents)
+    """(questions, hits with their children, their parents by rank)"""
+    matched, parents = _hits(spark, sf_dir)
+    return _items(spark, sf_dir), matched, retrieval.matched_parents(matched.select("qid", "rank", "parent_id"), parents)
 
 
 @_query(
@@ -470,6 +531,39 @@ def direct_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _parents(spark, sf_dir).groupBy("doc_name").agg(parts.alias("parts")).select("doc_name", prompts.direct_prompt(F.lit("Which codes are there?"), F.col("parts")).alias("prompt"))
 
 
+_SECTION_QUESTIONS_SQL = "SELECT n_nationkey AS qid, '[' || r_name || ' desk1 | ' || n_name || '] Code: Balance:' AS question FROM nation JOIN region ON n_regionkey = r_regionkey"
+
+
+@_query(
+    f"""WITH {_CHILDREN_SQL}, {_bm25_sql("ch", "child_idx", "embed_text", _SECTION_QUESTIONS_SQL)},
+h AS (SELECT sk.qid, sk.rank, ch.child_idx, ch.parent_id, ch.row_text FROM sk JOIN ch ON sk.id = ch.child_idx WHERE rank <= {3 * K}),
+b AS (SELECT qid, parent_id, min(rank) AS r, string_agg(row_text, chr(10) ORDER BY child_idx) AS own FROM h GROUP BY ALL),
+t AS (SELECT qid, r, '[Source: ' || doc_name || ' | Section: ' || heading || ']' || CASE WHEN preamble <> '' THEN chr(10) || preamble ELSE '' END || chr(10) || own || CASE WHEN notes <> '' THEN chr(10) || notes ELSE '' END AS block FROM b JOIN pp USING (parent_id))
+SELECT t.qid, string_agg(block, chr(10) ORDER BY r) || chr(10) || 'Question: ' || any_value(question) AS prompt FROM t JOIN q USING (qid) GROUP BY t.qid"""
+)
+def sectioned_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several rows of one table, with its section, preamble and notes, and none of the rows that weren't found."""
+    parents = kept(_parents(spark, sf_dir))
+    n, r = (_t(spark, sf_dir, t) for t in ("nation", "region"))
+    questions = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("qid"), F.concat(F.lit("["), "r_name", F.lit(" desk1 | "), "n_name", F.lit("] Code: Balance:")).alias("question"))
+    children = chunking.build_children(parents)
+    matched = kept(retrieval.matched_children(retrieval.sparse_scores(questions, children, 3 * K), children))
+    return prompts.rag_prompt(questions, retrieval.matched_parents(matched.select("qid", "rank", "parent_id"), parents), matched)
+
+
+@_query(
+    f"""WITH {_PARENTS_SQL}, t AS (SELECT parent_id, doc_name, heading, CASE WHEN heading <> '' THEN '[Section: ' || heading || ']' || chr(10) ELSE '' END || CASE WHEN preamble <> '' THEN preamble || chr(10) ELSE '' END || rows_text || CASE WHEN notes <> '' THEN chr(10) || notes ELSE '' END AS t FROM pp),
+c AS (SELECT doc_name || ' / ' || heading AS entry, min(parent_id) AS p FROM t GROUP BY ALL)
+SELECT r_regionkey AS qid, 'Context:' || chr(10) || (SELECT string_agg(t, chr(10) || chr(10) ORDER BY parent_id) FROM t) || chr(10) || chr(10) || 'Question: Which codes has ' || r_name || '?' AS prompt, 'direct' AS mode, false AS blocked, 'direct-context mode' AS reason,
+1.0::DOUBLE AS best_score, CAST(4096 AS BIGINT) AS max_tokens, 'Sources:' || chr(10) || (SELECT string_agg('  - ' || entry, chr(10) ORDER BY p) FROM c) AS citation FROM region"""
+)
+def direct_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An engine whose corpus is small enough for one prompt."""
+    built = engine.Engine(spark, _syn(spark, sf_dir), EchoChat(), HashedEmbedder(), small_corpus=1 << 40).build()
+    questions = _t(spark, sf_dir, "region").select(F.col("r_regionkey").alias("qid"), F.concat(F.lit("Which codes has "), "r_name", F.lit("?")).alias("question"))
+    return built.prepare(questions)[0].select("qid", "prompt", "mode", "blocked", "reason", "best_score", "max_tokens", "citation")
+
+
 _FIELD_LABEL, _FIELD_NAMES = FIELDS["repo_ssi"]
 _ENTRY_SQL = "{" + ", ".join(f'"{f}": "..."' for f in _FIELD_NAMES) + "}"
 

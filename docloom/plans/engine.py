@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import replies
 from ..functions.text import parent_text
+from ..operators import bm25
 from ..operators import conflicts as C
 from ..operators import retrieval as R
 from ..operators.blocks import parse_blocks
@@ -16,7 +17,7 @@ from ..sources.kept import kept
 from ..sources.workers import find_package
 from . import prompts as P
 from .domains import Domain, get_domain
-from .providers import Chat, Embedder, Reranker, complete_column, embed_column
+from .providers import Chat, Embedder, Reranker, complete_column, embed_column, rerank_column
 
 EXTRACT_TOKENS = 512
 _RESULT = "qid, question, answer, raw, citation, blocked, reason, best_score, conflicts, grounded, ungrounded, passed, seconds, mode".split(", ")
@@ -59,6 +60,7 @@ class Engine:
         self.direct = self.n_children < self.small
         needs = not self.direct and self.mode != "sparse"
         self.children = kept(embed_column(children, self.embedder, "embed_text")) if needs else children
+        self.index = bm25.index(children) if not self.direct and self.mode != "dense" else None
         return self
 
     def _questions(self, questions: Sequence[str] | DataFrame) -> DataFrame:
@@ -71,51 +73,50 @@ class Engine:
     def _found(self, questions: DataFrame, k: int | None) -> tuple[DataFrame, DataFrame]:
         """(questions with policy, matched children)"""
         asked = R.policy(questions, self.n_children, k, self.default_k, self.reranker is not None)
-        most = asked.agg(F.max("fetch_k")).first()[0] or 1
         if self.mode != "sparse":
             asked = embed_column(asked, self.embedder, "question", "retrieval.query")
-        hits = R.retrieve(asked, self.children, self.mode, int(most))
-        limits = asked.select("qid", "question", "k", "fetch_k")
-        matched = R.matched_children(hits, self.children.drop("vector")).join(limits, "qid").where("rank <= fetch_k")
+        asked = kept(asked)
+        hits = None
+        # Broad questions take everything, the others a few: two numbers at most, so nobody else searches that far.
+        for (n,) in asked.select("fetch_k").distinct().collect():
+            own = R.retrieve(asked.where(F.col("fetch_k") == n), self.children, self.mode, max(1, n), self.index)
+            hits = own if hits is None else hits.unionByName(own)
+        if hits is None:
+            hits = R.retrieve(asked, self.children, self.mode, 1, self.index)
+        limits = asked.select("qid", "question", "k")
+        matched = R.matched_children(hits, self.children.drop("vector")).join(limits, "qid")
         if self.reranker is not None:
-            matched = self._reranked(matched)
+            rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("rerank_score"), "rank"))
+            matched = kept(rerank_column(matched, self.reranker)).withColumn("rerank_score", F.round("rerank_score", 4)).withColumn("rank", rank).where("rank <= k")
         return asked, matched
 
-    def _reranked(self, matched: DataFrame) -> DataFrame:
-        reranker = self.reranker
-
-        def run(frame):
-            return frame.assign(rerank_score=reranker.score(frame["question"].iloc[0], frame["row_text"].tolist()))
-
-        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in matched.schema.fields)
-        scored = matched.groupBy("qid").applyInPandas(run, f"{fields}, rerank_score double")
-        rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("rerank_score"), "rank"))
-        return scored.withColumn("rerank_score", F.round("rerank_score", 4)).withColumn("rank", rank).where("rank <= k")
-
-    def batch_query(self, questions: Sequence[str] | DataFrame, k: int | None = None, max_tokens: int | None = None, max_workers: int | None = None) -> DataFrame:
-        """One row per question; a blocked one keeps its reason as answer, has no conflicts and no reply. Answered rows are
-        kept, so reading the result again doesn't ask the model again."""
+    def prepare(self, questions: Sequence[str] | DataFrame, k: int | None = None, max_tokens: int | None = None) -> tuple[DataFrame, DataFrame]:
+        """(ready, context): what each question would be asked with, blocked or not, and its context for grounding."""
         questions = self._questions(questions)
         if self.direct:
             ready, context, cited = self._direct(questions)
         else:
             asked, matched = self._found(questions, k)
             matched = kept(matched)
-            parents = R.matched_parents(matched, self.parents.drop("doc_ord"))
-            parents = kept(parents)
+            parents = kept(R.matched_parents(matched, self.parents.drop("doc_ord", "first_child")))
             best = matched.groupBy("qid").agg(F.max("best_score").alias("best_score"))
             gated = R.gate(asked.drop("vector").join(best, "qid", "left"), self.threshold)
             gated = gated.withColumn("max_tokens", F.lit(max_tokens).cast("long")) if max_tokens is not None else gated
             ready = gated.join(P.rag_prompt(questions, parents, matched), "qid").withColumn("mode", F.lit(self.mode))
             context, cited = P.contexts(parents), P.citation(parents)
-        columns = ["qid", "question", "prompt", "max_tokens", "blocked", "reason", "best_score", "mode"]
-        ready = kept(ready.select(*columns))
+        columns = ["qid", "question", "prompt", "max_tokens", "blocked", "reason", "best_score", "mode", "citation"]
+        return kept(ready.join(cited, "qid", "left").select(*columns)), context
+
+    def batch_query(self, questions: Sequence[str] | DataFrame, k: int | None = None, max_tokens: int | None = None, max_workers: int | None = None) -> DataFrame:
+        """One row per question; a blocked one keeps its reason as answer, has no conflicts and no reply. Answered rows are
+        kept, so reading the result again doesn't ask the model again."""
+        ready, context = self.prepare(questions, k, max_tokens)
         asked = ready.where("not blocked")
         answered = complete_column(asked.repartition(max_workers) if max_workers else asked, self.chat, self.domain.system_prompt)
         answered = kept(answered)
         answered = answered.withColumn("answer", replies.answer(F.col("raw")))
-        answered = C.check_grounding(answered.join(context, "qid", "left")).join(cited, "qid", "left")
-        found = C.detect_conflicts(questions, self.conflicts).groupBy("qid").agg(F.array_sort(F.collect_list("message")).alias("conflicts"))
+        answered = C.check_grounding(answered.join(context, "qid", "left"))
+        found = C.detect_conflicts(ready, self.conflicts).groupBy("qid").agg(F.array_sort(F.collect_list("message")).alias("conflicts"))
         none = F.expr("cast(array() as array<string>)")
         answered = answered.join(found, "qid", "left").withColumn("conflicts", F.coalesce("conflicts", none))
         held = ready.where("blocked")

@@ -12,13 +12,14 @@ import urllib.error
 import urllib.request
 from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CHAT_TIMEOUT, EMBED_TIMEOUT, RERANK_TIMEOUT = 60, 60, 30
-EMBED_BATCH, RETRIES = 256, 8
+EMBED_BATCH, LOCAL_BATCH, RETRIES = 256, 64, 8
 DEFAULT_WAIT, WAIT_MARGIN, SERVER_WAIT = 15.0, 1.0, 2.0
 
 #: (url, headers, payload, timeout) -> (status, text)
@@ -53,9 +54,9 @@ def post(url: str, headers: dict, payload: dict, timeout: float) -> tuple[int, s
 
 
 def retry_wait(text: str, default: float = DEFAULT_WAIT) -> float:
-    """Seconds that a rate limit's 'try again in 1m2.5s' asks for, with a margin."""
-    found = re.search(r"try again in (?:(\d+)m)?\s*([\d.]+)s", text)
-    return (int(found[1] or 0) * 60 + float(found[2].rstrip(".")) if found else default) + WAIT_MARGIN
+    """Seconds that a rate limit's 'try again in 1m2.5s' asks for, with a margin; the default where it doesn't say."""
+    found = re.search(r"try again in (?:(\d+)m)?\s*([\d.]+)s", text)  # a fixed value: the services' wording
+    return int(found[1] or 0) * 60 + float(found[2].rstrip(".")) + WAIT_MARGIN if found else default
 
 
 def unit(vector: list[float]) -> list[float]:
@@ -148,6 +149,52 @@ class HashedEmbedder(Embedder):
         return out
 
 
+class _Loaded:
+    """A model of a library that may be absent: loaded once by each worker that uses it, never sent there."""
+
+    def __init__(self, model: str):
+        self.model = model
+
+    @cached_property
+    def loaded(self):
+        return self._load()
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "loaded"}
+
+
+class LocalEmbedder(_Loaded, Embedder):
+    """A sentence-transformers model on the workers. Needs that library and the model there."""
+
+    def __init__(self, model: str = "BAAI/bge-small-en-v1.5"):
+        super().__init__(model)
+
+    def _load(self):
+        from sentence_transformers import SentenceTransformer
+
+        return SentenceTransformer(self.model)
+
+    def embed(self, texts: list[str], task: str = "retrieval.passage") -> list[list[float]]:
+        if not texts:
+            raise ValueError("no texts to embed")
+        return [unit([float(x) for x in v]) for v in self.loaded.encode(texts, batch_size=LOCAL_BATCH, normalize_embeddings=True, show_progress_bar=False)]
+
+
+class LocalReranker(_Loaded, Reranker):
+    """A sentence-transformers cross-encoder on the workers; its scores go through a logistic function."""
+
+    def __init__(self, model: str = "cross-encoder/ms-marco-MiniLM-L-6-v2"):
+        super().__init__(model)
+
+    def _load(self):
+        from sentence_transformers import CrossEncoder
+
+        return CrossEncoder(self.model)
+
+    def score(self, query: str, texts: list[str]) -> list[float]:
+        return [1 / (1 + math.exp(-float(x))) for x in self.loaded.predict([(query, t) for t in texts], show_progress_bar=False)] if texts else []
+
+
 class OverlapReranker(Reranker):
     """Offline: the part of the query's distinct tokens that a text has."""
 
@@ -177,8 +224,8 @@ def _needs_key(make):
 
 
 CHATS = {"rest": RestChat, "keyed": _needs_key(RestChat), "echo": EchoChat}
-EMBEDDERS = {"rest": RestEmbedder, "task": TaskEmbedder, "hashed": HashedEmbedder}
-RERANKERS = {"rest": RestReranker, "overlap": OverlapReranker}
+EMBEDDERS = {"rest": RestEmbedder, "task": TaskEmbedder, "local": LocalEmbedder, "hashed": HashedEmbedder}
+RERANKERS = {"rest": RestReranker, "local": LocalReranker, "overlap": OverlapReranker}
 
 
 def _make(known: dict, kind: str, name: str, options: dict):
@@ -210,6 +257,19 @@ def embed_column(rows: DataFrame, embedder: Embedder, text_col: str, task: str =
     return rows.withColumn("vector", run(F.col(text_col)))
 
 
+def rerank_column(rows: DataFrame, reranker: Reranker, by: str = "qid", question: str = "question", text: str = "row_text") -> DataFrame:
+    """Adds rerank_score; rows of one question that lie in one Arrow batch are one call. Rows stay where they are, so a question
+    that takes the whole corpus is scored by many tasks."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for _, part in frame.groupby(by, sort=False):
+                yield part.assign(rerank_score=reranker.score(part[question].iloc[0], part[text].tolist()))
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.mapInPandas(run, f"{schema}, rerank_score double")
+
+
 def complete_column(rows: DataFrame, chat: Chat, system: str) -> DataFrame:
     """Adds raw, seconds. rows: qid, prompt, max_tokens. Call it on rows that aren't blocked: Spark moves no filter past it."""
     columns = [c for c in rows.columns if c not in ("raw", "seconds")]

@@ -6,10 +6,11 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.layout import table_html
+from ..operators.ordering import running_offsets
 
 SCHEMA = "doc_name string, model_id string, api_version string, content string"
 WORDS = "doc_name string, page int, text string, x0 double, x1 double, top double, bottom double"
@@ -22,9 +23,8 @@ def read_json(spark: SparkSession, folder: str) -> DataFrame:
     name is the file's own, a missing content empty."""
     files = spark.read.schema(SCHEMA).option("multiLine", True).option("pathGlobFilter", "*.json").json(folder)
     named = files.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_name").alias("_file"))
-    # One row per file, so the listing is what the driver has anyway.
-    order = named.select("_path").distinct().withColumn("doc_ord", (F.row_number().over(Window.orderBy("_path")) - 1).cast("long"))
-    out = named.join(F.broadcast(order) if len(files.inputFiles()) < 100_000 else order, "_path")
+    order = running_offsets(named.select("_path").distinct().withColumn("_one", F.lit(1)), "_path", {"doc_ord": "_one"})
+    out = named.join(order, "_path")
     return out.select("doc_ord", F.coalesce("doc_name", "_file").alias("doc_name"), F.coalesce("content", F.lit("")).alias("content"))
 
 

@@ -1,16 +1,27 @@
 """Frames whose rows are computed once, in the folder that all executors share."""
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """The same rows, written to the session's checkpoint folder; one of our own only where none is set. The result has no
-    lineage, so later plans stay small and a lost executor costs no second call of a model."""
-    context = df.sparkSession.sparkContext
-    if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()):
+def shared_dir(spark: SparkSession) -> str:
+    """The session's checkpoint folder. Where none is set, one of our own if all executors are this machine, as in tests; else
+    an error, since executors wouldn't see each other's files."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not found:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="docloom-"))
-    elif not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir"))
-    return df.checkpoint()
+        found = context.getCheckpointDir()
+    return found.rstrip("/")
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """The same rows, written once as Parquet and read back: no lineage, so later plans stay small and read only the columns
+    they need, and a lost executor costs no second call of a model."""
+    path = f"{shared_dir(df.sparkSession)}/docloom/kept-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
