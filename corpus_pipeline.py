@@ -4,6 +4,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from docloom.llm import near_dedup, packing, pii, quality, toxicity
 from docloom.llm.registry import table
@@ -23,9 +24,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of five-word shingles at a similarity of 0.8, the document with the least id stays."""
+    """Of each class of five-word shingles at a similarity of 0.8, the document with the least id stays. Rows that share an id
+    stay together if one of them does, and rows with a null id stay."""
     classes = near_dedup.near_duplicate_classes(docs, k=5, num=80, den=100)
-    gone = classes.where("not kept").select("doc_id").distinct()
+    gone = classes.where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
