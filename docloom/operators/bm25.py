@@ -1,7 +1,10 @@
 """BM25 with repeated query terms and a floor for frequent ones, as joins over postings."""
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,10 +17,23 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 BROADCAST_TERMS = 500_000
 
 
+def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        tokens = batch.column(1)
+        counted = pa.table({"row": pc.list_parent_indices(tokens), "term": pc.list_flatten(tokens)}).group_by(["row", "term"]).aggregate([([], "count_all")]).combine_chunks()
+        at = counted["row"].combine_chunks()
+        found = pa.table({"id": batch.column(0).take(at), "term": counted["term"], "dl": pc.list_value_length(tokens).take(at).cast(pa.int32()), "tf": counted["count_all"]})
+        yield from found.to_batches(max_chunksize=1 << 16)
+
+
 def postings(units: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, term, tf, dl) with dl the number of tokens of the unit; units without tokens have no postings."""
-    split = units.select(F.col(id_col).alias("id"), T.tokens(F.col(text_col)).alias("t"))
-    return split.select("id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("id", "term", "dl").agg(F.count("*").alias("tf"))
+    """(id, term, dl, tf) with dl the number of tokens of the unit; units without tokens have no postings.
+
+    A unit's tokens lie in one row, so they are counted where they are, in Arrow batches: grouping them in Spark would sort
+    or hash every token under its unit's id and shuffle all postings once more.
+    """
+    split = units.select(F.col(id_col).alias("id"), T.tokens(F.col(text_col)).alias("t")).where(F.size("t") > 0)
+    return split.mapInArrow(_count_tokens, f"id {split.schema['id'].dataType.simpleString()}, term string, dl int, tf long")
 
 
 @dataclass(frozen=True)

@@ -13,7 +13,8 @@ def running_offsets(counts: DataFrame, order: str, sums: dict[str, str]) -> Data
     ranges' own sums, one row for each, meet in one task. Only these small columns are shuffled and written.
     """
     columns = [F.col(c).cast("long").alias(f"_{name}") for name, c in sums.items()]
-    dealt = kept(counts.select(order, *columns).repartitionByRange(order).withColumn("_range", F.spark_partition_id()))
+    # Finding ranges reads the rows once more, so they are written before.
+    dealt = kept(kept(counts.select(order, *columns)).repartitionByRange(order).withColumn("_range", F.spark_partition_id()))
     before, whole = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1), dealt.groupBy("_range").agg(*(F.sum(f"_{n}").alias(f"_{n}") for n in sums))
     whole = whole.select("_range", *(F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in sums))
     own = Window.partitionBy("_range").orderBy(order)

@@ -18,7 +18,7 @@ from ..operators import bm25, chunking, conflicts, retrieval
 from ..operators.blocks import parse_blocks
 from ..sources.documents import from_table, page_content
 from ..sources.kept import kept
-from ..sources.workers import find_package
+from ..sources.workers import find_package, spread
 from . import engine, prompts
 from .domains import FIELDS, domain_fields
 from .providers import EchoChat, HashedEmbedder
@@ -39,7 +39,8 @@ def _query(sql: str | None):
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return find_package(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = find_package(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name == "documents" else rows
 
 
 # --- the documents made of suppliers
