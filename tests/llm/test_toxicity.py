@@ -1,8 +1,12 @@
+import itertools
+import math
 import random
+import re
 
 import numpy as np
 
 from docloom.llm import toxicity
+from docloom.llm.textscan import mix, word_hashes
 
 
 def corpus(n=900, seed=4):
@@ -42,6 +46,31 @@ def test_pairs_are_learnt_and_held_out_rows_agree(spark, odd, odd_texts):
     assert toxicity.toxicity(odd, label.limit(0)).select("score").distinct().count() == 1
 
 
+def by_hand(machine, text):
+    """The score from the definition: terms one by one, pairs two by two."""
+    stretches = set()
+    for word in re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode()):
+        word = bytes(c + 32 if 65 <= c <= 90 else c for c in word)
+        parts = [word[:-1], word[-1:]] if re.search(rb"[0-9a-z][.,]$", word) else [word]
+        stretches |= {(x, 0) for x in parts} | {(x[:n], n) for x in parts for n in (4, 5) if len(x) >= n}
+    own = set()
+    for x, n in stretches:
+        value = word_hashes(np.frombuffer(x, np.uint8), np.array([0]), np.array([len(x)]))
+        place = np.flatnonzero(machine.chosen == int((mix(value + np.uint64(n)) if n else value)[0] >> np.uint64(64 - toxicity.BITS)))
+        own.update(place.tolist())
+    pairs = sum(float(machine.factors[a] @ machine.factors[b]) for a, b in itertools.combinations(sorted(own), 2))
+    return 1 / (1 + math.exp(-min(30, max(-30, machine.bias + sum(machine.weights[i] for i in own) + pairs))))
+
+
+def test_scores_match_the_definition(spark, odd_texts):
+    docs, labels = corpus(400)
+    df = spark.createDataFrame(docs + [(i if i is None else i + 5000, t) for i, t in odd_texts], "doc_id long, text string").repartition(4)
+    machine = toxicity.fit(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert len(machine.chosen) > 3
+    for r in df.join(toxicity.score(df, machine), "doc_id").where("doc_id % 3 = 0 or doc_id > 5000").collect():
+        assert math.isclose(r.score, by_hand(machine, r.text), rel_tol=1e-9)
+
+
 def test_empty_table(spark, empty):
     label = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
     assert toxicity.toxicity(empty, label).count() == 0
