@@ -17,8 +17,8 @@ SAMPLE = 20_000
 #: Queries of the sample whose true neighbours set the length of the search, and the part of them that it has to reach.
 TRIALS, REACHED = 200, 0.97
 MOST_CENTROIDS = 128
-#: Vectors that one task holds at most of a group of cells, and queries that it holds at a time.
-GROUP_VECTORS, GROUP_QUERIES = 20_000, 20_000
+#: Vectors of a group of cells, about twice as many of which a task holds at most; queries stream past them.
+GROUP_VECTORS = 20_000
 
 
 def normalised(vectors: np.ndarray) -> np.ndarray:
@@ -112,49 +112,73 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(n, -1) if n else np.zeros((0, 0))
 
 
-def _best(k: int):
-    """Of a group of cells, the k best of each query that looks into it."""
-
-    def compare(key: tuple, vectors: pa.Table, queries: pa.Table) -> pa.Table:
+class _Group:
+    """The vectors of a group of cells, by cell, then id."""
+
+    def __init__(self, parts: list[pa.RecordBatch]):
+        ids, cells, rows = (np.concatenate(x) for x in zip(*((p["id"].to_numpy(), p["cell"].to_numpy(), _matrix(p["vector"])) for p in parts), strict=True))
+        order = np.lexsort((ids, cells))
+        self.ids, self.cells, self.rows = ids[order], cells[order], rows[order]
+        self.norms = np.sqrt((self.rows**2).sum(axis=1))
+
+    def best(self, queries: pa.RecordBatch, k: int) -> pa.RecordBatch:
+        """The k best of each query in those of its cells that are here."""
+        q_ids, q_rows = queries["id"].to_numpy(), _matrix(queries["vector"])
+        q_norms = np.sqrt((q_rows**2).sum(axis=1))
+        looks = queries["cells"]
+        q_at, q_cell = np.repeat(np.arange(len(q_ids)), np.diff(looks.offsets.to_numpy())), looks.flatten().to_numpy()
+        by_cell = np.argsort(q_cell, kind="stable")
+        q_at, q_cell = q_at[by_cell], q_cell[by_cell]
+        best: list[list] = [[] for _ in q_ids]
+        for cell in np.unique(q_cell):
+            a, b = np.searchsorted(self.cells, (cell, cell + 1))
+            if a == b:
+                continue
+            who = q_at[slice(*np.searchsorted(q_cell, (cell, cell + 1)))]
+            near = (q_rows[who] @ self.rows[a:b].T) / self.norms[a:b]
+            near[q_ids[who][:, None] == self.ids[a:b]] = -np.inf
+            top = min(k, b - a)
+            least = -np.partition(-near, top - 1, axis=1)[:, top - 1]
+            # Rounding of the product may part equal scores, so what is as good within rounding stays.
+            row, col = np.nonzero((near >= least[:, None] - 1e-9 * q_norms[who][:, None]) & (near > -np.inf))
+            for r, c in zip(who[row].tolist(), (a + col).tolist(), strict=True):
+                best[r].append(c)
         out_q, out_v, out_s = [], [], []
-        if vectors.num_rows and queries.num_rows:
-            ids, cells, rows = vectors["id"].to_numpy(), vectors["cell"].to_numpy(), _matrix(vectors["vector"])
-            order = np.lexsort((ids, cells))
-            ids, cells, rows = ids[order], cells[order], rows[order]
-            norms = np.sqrt((rows**2).sum(axis=1))
-            q_ids, q_rows = queries["query_id"].to_numpy(), _matrix(queries["vector"])
-            q_norms = np.sqrt((q_rows**2).sum(axis=1))
-            looks = queries["cells"].combine_chunks()
-            q_at = np.repeat(np.arange(len(q_ids)), np.diff(looks.offsets.to_numpy()))
-            q_cell = looks.flatten().to_numpy()
-            by_cell = np.argsort(q_cell, kind="stable")
-            q_at, q_cell = q_at[by_cell], q_cell[by_cell]
-            best: list[list] = [[] for _ in q_ids]
-            for cell in np.unique(q_cell):
-                a, b = np.searchsorted(cells, (cell, cell + 1))
+        for r, at in enumerate(best):
+            if at:
+                at = np.array(at)
+                # One order of summation for every pair, so equal vectors score alike.
+                score = (q_rows[r] * self.rows[at]).sum(axis=1) / (q_norms[r] * self.norms[at])
+                keep = np.lexsort((self.ids[at], -score))[:k]
+                out_q += [q_ids[r]] * len(keep)
+                out_v += self.ids[at[keep]].tolist()
+                out_s += score[keep].tolist()
+        return pa.RecordBatch.from_arrays([pa.array(out_q, pa.int64()), pa.array(out_v, pa.int64()), pa.array(out_s, pa.float64())], names=["query_id", "vec_id", "score"])
+
+
+def _compare(k: int):
+    """Rows of groups (g, cut), in each of them the vectors (side 0) before the queries (side 1): the vectors are held, the
+    queries pass by."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, key, group = [], None, None
+        for batch in batches:
+            marks = np.stack([batch[c].to_numpy().astype(np.int64) for c in ("g", "cut", "side")]) if batch.num_rows else np.zeros((3, 0), np.int64)
+            cuts = [0, *(np.flatnonzero((np.diff(marks, axis=1) != 0).any(axis=0)) + 1), batch.num_rows]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 if a == b:
                     continue
-                who = q_at[slice(*np.searchsorted(q_cell, (cell, cell + 1)))]
-                near = (q_rows[who] @ rows[a:b].T) / norms[a:b]
-                near[q_ids[who][:, None] == ids[a:b]] = -np.inf
-                top = min(k, b - a)
-                least = -np.partition(-near, top - 1, axis=1)[:, top - 1]
-                # Rounding of the product may part equal scores, so what is as good within rounding stays.
-                row, col = np.nonzero((near >= least[:, None] - 1e-9 * q_norms[who][:, None]) & (near > -np.inf))
-                for r, c in zip(who[row].tolist(), (a + col).tolist(), strict=True):
-                    best[r].append(c)
-            for r, at in enumerate(best):
-                if at:
-                    at = np.array(at)
-                    # One order of summation for every pair, so equal vectors score alike.
-                    score = (q_rows[r] * rows[at]).sum(axis=1) / (q_norms[r] * norms[at])
-                    keep = np.lexsort((ids[at], -score))[:k]
-                    out_q += [q_ids[r]] * len(keep)
-                    out_v += ids[at[keep]].tolist()
-                    out_s += score[keep].tolist()
-        return pa.table({"query_id": pa.array(out_q, pa.int64()), "vec_id": pa.array(out_v, pa.int64()), "score": pa.array(out_s, pa.float64())})
-
-    return compare
+                if tuple(marks[:2, a]) != key:
+                    held, key, group = [], tuple(marks[:2, a]), None
+                part = batch.slice(int(a), int(b - a))
+                if marks[2, a] == 0:
+                    held.append(part)
+                elif held or group:
+                    group = group or _Group(held)
+                    held = []
+                    yield group.best(part, k)
+
+    return run
 
 
 def search(embeddings: DataFrame, is_query: str, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -218,15 +242,15 @@ def search(embeddings: DataFrame, is_query: str, k: int = 5, id_col: str = "vec_
             at = pa.array(who, pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(where, pa.int32()), pa.array(looks, pa.list_(pa.int32()))], names=["query_id", "vector", "g", "cells"])
 
-    queries = rows.where(is_query)
-    parts = max(1, -(-queries.count() // GROUP_QUERIES))
     n_cuts = F.element_at(F.array(*map(F.lit, cuts.tolist())), F.col("g") + 1)
-    routed = queries.repartition(max(8, parts)).mapInArrow(route, "query_id long, vector array<double>, g int, cells array<int>")
-    routed = routed.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int")).withColumn("cut", F.explode(F.sequence(F.lit(0), n_cuts - 1)))
+    queries = rows.where(is_query).repartition(spark.sparkContext.defaultParallelism)
+    routed = queries.mapInArrow(route, "query_id long, vector array<double>, g int, cells array<int>").withColumn("cut", F.explode(F.sequence(F.lit(0), n_cuts - 1)))
     to_group = spark.createDataFrame(pd.DataFrame({"cell": np.arange(len(sizes), dtype=np.int32), "g": group_of}), "cell int, g int")
-    placed = indexed.join(F.broadcast(to_group), "cell").withColumn("cut", F.pmod(F.xxhash64("id"), n_cuts).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    keys = ["g", "cut", "part"]
-    found = placed.groupBy(*keys).cogroup(routed.groupBy(*keys)).applyInArrow(_best(k), "query_id long, vec_id long, score double")
+    placed = indexed.join(F.broadcast(to_group), "cell").withColumn("cut", F.pmod(F.xxhash64("id"), n_cuts).cast("int"))
+    placed = placed.select("g", "cut", F.lit(0).alias("side"), "id", "vector", "cell", F.lit(None).cast("array<int>").alias("cells"))
+    routed = routed.select("g", "cut", F.lit(1).alias("side"), F.col("query_id").alias("id"), "vector", F.lit(None).cast("int").alias("cell"), "cells")
+    dealt = placed.unionByName(routed).repartition(int(cuts.sum()), "g", "cut").sortWithinPartitions("g", "cut", "side")
+    found = dealt.mapInArrow(_compare(k), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -30,6 +30,20 @@ def test_recall_ties_and_odd_vectors(spark):
     assert [r.vec_id for r in by_query[200]] == [201, 202, 203, 204, 205] and [r.vec_id for r in by_query[250]] == [200, 201, 202, 203, 204]
 
 
+def test_groups_and_batches_of_few(spark, monkeypatch):
+    """Cells cut over several groups and queries in several batches find the same."""
+    rng = np.random.default_rng(6)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(3000, 8)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    got = []
+    for size, batch in ((20_000, "10000"), (40, "7")):
+        monkeypatch.setattr(ann, "GROUP_VECTORS", size)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        got.append(sorted(map(tuple, ann.search(df, "id % 10 = 0").collect())))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got[0] == got[1] and len(got[0]) == 1500
+
+
 def test_few_vectors(spark):
     schema = "vec_id long, embedding array<float>"
     assert ann.search(spark.createDataFrame([], schema), "id % 50 = 0").count() == 0
