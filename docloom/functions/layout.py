@@ -4,11 +4,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Single capitals that were spaced out, which are joined.
+SPACED = [(r"\b([A-Z]) ([A-Z]) ([A-Z]) ([A-Z])\b", "$1$2$3$4"), (r"\b([A-Z]) ([A-Z]) ([A-Z])\b", "$1$2$3")]
+
+
 def clean_cell(cell: Column) -> Column:
     """White space collapsed; four, then three single capitals that were spaced out are joined; null is empty."""
     text = F.trim(F.regexp_replace(F.coalesce(cell, F.lit("")), r"\s+", " "))
-    text = F.regexp_replace(text, r"\b([A-Z]) ([A-Z]) ([A-Z]) ([A-Z])\b", "$1$2$3$4")
-    return F.regexp_replace(text, r"\b([A-Z]) ([A-Z]) ([A-Z])\b", "$1$2$3")
+    for spaced, joined in SPACED:
+        text = F.regexp_replace(text, spaced, joined)
+    return text
 
 
 def is_header_like(cell: Column) -> Column:

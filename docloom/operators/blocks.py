@@ -9,7 +9,6 @@ from ..functions.text import strip
 _LINE_ENDS = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 #: Control characters that mark cuts inside a row; they are taken out of the content first.
 _CUT, _HEADING, _PIECE = "\x01", "\x02", "\x03"
-BLOCK = f"array<struct<type:string,text:string,rows:{CELLS}>>"
 
 
 def parse_blocks(docs: DataFrame, keep_repeated_headers: bool = False) -> DataFrame:
@@ -17,27 +16,27 @@ def parse_blocks(docs: DataFrame, keep_repeated_headers: bool = False) -> DataFr
 
     A table is cut out from its tag to the first closing tag; one that is never closed is text. A line that starts with #
     is a heading, a blank line ends a text block. Tables without rows and null content give no blocks. Cuts are made inside
-    the row, so nothing is shuffled; only tables go to Python.
+    the row, so nothing is shuffled; only tables go to Python, and only documents that have any are looked at for them.
     """
-    content = F.regexp_replace(F.coalesce("content", F.lit("")), f"[{_CUT}{_HEADING}{_PIECE}]", " ")
-    segments = F.split(F.regexp_replace(content, r"(?is)(<table.*?</table>)", f"{_CUT}$1{_CUT}"), _CUT)
-    parts = docs.select("doc_ord", "doc_name", F.posexplode(segments).alias("seg", "part")).withColumn("part", strip(F.col("part"))).where("part <> ''")
+    held = docs.withColumn("content", F.regexp_replace(F.coalesce("content", F.lit("")), f"[{_CUT}{_HEADING}{_PIECE}]", " "))
     is_table = F.lower("part").startswith("<table")
-    parts = parts.withColumn("tables", html_rows(F.when(is_table, F.col("part")), keep_repeated_headers))
+    none = F.lit(None).cast(CELLS)
+
+    def parts(rows: DataFrame) -> DataFrame:
+        segments = F.split(F.regexp_replace("content", r"(?is)(<table.*?</table>)", f"{_CUT}$1{_CUT}"), _CUT)
+        return rows.select("doc_ord", "doc_name", F.posexplode(segments).alias("seg", "part")).withColumn("part", strip(F.col("part"))).where("part <> ''")
+
     marked = F.transform(
         F.split("part", _LINE_ENDS),
         lambda x: F.when(strip(x) == "", F.lit(_PIECE)).when(strip(x).startswith("#"), F.concat(F.lit(_PIECE + _HEADING), strip(F.regexp_replace(strip(x), "^#+", "")), F.lit(_PIECE))).otherwise(strip(x)),
     )
     pieces = F.transform(F.split(F.array_join(marked, "\n"), _PIECE), lambda p: F.regexp_replace(p, r"^\n+|\n+$", ""))
     pieces = F.filter(pieces, lambda p: p != "")
-    none = F.lit(None).cast(CELLS)
-    texts = F.transform(
-        pieces,
-        lambda p: F.when(p.startswith(_HEADING), F.struct(F.lit("heading").alias("type"), F.substring(p, 2, 1 << 30).alias("text"), none.alias("rows"))).otherwise(
-            F.struct(F.lit("text").alias("type"), p.alias("text"), none.alias("rows"))
-        ),
-    )
-    table = F.when(F.size("tables") > 0, F.array(F.struct(F.lit("table").alias("type"), F.lit(None).cast("string").alias("text"), F.col("tables").alias("rows"))))
-    blocks = F.when(is_table, table).otherwise(texts)
-    found = parts.select("doc_ord", "doc_name", "seg", F.posexplode(blocks).alias("sub", "b"))
-    return found.select("doc_ord", "doc_name", (F.col("seg").cast("long") * (1 << 32) + F.col("sub")).alias("pos"), "b.type", "b.text", "b.rows")
+    texts = parts(held).where(~is_table).select("doc_ord", "doc_name", "seg", F.posexplode(pieces).alias("sub", "p"))
+    heads = F.col("p").startswith(_HEADING)
+    texts = texts.select(
+        "doc_ord", "doc_name", "seg", "sub", F.when(heads, "heading").otherwise("text").alias("type"), F.when(heads, F.substring("p", 2, 1 << 30)).otherwise(F.col("p")).alias("text"), none.alias("rows")
+    )
+    tables = parts(held.where(F.col("content").rlike("(?i)<table"))).where(is_table).select("doc_ord", "doc_name", "seg", F.lit(0).alias("sub"), F.lit("table").alias("type"), F.lit(None).cast("string").alias("text"), html_rows(F.col("part"), keep_repeated_headers).alias("rows"))
+    found = texts.unionByName(tables.where(F.size("rows") > 0))
+    return found.select("doc_ord", "doc_name", (F.col("seg").cast("long") * (1 << 32) + F.col("sub")).alias("pos"), "type", "text", "rows")
