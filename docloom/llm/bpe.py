@@ -3,8 +3,11 @@
 import base64
 import heapq
 import json
+
 import numpy as np
 
+from .textscan import blocks
+
 NONE = np.int32(2**31 - 1)
 #: Words of more symbols are merged one at a time with a heap: a round of the matrix costs its width.
 LONG = 256
@@ -286,13 +289,15 @@ class KnownRanges:
 
     def _differing(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, found: np.ndarray) -> np.ndarray:
         """Stretches whose bytes aren't those of the place found for them."""
-        lengths = ends - starts
-        held, sizes = self.bytes.gather(found)
-        if (lengths != sizes).any():
-            wrong = lengths != sizes
-            return np.union1d(np.flatnonzero(wrong), np.flatnonzero(~wrong)[self._differing(data, starts[~wrong], ends[~wrong], found[~wrong])])
-        unlike = np.flatnonzero(gather(data, starts, lengths) != held)
-        return np.unique(np.searchsorted(np.cumsum(lengths), unlike, "right"))
+        other = []
+        for a, b in blocks(ends - starts):
+            lengths, own = ends[a:b] - starts[a:b], found[a:b]
+            same = lengths == self.bytes.starts[own + 1] - self.bytes.starts[own]
+            held, _ = self.bytes.gather(own[same])
+            unlike = np.flatnonzero(gather(data, starts[a:b][same], lengths[same]) != held)
+            wrong = np.flatnonzero(same)[np.unique(np.searchsorted(np.cumsum(lengths[same]), unlike, "right"))]
+            other += [a + np.flatnonzero(~same), a + wrong]
+        return np.unique(np.concatenate(other)) if other else np.zeros(0, np.int64)
 
 
 def _cut(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:

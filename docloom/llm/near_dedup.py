@@ -244,14 +244,14 @@ class _Run:
         documents and bytes; small buckets share blocks.
         """
         docs = self.scratch.write(docs, name)
-        total = docs.count()
+        total, size = docs.agg(F.count("*"), F.coalesce(F.sum("n_bytes"), F.lit(0))).first()
         sizes = docs.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("bytes"))
         plan = sizes.groupBy("key").agg(F.max(F.struct("n", "label", "bytes")).alias("m"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).where("m.n < n")
         parts = lambda n, size: F.ceil(F.greatest(n / BLOCK_DOCS, size / BLOCK_BYTES)).cast("int")
         plan = plan.select("key", "n", F.col("m.label").alias("major"), parts(F.col("n"), F.col("bytes")).alias("blocks"), parts(F.col("n") - F.col("m.n"), F.col("bytes") - F.col("m.bytes")).alias("minor_blocks"))
         docs = join_counted(docs, self.scratch.write(plan, f"{name}-plan"), ["key"], total)
         small = (F.col("n") <= SMALL_BUCKET) & (F.col("blocks") == 1)
-        docs = docs.withColumn("g", F.when(small, F.pmod(F.xxhash64("key"), F.lit(max(1, total // TASK_DOCS)))).otherwise(F.col("key"))).withColumn("small", small)
+        docs = docs.withColumn("g", F.when(small, F.pmod(F.xxhash64("key"), F.lit(max(1, total // TASK_DOCS, size // BLOCK_BYTES)))).otherwise(F.col("key"))).withColumn("small", small)
         docs = self.scratch.write(docs, f"{name}-planned")
         ids = self.scratch.write(docs.select("doc_id").distinct(), f"{name}-ids")
         docs = docs.join(source.join(_sized(ids), "doc_id").dropDuplicates(["doc_id"]), "doc_id")

@@ -64,6 +64,11 @@ def slices(offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int,
         at = to
 
 
+def blocks(lengths: np.ndarray, most: int = 1 << 17) -> Iterator[tuple[int, int]]:
+    """Runs of stretches of at most so many bytes together, or of one that is longer."""
+    yield from slices(np.concatenate((np.zeros(1, np.int64), np.cumsum(lengths))), most)
+
+
 def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of each word, and for each text the index of its first word (one more at the end)."""
     if not len(data):
@@ -91,17 +96,18 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
     Two stretches differ in a byte by less than 2^9, so for random keys they collide with a probability of at most 2^-56,
     whatever their pattern, length or repeats.
     """
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    lengths = ends - starts
-    done = np.cumsum(lengths)
-    at = np.arange(done[-1])
-    place = at - np.repeat(done - lengths, lengths)
-    letters = data[np.repeat(starts, lengths) + place]
-    letters = (_LOWER[letters] if lower else letters).astype(np.uint64) + np.uint64(1)
-    total = np.zeros(len(at) + 1, np.uint64)
-    np.cumsum(letters * _key(int(lengths.max()))[place], out=total[1:])
-    return mix(total[done] - total[done - lengths] + lengths.astype(np.uint64))
+    out = np.zeros(len(starts), np.uint64)
+    for a, b in blocks(ends - starts):
+        lengths = ends[a:b] - starts[a:b]
+        done = np.cumsum(lengths)
+        at = np.arange(done[-1])
+        place = at - np.repeat(done - lengths, lengths)
+        letters = data[np.repeat(starts[a:b], lengths) + place]
+        letters = (_LOWER[letters] if lower else letters).astype(np.uint64) + np.uint64(1)
+        total = np.zeros(len(at) + 1, np.uint64)
+        np.cumsum(letters * _key(int(lengths.max()))[place], out=total[1:])
+        out[a:b] = mix(total[done] - total[done - lengths] + lengths.astype(np.uint64))
+    return out
 
 
 def shingles(words: np.ndarray, firsts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
