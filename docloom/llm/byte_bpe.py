@@ -19,13 +19,16 @@ KEPT_WORDS = 400_000
 class Encoder:
     """Encodes texts by a rank file and a pattern that splits them before the merges.
 
-    The pattern keeps at most one space before a word and never joins two words, so words with that space, and the rest of
-    the white space, are encoded once each. A text with white space outside ASCII is split whole.
+    The usual pattern keeps at most one space before a word and never joins two words, so words with that space, and the
+    rest of the white space, are encoded once each. A text with white space outside ASCII is split whole, and so is every
+    text under another pattern.
     """
 
     def __init__(self, path: str, pattern: str):
+        import public_tokenizers
         import regex
 
+        self.by_words = pattern == public_tokenizers.PATTERN
         self.vocabulary = Vocabulary.from_ranks(path)
         self.split = regex.compile(pattern).findall
         self.known = KnownRanges(KEPT_WORDS)
@@ -49,6 +52,9 @@ class Encoder:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in one array, and how many each has."""
+        if not self.by_words:
+            own = [self.whole(data[a:b].tobytes().decode()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            return np.concatenate([np.zeros(0, np.int32), *own]).astype(np.int32), np.array([len(x) for x in own], np.int64)
         starts, ends, firsts = word_bounds(data, offsets)
         counts = np.diff(firsts)
         has = counts > 0

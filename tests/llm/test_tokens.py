@@ -68,6 +68,13 @@ def test_words_that_collide_in_polynomials(tik, library):
     assert encode(packing.WordEncoder(WORDS), texts) == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_other_patterns(tik):
+    for pattern in (r"\w+ \w+|[\s\S]", r"\S+|\s+"):
+        other = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=tik._mergeable_ranks, special_tokens={})
+        texts = ["two words and more words", "", "a  b\n c", "é x y"]
+        assert encode(byte_bpe.Encoder(RANKS, pattern), texts) == [other.encode_ordinary(t) for t in texts]
+
+
 def test_words_of_one_hash_are_told_apart(tik, library, monkeypatch):
     """Even if every hash is the same, and is the mark of an empty slot."""
     alike = lambda data, starts, ends, lower=True: np.full(len(starts), 2**64 - 1, np.uint64)
