@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.workers import find_package, spread
-from . import ann, byte_bpe, chat, licenses, near_dedup, packing, pii, quality, sharding, toxicity
+from . import ann, byte_bpe, chat, filter_audit, licenses, merkle, near_dedup, packing, pii, quality, sharding, topk, toxicity
 from .storage import Scratch
 
 
@@ -60,7 +60,22 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.placement(store)
 
 
-QUERIES = (op1_near_dedup, op2_packing, op3_byte_bpe, op4_chat, op5_ann, op6_toxicity, op7_quality, op8_licenses, op9_pii, op10_sharding)
+def op11_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), "id % 20 = 0", k=20, scale=64.0)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify(documents(spark, sf_dir))
+
+
+QUERIES = (
+    op1_near_dedup, op2_packing, op3_byte_bpe, op4_chat, op5_ann, op6_toxicity, op7_quality, op8_licenses, op9_pii, op10_sharding,
+    op11_topk, op12_filter_audit, op13_merkle,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -68,4 +83,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat": chat.chat_sql(), "op7_quality": quality.quality_sql(), "op8_licenses": licenses.document_sql()}
+    return {
+        "op4_chat": chat.chat_sql(),
+        "op7_quality": quality.quality_sql(),
+        "op8_licenses": licenses.document_sql(),
+        "op11_topk": topk.search_sql(),
+        "op12_filter_audit": filter_audit.audit_sql(),
+        "op13_merkle": merkle.verify_sql(levels=8),
+    }
