@@ -1,9 +1,19 @@
 """Codes that differ between documents for one scope, and codes of an answer that its context doesn't hold."""
 
+from collections.abc import Iterator
+from itertools import pairwise
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.kept import kept
+from .automaton import Automaton
+
+#: Scopes of an automaton, about, and questions that run through it at a time.
+SCOPES, QUESTIONS = 20_000, 512
 
 
 def scope_codes(parents: DataFrame) -> DataFrame:
@@ -21,22 +31,51 @@ def conflict_map(parents: DataFrame) -> DataFrame:
     return codes.join(differing, "scope")
 
 
+def _look_for(whole_words: bool):
+    """Rows of one part of the scopes, (scope, said) first, then the questions (qid, said): a row for each scope in a question."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, found = None, [], None
+        for batch in batches:
+            marks = np.stack([batch[c].to_numpy() for c in ("part", "slice", "side")])
+            for a, b in pairwise([0, *(np.flatnonzero((np.diff(marks, axis=1) != 0).any(axis=0)) + 1).tolist(), batch.num_rows]):
+                if a == b:
+                    continue
+                rows = batch.slice(a, b - a)
+                if (marks[0, a], marks[1, a]) != key:
+                    key, held, found = (marks[0, a], marks[1, a]), [], None
+                if not marks[2, a]:
+                    held += zip(rows["scope"].to_pylist(), rows["said"].to_pylist(), strict=True)
+                elif held:
+                    found = found or Automaton([scope for scope, _ in held])
+                    for at in range(0, len(rows), QUESTIONS):
+                        part = rows.slice(at, QUESTIONS)
+                        who, what = found.find(part["said"].to_pylist(), whole_words)
+                        scopes, said = (pa.array([held[i][j] for i in what.tolist()], pa.string()) for j in (0, 1))
+                        yield pa.RecordBatch.from_arrays([part["qid"].take(pa.array(who)), scopes, said], names=["qid", "scope", "summary"])
+
+    return run
+
+
 def detect_conflicts(questions: DataFrame, conflicts: DataFrame, whole_words: bool = False) -> DataFrame:
-    """(qid, scope, message) for each scope of the map that is anywhere in the upper-cased question, or only as whole words.
+    """(qid, scope, message) for each scope of the map that is anywhere in the upper-cased question, or only where no letter or
+    digit stands next to it. The wording of the message is fixed.
 
-    The question's stretches of the lengths that scopes have are looked up by equality, so no question meets every scope. The
-    wording of the message is fixed.
+    Scopes are dealt by their first letters to parts of about SCOPES; each part is one automaton in each of so many slices of
+    the questions that all cores have work. A question runs through an automaton once, whatever its length and the scopes'.
     """
     summary = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_name", F.array_join("codes", ", ").alias("c")))), lambda x: F.concat_ws(": ", x["doc_name"], x["c"])), "; ")
-    scopes = conflicts.groupBy("scope").agg(summary.alias("summary"))
-    lengths = conflicts.agg(F.collect_set(F.length("scope")).alias("lengths"))  # one row of small numbers
-    upper = F.upper(F.coalesce("question", F.lit("")))
-    stretches = lambda n: F.transform(F.sequence(F.lit(1), F.length("upper") - n + 1), lambda i: F.substr(F.col("upper"), i, n))
-    every = F.array_distinct(F.flatten(F.transform(F.filter("lengths", lambda n: n <= F.length("upper")), stretches)))
-    asked = questions.select("qid", upper.alias("upper")).join(F.broadcast(lengths), F.lit(True)).select("qid", "upper", F.explode(every).alias("scope"))
-    found = asked.join(scopes, "scope")
-    if whole_words:
-        found = found.where(F.concat(F.lit(" "), F.regexp_replace("upper", r"[^\p{L}\p{N}]+", " "), F.lit(" ")).contains(F.concat(F.lit(" "), F.col("scope"), F.lit(" "))))
+    scopes = kept(conflicts.where("scope <> ''").groupBy("scope").agg(summary.alias("said")))
+    parts = max(1, -(-scopes.count() // SCOPES))
+    slices = -(-questions.sparkSession.sparkContext.defaultParallelism // parts)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = scopes.repartitionByRange(parts, "scope").withColumn("part", F.spark_partition_id()) if parts > 1 else scopes.withColumn("part", F.lit(0))
+    qid = F.lit(None).cast(questions.schema["qid"].dataType)
+    held = dealt.select("part", every(slices).alias("slice"), F.lit(0).alias("side"), qid.alias("qid"), "scope", "said")
+    asked = questions.select("qid", F.upper(F.coalesce("question", F.lit(""))).alias("said")).withColumn("slice", F.pmod(F.xxhash64("qid", "said"), F.lit(slices)).cast("int"))
+    asked = asked.select(every(parts).alias("part"), "slice", F.lit(1).alias("side"), "qid", F.lit(None).cast("string").alias("scope"), "said")
+    rows = held.unionByName(asked).repartition(parts * slices, "part", "slice").sortWithinPartitions("part", "slice", "side")
+    found = rows.mapInArrow(_look_for(whole_words), f"qid {questions.schema['qid'].dataType.simpleString()}, scope string, summary string")
     message = F.concat(F.lit("Conflicting SSI found for '"), "scope", F.lit("' across documents: "), "summary", F.lit(". Verify with the responsible desk before settling."))
     return found.select("qid", "scope", message.alias("message"))
 
