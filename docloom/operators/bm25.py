@@ -1,61 +1,124 @@
-"""BM25 with repeated query terms and a floor for frequent ones, as joins over postings."""
+"""BM25 with repeated query terms and a floor for frequent ones, over an index in segments that grows without being rebuilt."""
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
+import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.kept import kept
+from . import segments as S
+from .ordering import running_offsets
 
-#: Fixed values of the usual variant.
-K1, B, EPSILON = 1.5, 0.75, 0.25
-#: Questions' terms of at most so many rows are broadcast to the postings; more are joined by shuffle.
+#: A fixed value of the usual variant.
+EPSILON = 0.25
+#: Questions' terms that are broadcast at a time; more questions pass the segments in several blocks.
 BROADCAST_TERMS = 500_000
 
 
-def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        tokens = batch.column(1)
-        counted = pa.table({"row": pc.list_parent_indices(tokens), "term": pc.list_flatten(tokens)}).group_by(["row", "term"]).aggregate([([], "count_all")]).combine_chunks()
-        at = counted["row"].combine_chunks()
-        found = pa.table({"id": batch.column(0).take(at), "term": counted["term"], "dl": pc.list_value_length(tokens).take(at).cast(pa.int32()), "tf": counted["count_all"]})
-        yield from found.to_batches(max_chunksize=1 << 16)
-
-
-def postings(units: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, term, dl, tf) with dl the number of tokens of the unit; units without tokens have no postings.
-
-    A unit's tokens lie in one row, so they are counted where they are, in Arrow batches: grouping them in Spark would sort
-    or hash every token under its unit's id and shuffle all postings once more.
-    """
-    split = units.select(F.col(id_col).alias("id"), T.tokens(F.col(text_col)).alias("t")).where(F.size("t") > 0)
-    return split.mapInArrow(_count_tokens, f"id {split.schema['id'].dataType.simpleString()}, term string, dl int, tf long")
-
-
 @dataclass(frozen=True)
 class Index:
-    """ids: (id) of all units; posted: their postings; terms: (term, df, idf); n units of avgdl tokens on average."""
+    """rows: segments as S.SCHEMA; withdrawn: (segment, id) of units that don't count any more; counts: (term, df, tokens) of those
+    that do, with their number and tokens under the term S.UNITS; n units of avgdl tokens on average."""
 
-    ids: DataFrame
-    posted: DataFrame
-    terms: DataFrame
+    rows: DataFrame
+    withdrawn: DataFrame
+    counts: DataFrame
     n: int
     avgdl: float
+    mean: float
+    version: int
+
+    @property
+    def ids(self) -> DataFrame:
+        every = self.rows.where(F.col("term") == S.UNITS).select("segment", F.explode("ids").alias("id"))
+        return every.join(self.withdrawn, ["segment", "id"], "left_anti").select("id")
+
+    @property
+    def terms(self) -> DataFrame:
+        """(term, df, idf). An idf under zero is EPSILON times the mean over all terms."""
+        raw = _raw(self.n)
+        idf = F.when(raw < 0, F.lit(EPSILON * self.mean)).otherwise(raw)
+        return self.counts.where(F.col("term") != S.UNITS).select("term", "df", idf.alias("idf"))
+
+    def _counted(self, counts: DataFrame, **changes) -> "Index":
+        counts = kept(counts)
+        units = F.broadcast(counts.where(F.col("term") == S.UNITS).select(F.col("df").alias("_n"), F.col("tokens").alias("_tokens")))
+        raw = F.log(F.col("_n") + 0.5 - F.col("df")) - F.log(F.col("df") + 0.5)
+        # One row is joined to all.
+        n, tokens, mean = counts.join(units, F.lit(True)).agg(F.max("_n"), F.max("_tokens"), F.avg(F.when(F.col("term") != S.UNITS, raw))).first()
+        n, tokens, mean = n or 0, tokens or 0, mean or 0.0
+        return replace(self, counts=counts, n=n, avgdl=tokens / n if n else 0.0, mean=mean, **changes)
+
+    def _with(self, deltas: DataFrame, **changes) -> "Index":
+        both = self.counts.unionByName(deltas).groupBy("term").agg(F.sum("df").alias("df"), F.sum("tokens").alias("tokens"))
+        return self._counted(both.where((F.col("df") > 0) | (F.col("term") == S.UNITS)), **changes)
+
+    def add(self, units: DataFrame, id_col: str = "child_idx", text_col: str = "embed_text") -> "Index":
+        """The index of these units, too, whose ids aren't in it. Only they are read; the old index stays as it is."""
+        more = kept(S.build_rows(units, id_col, text_col, self.version + 1))
+        return self._with(_deltas(more), rows=self.rows.unionByName(more), version=self.version + 1)
+
+    def withdraw(self, ids: DataFrame) -> "Index":
+        """The index without these (id). Their postings are looked up where they lie, texts aren't read, and what they added to the
+        counts is taken off; searches leave them out, and merge() drops them."""
+        units = self.rows.where(F.col("term") == S.UNITS).select("segment", F.posexplode("ids").alias("doc", "id"), "docs")
+        gone = units.join(ids.select(F.col("id").cast("long")).distinct(), "id").join(self.withdrawn, ["segment", "id"], "left_anti")
+        gone = kept(gone.select("segment", "id", "doc", F.get("docs", F.col("doc")).alias("dl")))
+        posted = self.rows.where(F.col("term") != S.UNITS).join(gone.select("segment").distinct(), "segment", "left_semi")
+        posted = posted.select("segment", "term", F.inline(F.arrays_zip(F.col("docs").alias("doc"), F.col("tfs").alias("tf"))))
+        posted = posted.join(gone, ["segment", "doc"]).groupBy("term").agg((-F.count("*")).alias("df"), (-F.sum("tf")).alias("tokens"))
+        units = gone.groupBy(F.lit(S.UNITS).alias("term")).agg((-F.count("*")).alias("df"), (-F.sum("dl")).alias("tokens"))
+        return self._with(posted.unionByName(units), withdrawn=self.withdrawn.unionByName(gone.select("segment", "id")))
+
+    def merge(self) -> "Index":
+        """The same index in fewer segments, without what was withdrawn: neighbours that together are about a segment become one,
+        from their postings."""
+        sizes = self.rows.where(F.col("term") == S.UNITS).select("segment", F.size("ids").alias("n"))
+        bins = running_offsets(sizes, "segment", {"before": "n"}).select("segment", F.floor(F.col("before") / S.SEGMENT_UNITS).alias("bin"))
+        version, average = self.version + 1, self.avgdl
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, parts = None, {}
+            for bin_, rows in S.by_segment("bin", batches):
+                if bin_ != at:
+                    if parts:
+                        yield from S.live_rows(S.segment_number(version, 0) + at, list(parts.values()))
+                    at, parts = bin_, {}
+                for segment, own in S.by_segment("segment", iter([rows])):
+                    parts.setdefault(segment, S.Segment(average)).add(own)
+            if parts:
+                yield from S.live_rows(S.segment_number(version, 0) + at, list(parts.values()))
+
+        rows = _with_withdrawn(self.rows, self.withdrawn).join(bins, "segment")
+        rows = rows.repartition("bin").sortWithinPartitions("bin", "segment", "kind")
+        return replace(self, rows=kept(rows.mapInArrow(run, S.SCHEMA)), withdrawn=self.withdrawn.limit(0), version=version)
+
+
+def _raw(n: int):
+    return F.log(F.lit(n + 0.5) - F.col("df")) - F.log(F.col("df") + 0.5)
+
+
+def _deltas(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("term").agg(F.sum("df").alias("df"), F.sum("tokens").alias("tokens"))
+
+
+def _with_withdrawn(rows: DataFrame, withdrawn: DataFrame) -> DataFrame:
+    """With kind, by which a segment's rows are read: its units, those withdrawn (a null term), its postings."""
+    listed = withdrawn.groupBy("segment").agg(F.collect_list("id").alias("ids"))
+    listed = listed.select(*(F.col(f.name) if f.name in ("segment", "ids") else F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields), F.lit(1).alias("kind"))
+    return rows.withColumn("kind", F.when(F.col("term") == S.UNITS, 0).otherwise(2)).unionByName(listed)
 
 
 def index(units: DataFrame, id_col: str = "child_idx", text_col: str = "embed_text") -> Index:
-    """Postings are written once, and all statistics come from them. An idf under zero is EPSILON times the mean over all terms."""
-    posted, ids = kept(postings(units, id_col, text_col)), units.select(F.col(id_col).alias("id"))
-    n = ids.count()
-    raw = F.log(F.lit(n + 0.5) - F.col("df")) - F.log(F.col("df") + 0.5)
-    terms = kept(posted.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tokens")).withColumn("raw", raw))
-    mean, tokens = terms.agg(F.avg("raw"), F.sum("tokens")).first()
-    idf = F.when(F.col("raw") < 0, F.lit(EPSILON * (mean or 0.0))).otherwise(F.col("raw"))
-    return Index(ids, posted, terms.select("term", "df", idf.alias("idf")), n, (tokens or 0) / n if n else 0.0)
+    """Segments are written once, and all statistics come from them. Ids are integers that don't repeat."""
+    rows = kept(S.build_rows(units, id_col, text_col))
+    none = rows.sparkSession.createDataFrame([], "segment long, id long")
+    return Index(rows, none, rows, 0, 0.0, 0.0, 0)._counted(_deltas(rows))
 
 
 def query_terms(questions: DataFrame, text_col: str = "question") -> DataFrame:
@@ -63,12 +126,65 @@ def query_terms(questions: DataFrame, text_col: str = "question") -> DataFrame:
     return questions.select("qid", F.explode(T.tokens(F.col(text_col))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qn"))
 
 
+def _search(k: int, average: float, qid: pa.DataType):
+    """Rows of segments, then the questions (kind 3): what S.Segment.best finds of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, segment = None, None
+        for number, rows in S.by_segment("segment", batches):
+            if number != at:
+                at, segment = number, S.Segment(average)
+            kinds = rows["kind"].to_numpy()
+            cut = int(np.searchsorted(kinds, 3))
+            segment.add(rows.slice(0, cut))
+            asked, out, size = rows.slice(cut), [], 0
+            for i in range(len(asked)):
+                ids, scores, scored, total = segment.best(asked["terms"][i].as_py(), asked["weights"][i].as_py(), min(k, 1 << 62))
+                if len(ids):
+                    counted = np.zeros((2, len(ids)), np.int64)
+                    counted[:, 0] = scored, total
+                    out.append((np.full(len(ids), i), ids, scores, *counted))
+                    size += len(ids)
+                if out and (size > 1 << 16 or i + 1 == len(asked)):
+                    who, ids, scores, scored, total = (np.concatenate(x) for x in zip(*out, strict=True))
+                    yield pa.RecordBatch.from_arrays([asked["qid"].take(pa.array(who)).cast(qid), *map(pa.array, (ids, scores, scored, total))], names=["qid", "id", "score", "scored", "postings"])
+                    out, size = [], 0
+
+    return run
+
+
+def search(indexed: Index, questions: DataFrame, k: int) -> DataFrame:
+    """(qid, id, score, scored, postings): of each segment the k best units that share a term with the question, all if they are
+    fewer; all others score 0. Over a question's rows, postings sums up to those of its terms, and scored to those of them that
+    were added up: bounds spare the others.
+
+    Questions pass the segments in blocks of BROADCAST_TERMS terms; of the segments, only the asked terms' postings are moved.
+    """
+    kind = questions.schema["qid"].dataType
+    asked = query_terms(questions).join(indexed.terms.select("term", "idf"), "term").select("qid", "term", (F.col("qn") * F.col("idf")).alias("weight"))
+    asked = kept(asked.groupBy("qid").agg(F.collect_list(F.struct("term", "weight")).alias("t")).select("qid", "t.term", "t.weight").toDF("qid", "terms", "weights"))
+    total = asked.agg(F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()[0]
+    blocks, found = max(1, -(-total // BROADCAST_TERMS)), []
+    for i in range(blocks):
+        own = asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i) if blocks > 1 else asked
+        wanted = own.select(F.explode("terms").alias("term")).distinct()
+        units = indexed.rows.where(F.col("term") == S.UNITS)
+        rows = units.unionByName(indexed.rows.join(F.broadcast(wanted), "term", "left_semi").select(*indexed.rows.columns))
+        rows = _with_withdrawn(rows, indexed.withdrawn).select(*indexed.rows.columns, "kind", F.lit(None).cast(kind).alias("qid"), F.lit(None).cast("array<string>").alias("terms"), F.lit(None).cast("array<double>").alias("weights"))
+        empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in indexed.rows.schema.fields if f.name != "segment"]
+        # Each question visits each segment: a row of its terms for every one.
+        visits = units.select("segment").join(F.broadcast(own), F.lit(True)).select("segment", *empty, F.lit(3).alias("kind"), "qid", "terms", "weights")
+        dealt = rows.unionByName(visits).repartition("segment").sortWithinPartitions("segment", "kind")
+        arrow = pa.int64() if kind.typeName() == "long" else pa.int32() if kind.typeName() == "integer" else pa.string()
+        found.append(dealt.mapInArrow(_search(k, indexed.avgdl, arrow), f"qid {kind.simpleString()}, id long, score double, scored long, postings long"))
+    return reduce(DataFrame.unionByName, found)
+
+
 def scores(indexed: Index, questions: DataFrame) -> DataFrame:
-    """(qid, id, score) of every unit that shares a term with the question; all others score 0.
+    """(qid, id, score) of every unit that shares a term with the question; all others score 0."""
+    return search(indexed, questions, 1 << 62).select("qid", "id", "score")
 
-    The questions' terms get their idf first, so postings meet only those, where they lie if the terms are few.
-    """
-    asked = kept(query_terms(questions).join(indexed.terms.select("term", "idf"), "term"))
-    hit = indexed.posted.join(F.broadcast(asked) if asked.count() <= BROADCAST_TERMS else asked, "term")
-    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(indexed.avgdl)))
-    return hit.groupBy("qid", "id").agg(F.sum(F.col("qn") * weight).alias("score"))
+
+def touched(indexed: Index, questions: DataFrame, k: int) -> DataFrame:
+    """(qid, scored, postings): how many of the postings of its terms a search for the k best adds up."""
+    return search(indexed, questions, k).groupBy("qid").agg(F.sum("scored").alias("scored"), F.sum("postings").alias("postings"))

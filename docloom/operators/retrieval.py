@@ -74,9 +74,10 @@ def sparse_scores(questions: DataFrame, units: DataFrame | bm25.Index, k: int, i
     Only questions with fewer than k positive scores need others, and only the units with the least ids can be needed.
     """
     indexed = units if isinstance(units, bm25.Index) else bm25.index(units, id_col, text_col)
-    scored = kept(bm25.scores(indexed, questions).withColumn("score", F.round("score", DECIMALS)))
+    # Each segment gives its k best: a question that has fewer than k positive scores has all its matches here.
+    scored = kept(bm25.search(indexed, questions, k).select("qid", "id", F.round("score", DECIMALS).alias("score")))
     # A match with a negative or zero score ties with or loses to units that don't match at all.
-    best = kept(top_k(scored.where("score > 0"), k).drop("rank"))
+    best = top_k(scored.where("score > 0"), k).drop("rank")
     enough = best.groupBy("qid").agg(F.count("*").alias("n")).where(F.col("n") >= k)
     needy = questions.select("qid").distinct().join(enough, "qid", "left_anti")
     low = scored.where("score <= 0").join(needy, "qid", "left_semi").select("qid", "id", "score")
