@@ -8,6 +8,7 @@ by a rename, which has to fail where the name is taken, as HDFS does. Object sto
 import json
 import time
 import uuid
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass
 
@@ -120,9 +121,23 @@ class Store:
         rows = self.spark.read.schema(like.schema).parquet(f"{self.base}/data/{name}")
         return {r["file"]: r["count"] for r in rows.groupBy(F.col("_metadata.file_name").alias("file")).count().collect()}
 
+    def change(self, live: Callable[[list[Shard]], list[Shard] | None]) -> int:
+        """Commits what `live` makes of the latest version's shards; where another writer has been faster, of that writer's
+        version. None changes nothing."""
+        while True:
+            at = self.version()
+            shards = live(self.shards(at))
+            if shards is None:
+                return at
+            try:
+                return self.commit(at, shards)
+            except Conflict:
+                continue
+
     def append(self, df: DataFrame) -> int:
         """One new shard with the rows of df."""
-        return self.commit(at := self.version(), [*self.shards(at), self._write(df, 0)])
+        shard = self._write(df, 0)
+        return self.change(lambda live: [*live, shard])
 
     def draft(self, df: DataFrame, rows: int) -> list[Shard]:
         """The rows of df, written once as shards of one file and at most so many rows each. No version lists them yet."""
@@ -133,7 +148,7 @@ class Store:
 
     def deliver(self, shards: list[Shard]) -> int:
         """A version with these drafted shards, too."""
-        return self.commit(at := self.version(), [*self.shards(at), *shards])
+        return self.change(lambda live: [*live, *shards])
 
     def due(self, shards: list[Shard]) -> list[list[Shard]]:
         """Runs to merge: FAN_IN or more of a tier, oldest first, cut so that a run doesn't pass the target by much. A shard is
@@ -156,17 +171,34 @@ class Store:
     def compact(self) -> int:
         """Merges until no tier has FAN_IN shards. Each merge reads its run once and writes files of about the target size;
         runs that are due together are merged side by side and committed as one version. Merged shards stay on disk for
-        readers of older versions until vacuum()."""
+        readers of older versions until vacuum(). Others may append and compact at the same time, see replace()."""
         width = self.spark.sparkContext.defaultParallelism
         while runs := self.due(self.shards()):
             for i in range(0, len(runs), width):
                 wave = runs[i : i + width]
                 with ThreadPoolExecutor(len(wave)) as pool:
                     made = list(pool.map(self._merge, wave))
-                at, names = self.version(), {s.name for run in wave for s in run}
-                self.commit(at, [*(s for s in self.shards(at) if s.name not in names), *made])
+                self.replace(wave, made)
         return self.version()
 
+    def replace(self, runs: list[list[Shard]], made: list[Shard]) -> int:
+        """A version with each merged shard in place of its run. A run of which a shard isn't live any more has been merged by
+        another writer, whose copy has the rows: ours is dropped and its data deleted, so no row is there twice."""
+        kept: list[Shard] = []
+
+        def live(shards: list[Shard]) -> list[Shard] | None:
+            names = {s.name for s in shards}
+            held = [(run, new) for run, new in zip(runs, made, strict=True) if names.issuperset(s.name for s in run)]
+            kept[:] = [new for _, new in held]
+            gone = {s.name for run, _ in held for s in run}
+            return [*(s for s in shards if s.name not in gone), *kept] if held else None
+
+        version = self.change(live)
+        for new in made:
+            if new not in kept:
+                self.fs.delete(self.path(f"{self.base}/data/{new.name}"), True)
+        return version
+
     def _merge(self, run: list[Shard]) -> Shard:
         files = max(1, round(sum(s.bytes for s in run) / self.target))
         made = self._write(self._read(run).coalesce(files), 1 + max(s.merged for s in run))
@@ -177,12 +209,12 @@ class Store:
     def _read(self, shards: list[Shard]) -> DataFrame:
         return self.spark.read.parquet(*(f"{self.base}/data/{s.name}" for s in shards))
 
-    def read(self, version: int | None = None) -> DataFrame:
-        """The rows of a version, with the shard that each is in."""
+    def read(self, version: int | None = None, name: str = "shard") -> DataFrame:
+        """The rows of a version, with the shard that each is in as a column of that name, behind the table's own."""
         shards = self.shards(version)
         if not shards:
             raise ValueError("the store is empty")
-        return self._read(shards).select("*", F.regexp_extract(F.col("_metadata.file_path"), "/data/([0-9a-f]{32}(?:-each/[^/]+)?)", 1).alias("shard"))
+        return self._read(shards).select("*", F.regexp_extract(F.col("_metadata.file_path"), "/data/([0-9a-f]{32}(?:-each/[^/]+)?)", 1).alias(name))
 
     def vacuum(self, keep: int = 1, grace: float = GRACE) -> int:
         """Removes the data of shards that an older version lists and none of the last `keep` versions does, and what no version
@@ -242,11 +274,12 @@ def shard_table(df: DataFrame, base: str, arrivals: int, target: int = TARGET_BY
 
 
 def placement(store: Store, id_col: str = "doc_id") -> DataFrame:
-    """(id_col, shard, tier, shard_rows, version): where each row of the latest version is; shard is its place in the manifest."""
+    """(id_col, shard, tier, shard_rows, version): where each row of the latest version is; shard is its place in the manifest.
+    The table may have columns of these names, too; they aren't read."""
     version = store.version()
-    shards = store.shards(version)
+    shards, own = store.shards(version), "_shard_name"
     # One row per shard of about the target size: Spark broadcasts them where they are few.
     listed = [(s.name, i, tier(s.bytes, store.least), s.rows, version) for i, s in enumerate(shards)]
     listed = store.spark.createDataFrame(listed, "name string, shard long, tier int, shard_rows long, version long")
-    rows = store.read(version).select(F.col(id_col), F.col("shard").alias("name"))
+    rows = store.read(version, own).select(F.col(id_col), F.col(own).alias("name"))
     return rows.join(listed, "name").select(id_col, "shard", "tier", "shard_rows", "version")

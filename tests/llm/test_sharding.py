@@ -116,3 +116,77 @@ def test_one_writer_commits_a_version(spark, tmp_path):
 def test_many_small_files_of_one_shard_are_due(spark, tmp_path):
     store = sharding.Store(spark, str(tmp_path / "store"), target=1000, least=10)
     assert [[s.name for s in r] for r in store.due([sharding.Shard("a", 1, 8000, 100, 0), sharding.Shard("b", 1, 8000, 8, 0)])] == [["a"]]
+
+
+def _appended(spark, tmp_path, n=4):
+    store = sharding.Store(spark, str(tmp_path / "store"), target=1 << 30, least=1 << 10)
+    for i in range(n):
+        store.append(spark.range(100 * i, 100 * i + 100))
+    return store
+
+
+def _ids(store):
+    return sorted(r.id for r in store.read().collect())
+
+
+def test_two_compactors_neither_double_nor_lose_rows(spark, tmp_path):
+    """The second finds its run merged already, whether before it merges or between its merge and its commit."""
+    one = _appended(spark, tmp_path)
+    two = sharding.Store(spark, one.base, target=1 << 30, least=1 << 10)
+    merge, base = two._merge, one.version()
+
+    def late(run):
+        made = merge(run)
+        one.compact()
+        return made
+
+    two._merge = late
+    assert two.compact() == one.version() == base + 1
+    assert _ids(one) == list(range(400)) and len(one.shards()) == 1
+    # The copy that nobody lists is gone at once.
+    assert {p.name for p in (tmp_path / "store/data").iterdir()} == {s.name for v in one.versions() for s in one.shards(v)}
+
+
+def test_a_compactor_against_appends(spark, tmp_path):
+    """What is appended during a merge is in the version that has the merged run; also when the append takes the version first."""
+    store = _appended(spark, tmp_path)
+    other = sharding.Store(spark, store.base, target=1 << 30, least=1 << 10)
+    merge, commit, first = store._merge, store.commit, []
+
+    def slow(run):
+        made = merge(run)
+        other.append(spark.range(400, 450))
+        return made
+
+    def beaten(after, shards):
+        if not first:
+            first.append(other.append(spark.range(450, 500)))
+        return commit(after, shards)
+
+    store._merge, store.commit = slow, beaten
+    store.compact()
+    assert _ids(store) == list(range(500)) and len(store.shards()) == 3
+
+
+def test_only_runs_that_were_merged_elsewhere_are_dropped(spark, tmp_path):
+    store = _appended(spark, tmp_path, 8)
+    shards = store.shards()
+    runs = [shards[:4], shards[4:]]
+    made = [store._merge(r) for r in runs]
+    theirs = store._merge(runs[0])
+    store.replace(runs[:1], [theirs])
+    store.replace(runs, made)
+    assert _ids(store) == list(range(800)) and [s.name for s in store.shards()] == [theirs.name, made[1].name]
+
+
+@pytest.mark.parametrize("column", ["shard", "tier", "_shard_name2", "version", "name"])
+def test_placement_by_reading_each_shard(spark, tmp_path, column):
+    """Each row's place against the files of each shard; the table has a column of a clashing name."""
+    df = spark.range(3000).selectExpr("id as doc_id", "sha2(cast(id as string), 256) as text", f"'x' as `{column}`").repartition(3)
+    store = sharding.shard_table(df, str(tmp_path / "store"), arrivals=6, target=20_000, least=1 << 10)
+    want = []
+    for i, s in enumerate(store.shards()):
+        ids = [r.doc_id for r in spark.read.parquet(f"{store.base}/data/{s.name}").select("doc_id").collect()]
+        assert len(ids) == s.rows
+        want += [(x, i, sharding.tier(s.bytes, 1 << 10), len(ids), store.version()) for x in ids]
+    assert sorted(map(tuple, sharding.placement(store).collect())) == sorted(want) and len(want) == 3000
