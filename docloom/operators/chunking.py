@@ -117,20 +117,46 @@ def sliding_window(blocks: DataFrame, window: int = WINDOW_WORDS, overlap: int =
     table are 'header: value' joined by bars; headings are words like others."""
     cells = lambda r: F.array_join(F.transform(F.filter(r, lambda c: T.strip(c["v"]) != ""), lambda c: F.concat_ws(": ", c["k"], T.strip(c["v"]))), " | ")
     flat = F.when(F.col("type") == "table", F.array_join(F.transform("rows", cells), "\n")).otherwise(F.col("text"))
-    docs = blocks.groupBy("doc_ord", "doc_name").agg(F.array_join(_listed("pos", flat), "\n").alias("content"))
-    return windows_of(docs, window, overlap)
-
-
-def windows_of(docs: DataFrame, window: int = WINDOW_WORDS, overlap: int = OVERLAP_WORDS) -> DataFrame:
-    """The same from (doc_ord, doc_name, content) without blocks. Windows are cut inside the row, and only the number of
-    each document's windows is shuffled and summed before their ids are joined on."""
-    step = max(1, window - overlap)
-    counts = docs.select("doc_ord", F.ceil(F.size(T.words(F.col("content"))) / step).alias("_n")).where("_n > 0")
-    offsets = running_offsets(counts, "doc_ord", {"_first": "_n"})
-    split = docs.select("doc_ord", "doc_name", T.words(F.col("content")).alias("w")).join(offsets, "doc_ord")
-    pieces = F.transform(F.sequence(F.lit(0), F.size("w") - 1, F.lit(step)), lambda start: F.array_join(F.slice("w", start + 1, window), " "))
-    cut = split.select("doc_ord", "doc_name", "_first", F.posexplode(pieces).alias("pos", "piece"))
-    number, empty = F.col("_first") + F.col("pos"), F.expr("cast(array() as array<string>)")
+    return windows_of(blocks.select("doc_ord", "doc_name", "pos", flat.alias("content")), window, overlap)
+
+
+def _places(pieces: DataFrame, step: int) -> DataFrame:
+    """(doc_ord, pos, at, total, first): where a piece's words start in its document, how many that has, and the number of its
+    first window. Only counts are shuffled and summed."""
+    n = F.size(T.words(F.col("content"))).cast("long")
+    windows = F.ceil(F.col("total") / step).alias("_n")
+    if "pos" not in pieces.columns:
+        counts = kept(pieces.select("doc_ord", n.alias("total")).where("total > 0"))
+        return counts.join(running_offsets(counts.select("doc_ord", windows), "doc_ord", {"first": "_n"}), "doc_ord").withColumn("at", F.lit(0).cast("long"))
+    counts = kept(pieces.select(F.struct("doc_ord", "pos").alias("place"), n.alias("n")).where("n > 0"))
+    starts = kept(running_offsets(counts, "place", {"start": "n"}).join(counts, "place").select("place.*", "start", "n"))
+    docs = kept(starts.groupBy("doc_ord").agg(F.min("start").alias("begin"), F.sum("n").alias("total")))
+    docs = docs.join(running_offsets(docs.select("doc_ord", windows), "doc_ord", {"first": "_n"}), "doc_ord")
+    return starts.join(docs, "doc_ord").select("doc_ord", "pos", (F.col("start") - F.col("begin")).alias("at"), "total", "first")
+
+
+def windows_of(pieces: DataFrame, window: int = WINDOW_WORDS, overlap: int = OVERLAP_WORDS) -> DataFrame:
+    """The same from (doc_ord, doc_name, content), or from a document's text in pieces (doc_ord, doc_name, pos, content), which end
+    a word each.
+
+    A piece knows where its words start, so which windows it has words of follows by arithmetic. Windows that lie in one piece
+    are cut where that is; of the others the parts meet, which are a window's words at most. So no row holds a document.
+    """
+    step, keys = max(1, window - overlap), [c for c in ("doc_ord", "pos") if c in pieces.columns]
+    # What is known of the pieces is written, so it is joined by broadcast where it is small, and no text is shuffled.
+    known = kept(_places(pieces, step))
+    words = pieces.select(*keys, "doc_name", T.words(F.col("content")).alias("w")).where(F.size("w") > 0).join(known, keys)
+    end = F.col("at") + F.size("w")
+    lowest = F.greatest(F.floor((F.col("at") - window) / step) + 1, F.lit(0))
+    start = lambda k: F.greatest(k * step, F.col("at"))
+    part = lambda k: F.struct(k.alias("k"), F.array_join(F.slice("w", (start(k) - F.col("at") + 1).cast("int"), (F.least(k * step + window, end) - start(k)).cast("int")), " ").alias("piece"))
+    cut = words.where(lowest <= F.floor((end - 1) / step)).select("doc_ord", "doc_name", "first", "at", "total", end.alias("end"), F.inline(F.transform(F.sequence(lowest, F.floor((end - 1) / step)), part)))
+    if "pos" in keys:
+        whole = (F.col("k") * step >= F.col("at")) & (F.least(F.col("k") * step + window, F.col("total")) <= F.col("end"))
+        parts = cut.where(~whole).groupBy("doc_ord", "k").agg(F.first("doc_name").alias("doc_name"), F.first("first").alias("first"), F.array_join(_listed("at", "piece"), " ").alias("piece"))
+        columns = ["doc_ord", "doc_name", "first", "k", "piece"]
+        cut = cut.where(whole).select(*columns).unionByName(parts.select(*columns))
+    number, empty = F.col("first") + F.col("k"), F.expr("cast(array() as array<string>)")
     return cut.select(
         "doc_ord", "doc_name", number.alias("parent_id"), F.lit("narrative").alias("type"), F.lit("").alias("heading"), F.lit("").alias("preamble"), F.array("piece").alias("rows"), empty.alias("notes"), number.alias("first_child")
     )
