@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import is_broad
 from ..sources.kept import kept
-from . import bm25
+from . import bm25, pivots
+from .pivots import rows_of
 
 RRF_K, THRESHOLD, DEFAULT_K, SMALL_CORPUS = 60, 0.15, 10, 50
 DENSE_FACTOR, RERANK_FACTOR = 2, 5
@@ -25,21 +26,13 @@ def top_k(scored: DataFrame, k: Column | int, id_col: str = "id", by: str = "sco
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    """Vectors as rows, at length 1; zero vectors stay as they are."""
-    rows = column.combine_chunks()
-    rows = rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
-    length = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
-    return rows / np.where(length == 0, 1.0, length)
-
-
 def _block_top_k(k: int):
     def compare(units: pa.Table, questions: pa.Table) -> pa.Table:
         out: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if units.num_rows and questions.num_rows:
             ids, qids = units["id"].to_numpy(), questions["qid"].to_numpy()
             order = np.argsort(ids, kind="stable")
-            ids, u, q = ids[order], _matrix(units["vector"])[order], _matrix(questions["vector"])
+            ids, u, q = ids[order], rows_of(units["vector"])[order], rows_of(questions["vector"])
             for at in range(0, len(q), 256):
                 near = q[at : at + 256] @ u.T
                 best = np.argsort(-np.round(near, DECIMALS), axis=1, kind="stable")[:, :k]
@@ -50,21 +43,41 @@ def _block_top_k(k: int):
     return compare
 
 
-def dense_top_k(questions: DataFrame, units: DataFrame, k: int, id_col: str = "id") -> DataFrame:
+def dense_top_k(questions: DataFrame, units: DataFrame, k: int, id_col: str = "id", visits: dict[str, int] | None = None) -> DataFrame:
     """(qid, id, score, rank): the k units of the largest cosine, exactly. Ids are integers; null vectors take no part.
 
-    Every question meets every unit, in blocks of bounded rows on both sides; a block passes on its own k best of each
-    question, so pairs don't leave it. Units are copied once for every QUESTION_BLOCK questions.
+    Units of more than a block lie in cells round pivots. A question first visits the nearest cells, then those that can have
+    a unit among its k best, see pivots. Cells and the questions that visit one are cut into blocks of bounded rows; a block
+    passes on its own k best of each question, so pairs don't leave it. Units are copied once for every QUESTION_BLOCK
+    questions. visits, if given, gets the numbers of visited and of all pairs of a question and a cell.
     """
     u = units.select(F.col(id_col).cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector")).where("vector is not null")
     q = questions.select(F.col("qid").cast("long").alias("qid"), F.col("vector").cast("array<double>").alias("vector")).where("vector is not null")
-    parts, blocks = (max(1, -(-df.count() // size)) for df, size in ((u, UNIT_BLOCK), (q, QUESTION_BLOCK)))
-    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    u = u.withColumn("part", part("id", parts)).withColumn("block", every(blocks)).groupBy("part", "block")
-    q = q.withColumn("block", part("qid", blocks)).withColumn("part", every(parts)).groupBy("part", "block")
-    found = u.cogroup(q).applyInArrow(_block_top_k(k), "qid long, id long, score double")
-    return top_k(found.withColumn("score", F.round("score", DECIMALS)), k)
+    total, asked = u.count(), q.count()
+    blocks = max(1, -(-asked // QUESTION_BLOCK))
+    part = lambda c, n: F.pmod(F.xxhash64(c), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+
+    def compare(u: DataFrame, q: DataFrame) -> DataFrame:
+        """Of rows with cell and cuts, the number of parts of the cell."""
+        own = u.withColumn("cut", part("id", F.col("cuts"))).withColumn("block", every(F.lit(blocks))).groupBy("cell", "cut", "block")
+        by = q.withColumn("block", part("qid", F.lit(blocks))).withColumn("cut", every(F.col("cuts"))).groupBy("cell", "cut", "block")
+        found = own.cogroup(by).applyInArrow(_block_top_k(k), "qid long, id long, score double")
+        return found.withColumn("score", F.round("score", DECIMALS))
+
+    if total <= UNIT_BLOCK:
+        one = lambda df: df.withColumn("cell", F.lit(0)).withColumn("cuts", F.lit(1))
+        return top_k(compare(one(u), one(q)), k)
+    u, cells = pivots.cells_of(u, total)
+    cuts = F.element_at(F.array(*(F.lit(max(1, -(-int(n) // UNIT_BLOCK))) for n in cells.sizes)), F.col("cell") + 1)
+    u, schema = u.withColumn("cuts", cuts), "qid long, vector array<double>, cell int"
+    first = q.mapInArrow(pivots.first_visits(cells, k), schema)
+    near = kept(top_k(compare(u, first.withColumn("cuts", cuts)), k))
+    tau = near.where(F.col("rank") == k).select("qid", F.col("score").alias("tau"))
+    more = kept(q.join(tau, "qid", "left").select("qid", "vector", "tau").mapInArrow(pivots.further_visits(cells, k), schema))
+    if visits is not None:
+        visits |= {"visited": first.count() + more.count(), "pairs": asked * int((cells.sizes > 0).sum())}
+    return top_k(near.drop("rank").unionByName(compare(u, more.withColumn("cuts", cuts))), k)
 
 
 def sparse_scores(questions: DataFrame, units: DataFrame | bm25.Index, k: int, id_col: str = "child_idx", text_col: str = "embed_text") -> DataFrame:
