@@ -10,11 +10,13 @@ from .storage import Scratch
 
 #: The usual notices and titles by which files name their licence.
 TEMPLATES = {
-    "AGPL-3.0": ["GNU Affero General Public License, version 3", "SPDX-License-Identifier: AGPL-3.0-only"],
+    "AGPL-3.0": ["GNU Affero General Public License, version 3", "AGPL, version 3", "SPDX-License-Identifier: AGPL-3.0-only"],
     "AGPL-3.0-or-later": ["GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version", "GNU Affero General Public License, version 3 or later", "SPDX-License-Identifier: AGPL-3.0-or-later"],
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0", "Apache License Version 2.0, January 2004", "SPDX-License-Identifier: Apache-2.0"],
+    "Apache-2.0 WITH Commons-Clause": ["Apache License, Version 2.0, with Commons Clause"],
     "BSD-2-Clause": ["Licensed under the BSD 2-Clause License", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "SPDX-License-Identifier: BSD-2-Clause"],
     "BSD-3-Clause": ["Licensed under the BSD 3-Clause License", "Use of this source code is governed by a BSD-style license", "nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "SPDX-License-Identifier: BSD-3-Clause"],
+    "BUSL-1.1": ["Business Source License 1.1", "SPDX-License-Identifier: BUSL-1.1"],
     "CC-BY-3.0": ["Licensed under CC BY 3.0", "Licensed under a Creative Commons Attribution 3.0 Unported License"],
     "CC-BY-4.0": ["Licensed under CC BY 4.0", "Licensed under a Creative Commons Attribution 4.0 International License"],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0", "Licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
@@ -24,41 +26,55 @@ TEMPLATES = {
     "CC-BY-SA-3.0": ["Licensed under CC BY-SA 3.0", "Licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License"],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0", "Licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
     "CC0-1.0": ["Dedicated to the public domain under CC0 1.0 Universal", "Creative Commons Legal Code CC0 1.0 Universal"],
+    "Elastic-2.0": ["Elastic License 2.0", "SPDX-License-Identifier: Elastic-2.0"],
     "GPL-1.0": ["GNU General Public License, version 1"],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2", "GNU General Public License, version 2", "SPDX-License-Identifier: GPL-2.0-only"],
+    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2", "GNU General Public License, version 2", "GPL, version 2", "SPDX-License-Identifier: GPL-2.0-only"],
     "GPL-2.0-or-later": ["GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version", "GNU General Public License, version 2 or later", "SPDX-License-Identifier: GPL-2.0-or-later"],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3", "GNU General Public License, version 3", "SPDX-License-Identifier: GPL-3.0-only"],
+    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3", "GNU General Public License, version 3", "GPL, version 3", "SPDX-License-Identifier: GPL-3.0-only"],
     "GPL-3.0-or-later": ["GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version", "GNU General Public License, version 3 or later", "SPDX-License-Identifier: GPL-3.0-or-later"],
     "ISC": ["Licensed under the ISC License", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
-    "LGPL-2.1": ["GNU Lesser General Public License, version 2.1", "SPDX-License-Identifier: LGPL-2.1-only"],
+    "LGPL-2.1": ["GNU Lesser General Public License, version 2.1", "LGPL, version 2.1", "SPDX-License-Identifier: LGPL-2.1-only"],
     "LGPL-2.1-or-later": ["GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version", "GNU Lesser General Public License, version 2.1 or later", "SPDX-License-Identifier: LGPL-2.1-or-later"],
-    "LGPL-3.0": ["Licensed under the GNU Lesser General Public License, version 3", "GNU Lesser General Public License, version 3", "SPDX-License-Identifier: LGPL-3.0-only"],
+    "LGPL-3.0": ["Licensed under the GNU Lesser General Public License, version 3", "GNU Lesser General Public License, version 3", "LGPL, version 3", "SPDX-License-Identifier: LGPL-3.0-only"],
     "LGPL-3.0-or-later": ["GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version", "GNU Lesser General Public License, version 3 or later", "SPDX-License-Identifier: LGPL-3.0-or-later"],
     "MIT": ["Released under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "SPDX-License-Identifier: MIT"],
+    "MPL-1.1": ["Mozilla Public License Version 1.1", "SPDX-License-Identifier: MPL-1.1"],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "Mozilla Public License Version 2.0", "SPDX-License-Identifier: MPL-2.0"],
+    "SSPL-1.0": ["Server Side Public License, version 1", "SPDX-License-Identifier: SSPL-1.0"],
 }
 
 TERM = r"[a-z0-9]+(?:\.[0-9]+)*"
 #: Where a licence may be named.
-HEADER = r"(?i)licen[sc]e|copyright|spdx|public domain|permission (?:is hereby granted|to use)|redistribution and use in source|names of its contributors|cc0 1"
+HEADER = r"(?i)licen[sc]e|copyright|spdx|public domain|permission (?:is hereby granted|to use)|redistribution and use in source|names of its contributors|cc0 1|\b[al]?gpl\b"
 #: A term that only stands where HEADER may match: runs of other terms are laid round it.
-KEY = r"licen[sc]e|copyright|^spdx$|^domain$|^permission$|^redistribution$|^contributors$|^cc0$"
+KEY = r"licen[sc]e|copyright|^spdx$|^domain$|^permission$|^redistribution$|^contributors$|^cc0$|^[al]?gpl$"
 LICENCE_FILE = r"(?i)^(?:licen[sc]e|copying|notice|unlicense)(?:[.\-_].*)?$"
 LEAST_COSINE = 0.7
 #: Terms that make another licence of one that reads nearly alike; these and version numbers have to be the template's own.
 QUALIFIERS = {
     "affero": "affero", "agpl": "affero", "lesser": "lesser", "lgpl": "lesser", "library": "library", "later": "later", "noncommercial": "noncommercial", "nc": "noncommercial",
+    "apache": "apache", "mozilla": "mozilla", "mpl": "mozilla", "elastic": "elastic", "business": "business", "busl": "business", "server": "server", "sspl": "server",
     "noderivatives": "noderivatives", "noderivs": "noderivatives", "nd": "noderivatives", "sharealike": "sharealike", "sa": "sharealike",
 }
 VERSION = r"^v?([0-9]{1,2}(?:\.[0-9]+)*?)(?:\.0)*$"
 #: Terms before and behind a run that belong to it: the kind of a public licence, and what says that later versions will do.
-LEAD, TRAIL = 3, 10
+LEAD, TRAIL = 6, 10
+#: What stands before a run and changes what it says: another kind of licence, or that it isn't meant.
+LEADS = ("affero", "lesser", "library", "server", "not")
+#: Terms in or behind a run that restrict the licence it names, and the qualifier for them.
+CLAUSE, CLAUSED = r"\bcommons clause\b", "commonsclause"
 LATER = r"^(?:of (?:the|this) license )?or (?:at your option )?(?:any )?(?:later|newer)"
 
 
+def terms_of(text: str) -> list[str]:
+    """Lower-cased terms, versions without v and closing zeros."""
+    return [re.sub(VERSION, r"\1", t) for t in re.findall(TERM, text.lower())]
+
+
 def qualifiers(terms: list[str]) -> str:
     """The distinct qualifiers and versions among the terms, sorted, with a blank between."""
     found = {QUALIFIERS[t] for t in terms if t in QUALIFIERS} | {m[1] for t in terms if (m := re.match(VERSION, t))}
+    found |= {CLAUSED} if re.search(CLAUSE, " ".join(terms)) else set()
     return " ".join(sorted(found))
 
 
@@ -70,7 +86,7 @@ def _qualifiers(terms: Column) -> Column:
 
 def template_weights() -> tuple[list[tuple[str, int, str, float]], float]:
     """((licence, template, term, weight of unit length), the inverse document frequency of terms in no template)."""
-    texts = [(name, i, re.findall(TERM, text.lower())) for name, own in TEMPLATES.items() for i, text in enumerate(own)]
+    texts = [(name, i, terms_of(text)) for name, own in TEMPLATES.items() for i, text in enumerate(own)]
     n = len(texts)
     held: dict[str, int] = {}
     for _, _, terms in texts:
@@ -92,7 +108,7 @@ def _weights(spark: SparkSession) -> tuple[DataFrame, DataFrame, float]:
     for name, i, t, _ in rows:
         held.setdefault(t, set()).add((name, i))
     n = sum(map(len, TEMPLATES.values()))
-    rows = [(name, i, qualifiers(re.findall(TERM, TEMPLATES[name][i].lower())), t, w) for name, i, t, w in rows]
+    rows = [(name, i, qualifiers(terms_of(TEMPLATES[name][i])), t, w) for name, i, t, w in rows]
     weights = spark.createDataFrame(rows, "licence string, template int, qualifiers string, term string, weight double")
     idf = spark.createDataFrame([(t, math.log(1 + n / len(k))) for t, k in held.items()], "term string, idf double")
     return weights, idf, rare
@@ -100,31 +116,34 @@ def _weights(spark: SparkSession) -> tuple[DataFrame, DataFrame, float]:
 
 def runs(texts: DataFrame) -> DataFrame:
     """(row, place, length, run, qualifiers) of (row, text): the runs of terms over a key that begin and end with a template's
-    term and are as long as a template may be.
+    term or a version and are as long as a template may be. A version counts the same with and without v and closing zeros.
 
     Line ends and comment marks don't count, so wrapped notices and notices inside of lines are found alike; the best run
     for a template begins and ends with its terms. qualifiers are the run's own and those that stand right before or
     behind it. A text takes rows in proportion to its keys.
     """
-    own = [re.findall(TERM, t.lower()) for texts in TEMPLATES.values() for t in texts]
+    own = [terms_of(t) for texts in TEMPLATES.values() for t in texts]
     least, most = min(map(len, own)), max(map(len, own))
     vocabulary = F.array(*[F.lit(t) for t in sorted({t for terms in own for t in terms})])
     terms = texts.where(F.col("text").rlike(HEADER)).select("row", F.expr(f"regexp_extract_all(lower(text), '{TERM}', 0)".replace("\\", "\\\\")).alias("terms"))
+    terms = terms.withColumn("terms", F.transform("terms", lambda t: F.regexp_replace(t, VERSION, "$1")))
     places = F.filter(F.transform("terms", lambda t, i: F.when(t.rlike(KEY), i)), lambda i: i.isNotNull())
     # A run is taken at its first key, so once: it begins behind the key before that.
     keys = F.transform("keys", lambda k, i: F.struct(k.alias("key"), F.when(i > 0, F.get("keys", i - 1)).otherwise(-1).alias("before")))
     near = terms.withColumn("keys", places).select("row", "terms", F.explode(keys).alias("k")).select("row", "terms", "k.*")
     begin = F.greatest(F.col("key") - (most - 1) - LEAD, F.lit(0))
     near = near.select("row", begin.alias("begin"), (F.col("before") - begin).alias("before"), F.slice("terms", begin + 1, 2 * most - 1 + LEAD + TRAIL).alias("near"), (F.col("key") - begin).alias("key"))
-    known = F.filter(F.transform("near", lambda t, i: F.when(F.array_contains(vocabulary, t), i)), lambda i: i.isNotNull())
+    known = F.filter(F.transform("near", lambda t, i: F.when(F.array_contains(vocabulary, t) | t.rlike(VERSION), i)), lambda i: i.isNotNull())
     near = near.withColumn("known", known).select("row", "begin", "near", "key", "known", F.explode(F.filter("known", lambda i: (i <= F.col("key")) & (i > F.col("before")))).alias("first"))
     near = near.select("row", "begin", "near", "key", "first", F.explode("known").alias("last"))
     length = F.col("last") - F.col("first") + 1
     near = near.where((F.col("last") >= F.col("key")) & length.between(least, most))
     run = F.slice("near", F.col("first") + 1, F.greatest(length, F.lit(0)))
-    lead = F.filter(F.slice("near", F.greatest(F.col("first") - LEAD, F.lit(0)) + 1, F.least("first", F.lit(LEAD))), lambda t: t.isin("affero", "lesser", "library"))
+    lead = F.filter(F.slice("near", F.greatest(F.col("first") - LEAD, F.lit(0)) + 1, F.least("first", F.lit(LEAD))), lambda t: t.isin(*LEADS))
     later = F.when(F.array_join(F.slice("near", F.col("last") + 2, TRAIL), " ").rlike(LATER), F.array(F.lit("later"))).otherwise(F.array().cast("array<string>"))
-    found = F.array_join(F.array_sort(F.array_distinct(F.concat(_qualifiers(run), lead, later))), " ")
+    behind = F.array_join(F.slice("near", F.col("first") + 1, F.greatest(length, F.lit(0)) + TRAIL), " ")
+    clause = F.when(behind.rlike(CLAUSE), F.array(F.lit(CLAUSED))).otherwise(F.array().cast("array<string>"))
+    found = F.array_join(F.array_sort(F.array_distinct(F.concat(_qualifiers(run), lead, later, clause))), " ")
     return near.select("row", (F.col("begin") + F.col("first")).alias("place"), length.alias("length"), run.alias("run"), found.alias("qualifiers"))
 
 
@@ -199,7 +218,7 @@ def document_paths(docs: DataFrame) -> DataFrame:
 def document_sql(least: float = LEAST_COSINE) -> str:
     """The rows of scan() over document_paths() in DuckDB where a notice has a line of its own, as in the given table."""
     rows, rare = template_weights()
-    own = {(name, i): qualifiers(re.findall(TERM, t.lower())) for name, texts in TEMPLATES.items() for i, t in enumerate(texts)}
+    own = {(name, i): qualifiers(terms_of(t)) for name, texts in TEMPLATES.items() for i, t in enumerate(texts)}
     values = ", ".join(f"('{name}', {i}, '{own[name, i]}', '{t}', {w!r}::DOUBLE)" for name, i, t, w in rows)
     n = sum(map(len, TEMPLATES.values()))
     words = " ".join(f"WHEN x = '{k}' THEN '{v}'" for k, v in QUALIFIERS.items())
@@ -211,8 +230,8 @@ d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, coalesc
 f AS (SELECT *, dir || '/' || CASE WHEN is_license_file THEN 'LICENSE-' || doc_id ELSE doc_id || '.txt' END AS path FROM d),
 p AS (SELECT r, string_split(t, chr(10)) AS l FROM f WHERE regexp_matches(t, '{HEADER}')),
 q AS (SELECT r, unnest(generate_series(1, len(l))) AS piece, unnest(l) AS h FROM p),
-e AS (SELECT r, piece, regexp_extract_all(lower(h), '{TERM}') AS terms FROM q WHERE regexp_matches(h, '{HEADER}')),
-v AS (SELECT *, array_to_string(list_sort(list_distinct(list_filter(list_transform(terms, lambda x: CASE {words} WHEN regexp_matches(x, '{VERSION}') THEN regexp_extract(x, '{VERSION}', 1) END), lambda x: x IS NOT NULL))), ' ') AS ql FROM e),
+e AS (SELECT r, piece, list_transform(regexp_extract_all(lower(h), '{TERM}'), lambda x: regexp_replace(x, '{VERSION}', '\\1')) AS terms FROM q WHERE regexp_matches(h, '{HEADER}')),
+v AS (SELECT *, array_to_string(list_sort(list_distinct(list_filter(list_concat(CASE WHEN regexp_matches(array_to_string(terms, ' '), '{CLAUSE}') THEN ['{CLAUSED}'] ELSE [] END, list_transform(terms, lambda x: CASE {words} WHEN regexp_matches(x, '{VERSION}') THEN regexp_extract(x, '{VERSION}', 1) END)), lambda x: x IS NOT NULL))), ' ') AS ql FROM e),
 t AS (SELECT r, piece, ql, unnest(terms) AS term FROM v),
 tf AS (SELECT r, piece, ql, t.term, count(*) * any_value(coalesce(idf, {rare!r})) AS w FROM t LEFT JOIN idf ON t.term = idf.term GROUP BY r, piece, ql, t.term),
 nm AS (SELECT r, piece, sqrt(sum(w * w)) AS norm FROM tf GROUP BY r, piece),

@@ -76,14 +76,19 @@ NOTICES = [
     ("LGPL-2.1", "Distributed under the GNU Lesser General Public License, version 2.1"), ("LGPL-2.1-or-later", GNU.format("Lesser General Public License", "2.1")), ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007"),
     ("MIT", "MIT License\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files"),
     ("MPL-2.0", "Mozilla Public License Version 2.0\n==================================\n\n1.12. Secondary License means either the GNU General Public License, Version 2.0, the GNU Lesser General Public License, Version 2.1, the GNU Affero General Public License, Version 3.0"),
-    (None, "The library of the town gives a general license to the public, as of version 3"), (None, "GNU Library General Public License, version 2"),
+    ("GPL-3.0", "GNU General Public License v3.0"), ("GPL-3.0", "Released under the GPL v3."), ("GPL-2.0", "GPL version 2"), ("LGPL-2.1", "GNU Lesser General Public License v2.1"), ("LGPL-2.1", "under LGPL version 2.1 only"),
+    ("GPL-2.0-or-later", "GNU General Public License v2.0 or later"), ("AGPL-3.0", "Distributed under the AGPL v3"), ("MPL-1.1", "Mozilla Public License 1.1"), ("MPL-2.0", "MPL: Mozilla Public License v2.0"),
+    ("SSPL-1.0", "Server Side Public License, version 1"), ("SSPL-1.0", "licensed under the Server Side Public License v1"), ("BUSL-1.1", "Business Source License 1.1"), ("Elastic-2.0", "Elastic License 2.0"),
+    ("Apache-2.0 WITH Commons-Clause", "Apache License, Version 2.0, with Commons Clause"), ("Apache-2.0 WITH Commons-Clause", "Licensed under the Apache License, Version 2.0 with the Commons Clause condition".replace("the Commons", "Commons")),
+    (None, "This file is not licensed under the MIT License."), (None, "It is not released under the GNU General Public License, version 2"), (None, "Confluent Community License 1.1"), (None, "Prosperity Public License 3.0.0"),
+    ("Apache-2.0", "Apache License v2.0"), ("MIT", "Released under the MIT License (we do not charge for it)"), (None, "The library of the town gives a general license to the public, as of version 3"), (None, "GNU Library General Public License, version 2"),
 ]
 
 
 def test_notices_are_not_taken_for_variants(spark):
     df = spark.createDataFrame([(f"{i}/LICENSE", text) for i, (_, text) in enumerate(NOTICES)], "path string, text string")
     found = {r.path: r.own_license for r in licenses.scan(df).collect()}
-    assert [found[f"{i}/LICENSE"] for i in range(len(NOTICES))] == [name for name, _ in NOTICES]
+    assert [(NOTICES[i][1][:60], found[f"{i}/LICENSE"]) for i in range(len(NOTICES))] == [(text[:60], name) for name, text in NOTICES]
 
 
 def test_qualifiers():
