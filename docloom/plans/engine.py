@@ -16,7 +16,9 @@ from ..sources.documents import read_json
 from ..sources.kept import kept
 from ..sources.workers import find_package
 from . import prompts as P
+from .answers import Answers
 from .domains import Domain, get_domain
+from .pacing import RateLimit
 from .providers import Chat, Embedder, Reranker, complete_column, embed_column, rerank_column
 
 EXTRACT_TOKENS = 512
@@ -39,12 +41,17 @@ class Engine:
         default_k: int = R.DEFAULT_K,
         threshold: float = R.THRESHOLD,
         small_corpus: int = R.SMALL_CORPUS,
+        answers: Answers | str | None = None,
+        limit: RateLimit | None = None,
     ):
+        """answers: a table, or its folder, from which batches go on where they were cut short; limit: what all calls of the chat
+        model together keep to."""
         if retrieval_mode not in R.MODES:
             raise ValueError(f"unknown mode {retrieval_mode!r}; known: {', '.join(R.MODES)}")
         self.spark, self.source, self.chat, self.embedder, self.reranker = find_package(spark), source, chat, embedder, reranker
         self.domain = get_domain(domain or "fx_ssi") if isinstance(domain or "fx_ssi", str) else domain
         self.strategy, self.mode, self.default_k, self.threshold, self.small = get_strategy(chunk_strategy), retrieval_mode, default_k, threshold, small_corpus
+        self.answers, self.limit = Answers(spark, answers) if isinstance(answers, str) else answers, limit
         self.parents: DataFrame | None = None
 
     def _documents(self) -> DataFrame:
@@ -112,7 +119,11 @@ class Engine:
         kept, so reading the result again doesn't ask the model again."""
         ready, context = self.prepare(questions, k, max_tokens)
         asked = ready.where("not blocked")
-        answered = complete_column(asked.repartition(max_workers) if max_workers else asked, self.chat, self.domain.system_prompt)
+        asked = asked.repartition(max_workers) if max_workers else asked
+        if self.answers is not None:
+            answered = self.answers.complete(asked, self.chat, self.domain.system_prompt, self.limit)
+        else:
+            answered = complete_column(asked, self.chat, self.domain.system_prompt, self.limit)
         answered = kept(answered)
         answered = answered.withColumn("answer", replies.answer(F.col("raw")))
         answered = C.check_grounding(answered.join(context, "qid", "left"))

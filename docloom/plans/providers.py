@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .pacing import RateLimit, tokens_of
+
 CHAT_TIMEOUT, EMBED_TIMEOUT, RERANK_TIMEOUT = 60, 60, 30
 EMBED_BATCH, LOCAL_BATCH, RETRIES = 256, 64, 8
 DEFAULT_WAIT, WAIT_MARGIN, SERVER_WAIT = 15.0, 1.0, 2.0
@@ -30,6 +32,10 @@ class Chat(ABC):
     @abstractmethod
     def complete(self, prompt: str, system: str = "", max_tokens: int = 2048, temperature: float = 0) -> str: ...
 
+    def identity(self) -> str:
+        """What tells its answers from those of another model or of other settings."""
+        return type(self).__name__
+
 
 class Embedder(ABC):
     @abstractmethod
@@ -78,6 +84,9 @@ class RestChat(_Rest, Chat):
     path = "/chat/completions"
     retries = RETRIES
 
+    def identity(self) -> str:
+        return json.dumps([self.url, self.model, self.extra], sort_keys=True, default=str)
+
     def complete(self, prompt: str, system: str = "", max_tokens: int = 2048, temperature: float = 0) -> str:
         """Waits as a rate limit asks and tries again; a server error is tried again too; anything else is an error."""
         messages = [*([{"role": "system", "content": system}] if system else []), {"role": "user", "content": prompt}]
@@ -163,11 +172,16 @@ class _Loaded:
         return {k: v for k, v in self.__dict__.items() if k != "loaded"}
 
 
+#: A fixed value: what the default model expects before a query, and not before a passage.
+QUERY_PREFIX = "Represent this sentence for searching relevant passages: "
+
+
 class LocalEmbedder(_Loaded, Embedder):
-    """A sentence-transformers model on the workers. Needs that library and the model there."""
+    """A sentence-transformers model on the workers. Needs that library and the model there. Queries get a prefix, passages none."""
 
-    def __init__(self, model: str = "BAAI/bge-small-en-v1.5"):
+    def __init__(self, model: str = "BAAI/bge-small-en-v1.5", prefix: str = QUERY_PREFIX):
         super().__init__(model)
+        self.prefix = prefix
 
     def _load(self):
         from sentence_transformers import SentenceTransformer
@@ -177,6 +191,7 @@ class LocalEmbedder(_Loaded, Embedder):
     def embed(self, texts: list[str], task: str = "retrieval.passage") -> list[list[float]]:
         if not texts:
             raise ValueError("no texts to embed")
+        texts = [self.prefix + t for t in texts] if task == "retrieval.query" else texts
         return [unit([float(x) for x in v]) for v in self.loaded.encode(texts, batch_size=LOCAL_BATCH, normalize_embeddings=True, show_progress_bar=False)]
 
 
@@ -246,13 +261,36 @@ def make_reranker(name: str | None, **options) -> Reranker | None:
     return _make(RERANKERS, "reranker", name, options) if name else None
 
 
-def embed_column(rows: DataFrame, embedder: Embedder, text_col: str, task: str = "retrieval.passage") -> DataFrame:
-    """Adds vector; each Arrow batch is one call to the embedder."""
+def _paced(rows: DataFrame, limit: RateLimit | None) -> tuple[DataFrame, int]:
+    """rows dealt to as many tasks as may call at a time, and how many; as they are without a limit."""
+    if limit is None:
+        return rows, 0
+    tasks = limit.tasks(rows.sparkSession.sparkContext.defaultParallelism)
+    return rows.repartition(tasks), tasks
+
+
+def embed_column(rows: DataFrame, embedder: Embedder, text_col: str, task: str = "retrieval.passage", limit: RateLimit | None = None) -> DataFrame:
+    """Adds vector; each Arrow batch is one call to the embedder. With a limit the tasks share its tokens, and calls have as many
+    texts as its largest request."""
+    rows, tasks = _paced(rows, limit)
 
     @F.pandas_udf("array<double>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        pace = limit.pace(tasks) if limit else None
         for texts in batches:
-            yield pd.Series(embedder.embed(texts.fillna("").tolist(), task) if len(texts) else [], dtype=object)
+            held = texts.fillna("").tolist()
+            if pace is None:
+                yield pd.Series(embedder.embed(held, task) if held else [], dtype=object)
+                continue
+            out, at = [], 0
+            while at < len(held):
+                to, size = at + 1, tokens_of(held[at])
+                while to < len(held) and size + tokens_of(held[to]) <= limit.largest:
+                    size, to = size + tokens_of(held[to]), to + 1
+                pace.wait(size)
+                out += embedder.embed(held[at:to], task)
+                at = to
+            yield pd.Series(out, dtype=object)
 
     return rows.withColumn("vector", run(F.col(text_col)))
 
@@ -270,18 +308,26 @@ def rerank_column(rows: DataFrame, reranker: Reranker, by: str = "qid", question
     return rows.mapInPandas(run, f"{schema}, rerank_score double")
 
 
-def complete_column(rows: DataFrame, chat: Chat, system: str) -> DataFrame:
-    """Adds raw, seconds. rows: qid, prompt, max_tokens. Call it on rows that aren't blocked: Spark moves no filter past it."""
+def complete_column(rows: DataFrame, chat: Chat, system: str, limit: RateLimit | None = None) -> DataFrame:
+    """Adds raw, seconds. rows: prompt, max_tokens and others. Call it on rows that aren't blocked: Spark moves no filter past it.
+
+    With a limit the rows are dealt to as many tasks as its budget bears, and each of them keeps to its share of it: prompt,
+    system and all tokens asked for count. A task that runs alone or again stays within its share, too.
+    """
     columns = [c for c in rows.columns if c not in ("raw", "seconds")]
+    rows, tasks = _paced(rows.select(*columns), limit)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pace = limit.pace(tasks) if limit else None
         for frame in frames:
             raw, seconds = [], []
             for prompt, tokens in zip(frame["prompt"], frame["max_tokens"], strict=True):
+                if pace is not None:
+                    pace.wait(tokens_of(prompt, system) + int(tokens))
                 began = time.time()
                 raw.append(chat.complete(prompt, system, int(tokens)))
                 seconds.append(time.time() - began)
             yield frame.assign(raw=raw, seconds=seconds)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*columns).schema.fields)
-    return rows.select(*columns).mapInPandas(run, f"{schema}, raw string, seconds double")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.mapInPandas(run, f"{schema}, raw string, seconds double")
