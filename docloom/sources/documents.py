@@ -35,16 +35,38 @@ def from_table(rows: DataFrame, order: str, content: str, name: str | None = Non
 
 
 def write_json(docs: DataFrame, path: str) -> None:
-    """One JSON object per line, with the fields that read_json() reads."""
+    """One JSON object per line, with the fields that read_json() reads; json_folder writes a file for each document."""
     docs.select("doc_name", F.lit(MODEL_ID).alias("model_id"), F.lit(API_VERSION).alias("api_version"), "content").write.json(path)
 
 
+#: Cells of a page's grid on each side at most, and how many cells a box may lie in on average.
+MOST_CELLS, CELLS_OF_A_BOX = 256, 8
+
+
+def outside_boxes(words: DataFrame, boxes: DataFrame) -> DataFrame:
+    """The words (doc_name, page, x0, x1, top, bottom, ...) that lie in none of their page's boxes (doc_name, page, x0, y0, x1, y1).
+
+    A page has a grid over the extent of its boxes, as fine as their number and size allow. A box stands in all cells that it
+    touches, and a word in the one of its upper left corner, so it meets the boxes there only, and a full page is many keys.
+    """
+    at = ["doc_name", "page"]
+    area = F.sum((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")))
+    grid = boxes.groupBy(*at).agg(F.min("x0").alias("gx"), F.min("y0").alias("gy"), (F.max("x1") - F.min("x0")).alias("gw"), (F.max("y1") - F.min("y0")).alias("gh"), F.count("*").alias("n"), area.alias("area"))
+    fine = F.least(F.sqrt("n"), F.sqrt(CELLS_OF_A_BOX * F.col("n") * F.col("gw") * F.col("gh") / F.greatest("area", F.lit(1e-9))), F.lit(float(MOST_CELLS)))
+    grid = grid.select(*at, "gx", "gy", "gw", "gh", F.greatest(F.floor(fine), F.lit(1)).alias("cells"))
+    cell = lambda v, start, size: F.when(F.col(size) > 0, F.least(F.greatest(F.floor((F.col(v) - F.col(start)) / F.col(size) * F.col("cells")), F.lit(0)), F.col("cells") - 1)).otherwise(F.lit(0))
+    across = lambda a, b, start, size: F.sequence(cell(a, start, size), cell(b, start, size))
+    placed = boxes.join(grid, at).where("x0 <= x1 and y0 <= y1").withColumn("cx", F.explode(across("x0", "x1", "gx", "gw"))).withColumn("cy", F.explode(across("y0", "y1", "gy", "gh")))
+    marked = words.join(grid, at, "left").withColumn("cx", cell("x0", "gx", "gw")).withColumn("cy", cell("top", "gy", "gh"))
+    inside = (F.col("t.x0") <= F.col("w.x0")) & (F.col("w.x1") <= F.col("t.x1")) & (F.col("t.y0") <= F.col("w.top")) & (F.col("w.bottom") <= F.col("t.y1"))
+    same = [F.col(f"w.{c}") == F.col(f"t.{c}") for c in (*at, "cx", "cy")]
+    return marked.alias("w").join(placed.alias("t"), [*same, inside], "left_anti").select(*words.columns)
+
+
 def page_content(words: DataFrame, tables: DataFrame) -> DataFrame:
     """(doc_name, page, content): words outside all tables gathered to lines on a grid of 4 points, tables as HTML, both from
     top to bottom; at one height text comes first."""
-    inside = (F.col("t.x0") <= F.col("w.x0")) & (F.col("w.x1") <= F.col("t.x1")) & (F.col("t.y0") <= F.col("w.top")) & (F.col("w.bottom") <= F.col("t.y1"))
-    same = (F.col("w.doc_name") == F.col("t.doc_name")) & (F.col("w.page") == F.col("t.page"))
-    free = words.alias("w").join(tables.alias("t"), same & inside, "left_anti")
+    free = outside_boxes(words, tables)
     free = free.withColumn("y", (F.bround(F.col("top") / 4) * 4).cast("double"))
     in_line = F.array_sort(F.collect_list(F.struct("x0", "text")))
     lines = free.groupBy("doc_name", "page", "y").agg(F.trim(F.array_join(F.transform(in_line, lambda w: w["text"]), " ")).alias("part")).withColumn("kind", F.lit(0)).where("part <> ''")

@@ -166,6 +166,7 @@ def test_local_models_load_where_they_run(monkeypatch):
             self.name = name
 
         def encode(self, texts, **options):
+            self.texts = texts
             return [[3.0, 4.0]] * len(texts)
 
         def predict(self, pairs, **options):
@@ -174,6 +175,7 @@ def test_local_models_load_where_they_run(monkeypatch):
     monkeypatch.setitem(sys.modules, "sentence_transformers", types.SimpleNamespace(SentenceTransformer=Model, CrossEncoder=Model))
     embedder, reranker = providers.make_embedder("local", model="m"), providers.make_reranker("local")
     assert embedder.embed(["a", "b"]) == [[0.6, 0.8]] * 2 and embedder.loaded.name == "m"
+    assert embedder.loaded.texts == ["a", "b"] and embedder.embed_query("a") == [0.6, 0.8] and embedder.loaded.texts == [providers.QUERY_PREFIX + "a"]
     assert reranker.score("a", ["a", "b"]) == [0.5, pytest.approx(1.0)] and reranker.score("a", []) == []
     assert "loaded" not in pickle.loads(pickle.dumps(embedder)).__dict__
     with pytest.raises(ValueError):
