@@ -16,6 +16,8 @@ from .textscan import mix, utf8, word_hashes
 #: word's place in the message; passage: whether it is a whole run of lines, rather than a line or sentence of one.
 UNITS = "row long, conv_id long, turn long, level int, first int, words int, passage boolean, hash long"
 QUOTED = r"(?m)^[ \t]*>"
+#: Lines and sentences of fewer words say too little to be known again; whole passages of any length are.
+LEAST_WORDS = 3
 _MARKS = re.compile(r"(?:[ \t]*+>)++ ?")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SENTENCE_END = re.compile(r"[.!?][\"')\]]*$")
@@ -34,7 +36,8 @@ def parse(text: str) -> list[tuple[int, str, list[str]]]:
 
 
 def units(lines: list[tuple[int, str, list[str]]]) -> list[tuple[int, int, int, bool]]:
-    """(level, first, words, passage): runs of lines of one level, which a blank line ends, and their lines and sentences."""
+    """(level, first, words, passage): runs of lines of one level, which a blank line ends, and their lines and sentences of at
+    least LEAST_WORDS words."""
     out, at, last = [], 0, -1
     runs: list[tuple[int, int, list[int], list[int]]] = []  # level, first word, ends of lines, ends of sentences
     for level, _, words in lines:
@@ -52,7 +55,7 @@ def units(lines: list[tuple[int, str, list[str]]]) -> list[tuple[int, int, int,
         found = {(first, to)}
         for cuts in (ends, stops):
             found |= set(zip([first, *cuts], [*cuts, to], strict=True))
-        out += [(level, a, b - a, (a, b) == (first, to)) for a, b in sorted(found) if b > a]
+        out += [(level, a, b - a, (a, b) == (first, to)) for a, b in sorted(found) if b - a >= LEAST_WORDS or (b > a and (a, b) == (first, to))]
     return out
 
 
@@ -138,9 +141,9 @@ def _latest_writers(units: DataFrame, scratch: Scratch) -> DataFrame:
 def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """One row per message: conv_id, turn, role, text without quotes, parent_turn, depth, position, n_quoted.
 
-    Lines that quote marks lead are quoted, at the level of their marks. Quoted passages, and each line and sentence of them,
-    are looked up among the own passages, lines and sentences of earlier messages of the conversation; the latest writer
-    counts. parent_turn is the writer at the lowest level; there, of the longest stretch, then the last one; a message that
+    Lines that quote marks lead are quoted, at the level of their marks. Quoted passages, and each line and sentence of them
+    that has three words, are looked up among the own passages, lines and sentences of earlier messages of the conversation;
+    the latest writer counts. So `>>> OK` links to a message or passage that is OK, not to a line of one. parent_turn is the writer at the lowest level; there, of the longest stretch, then the last one; a message that
     quotes nothing known answers the one before it. Lines whose words are all found are cut from the text; other quoted
     lines stay. n_quoted counts quoted passages. depth counts answers from the first message. position orders a conversation by
     replies: a message stands right behind what it answers, and answers to the same message keep their turns' order.

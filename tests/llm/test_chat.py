@@ -19,18 +19,20 @@ def levels(text):
 
 
 def stretches(text):
-    """{(level, first, words)}: passages, lines and sentences."""
+    """{(level, first, words)}: passages, and lines and sentences of three words or more."""
     out, at, run = set(), 0, []
 
     def close():
         if run:
-            level, first, words, ends = run[0][0], run[0][1], [w for _, _, own in run for w in own], set()
+            level, first, words = run[0][0], run[0][1], [w for _, _, own in run for w in own]
             for _, a, own in run:
-                out.add((level, a, tuple(x.lower() for x in own)))
+                if len(own) > 2:
+                    out.add((level, a, tuple(x.lower() for x in own)))
             start = 0
             for i, w in enumerate(words, 1):
                 if re.search(r"[.!?][\"')\]]*$", w) or i == len(words):
-                    out.add((level, first + start, tuple(x.lower() for x in words[start:i])))
+                    if i - start > 2:
+                        out.add((level, first + start, tuple(x.lower() for x in words[start:i])))
                     start = i
             out.add((level, first, tuple(x.lower() for x in words)))
             run.clear()
@@ -81,8 +83,8 @@ def brute_force(rows):
 def test_quote_levels():
     assert chat.quote_level("> > a") == (2, "a") and chat.quote_level(">>a") == (2, "a") and chat.quote_level(">") == (1, "") and chat.quote_level(" > a") == (1, "a")
     assert chat.quote_level("a > b") == (0, "a > b") and chat.quote_level("  a") == (0, "  a")
-    found = chat.units(chat.parse("> one\n> two. three\n>> deep\n\nmine\nmore\n"))
-    assert found == [(1, 0, 1, False), (1, 0, 2, False), (1, 0, 3, True), (1, 1, 2, False), (1, 2, 1, False), (2, 3, 1, True), (0, 4, 1, False), (0, 4, 2, True), (0, 5, 1, False)]
+    found = chat.units(chat.parse("> one\n> a b two. three x y\n>> deep\n\nmine\nmore\n"))
+    assert found == [(1, 0, 4, False), (1, 0, 7, True), (1, 1, 6, False), (1, 4, 3, False), (2, 7, 1, True), (0, 8, 2, True)]
     assert chat.cut("> one two\n>\n> three\nmine\n", [(0, 2)]) == "> three\nmine" and chat.cut(">>> print(1)\n\n", []) == ">>> print(1)\n\n"
 
 
@@ -121,7 +123,7 @@ def test_replies_match_brute_force(spark, monkeypatch):
 
 
 def test_single_lines_and_nested_quotes_link(spark):
-    rows = [(1, 0, "First line.\nSecond line, which is longer.\nThird."), (1, 1, "other"), (1, 2, "> Second line, which is\n> longer.\nI agree"), (1, 3, ">> Third.\n> unknown words\nhm"), (1, 4, "> I agree\n>> Third.\nok")]
+    rows = [(1, 0, "First line.\nSecond line, which is longer.\nAnd the third."), (1, 1, "other"), (1, 2, "> Second line, which is\n> longer.\nI agree"), (1, 3, ">> And the third.\n> unknown words\nhm"), (1, 4, "> I agree\n>> And the third.\nok")]
     found = {r.turn: (r.parent_turn, r.text, r.n_quoted) for r in chat.link_quotes(spark.createDataFrame([(c, t, "u", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")).collect()}
     assert found == {0: (None, rows[0][2], 0), 1: (0, "other", 0), 2: (0, "I agree", 1), 3: (0, "> unknown words\nhm", 2), 4: (2, "ok", 2)}
 
@@ -143,3 +145,16 @@ def test_nulls_and_ties(spark):
     table = df.where("conv_id is not null and turn is not null").toArrow()
     con.register("conversations", table)
     assert sorted(con.execute(chat.chat_sql()).fetchall(), key=repr) == sorted((r for r in want if r[0] and r[1] is not None), key=repr)
+
+
+def test_short_lines_link_as_whole_passages_only(spark):
+    """A shell example isn't a quote of a message that has its one word on a line; it is one of a message that is this word."""
+    rows = [
+        (1, 0, "OK\nthen we go on with the other part"), (1, 1, "start it:\n>>> OK\ndone"), (1, 2, "> then we go on with the other part\nyes"),
+        (2, 0, "OK"), (2, 1, "something else altogether"), (2, 2, "> OK\ngood"), (3, 0, "well. no. so it is then."), (3, 1, "x"), (3, 2, "> well. so it is then.\nhm"),
+    ]
+    found = {(r.conv_id, r.turn): (r.parent_turn, r.text) for r in chat.link_quotes(spark.createDataFrame([(*r, "user") for r in rows], "conv_id long, turn long, text string, role string")).collect()}
+    assert found[1, 1] == (0, "start it:\n>>> OK\ndone") and found[1, 2] == (0, "yes")
+    assert found[2, 2] == (0, "good") and found[3, 2] == (0, "> well. so it is then.\nhm")
+    want = brute_force([r[:3] for r in rows])
+    assert all(found[key] == (want[key][1], want[key][0]) for key in found)
