@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom.sources import documents, json_folder
+from docloom.sources.kept import kept, releasing, shared_dir
 
 
 def test_a_folder_of_documents_and_back(spark, tmp_path):
@@ -75,3 +76,21 @@ def test_a_full_page(spark):
     # A box takes places 0 to 7 of ten.
     assert documents.outside_boxes(words, boxes).count() == 20_000
     assert time.time() - began < 30
+
+
+def test_what_is_kept_goes_with_its_scope(spark):
+    from pathlib import Path
+
+    files = lambda: set(Path(shared_dir(spark).removeprefix("file:")).glob("docloom/**/*.parquet"))
+    outer = kept(spark.range(3))
+    before = files()
+    with releasing(spark):
+        one = kept(spark.range(4))
+        with releasing(spark):
+            assert kept(spark.range(5)).count() == 5
+        assert one.count() == 4 and len(files()) > len(before)
+    assert files() == before and outer.count() == 3
+    with pytest.raises(ValueError), releasing(spark):
+        kept(spark.range(2))
+        raise ValueError
+    assert files() == before
