@@ -18,7 +18,9 @@ HOT_NODES = 50_000
 NODE = "struct<tree:bigint,level:int,no:bigint>"
 #: The tree over the groups' digests; groups are numbered from 0.
 TOP = -1
-_LINKS = {"spark.sql.cteRecursionRowLimit": "-1"}
+#: A recursive query takes any number of rows, and keeps all its steps in as many partitions as its first: as many as a shuffle
+#: has, not the fewer that would do for the first alone.
+_RECURSION = {"spark.sql.cteRecursionRowLimit": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
 
 
 def digest(column: Column) -> Column:
@@ -164,9 +166,9 @@ def climb(tree: Tree, start: DataFrame, scratch: Scratch) -> DataFrame:
     spark = start.sparkSession
     nodes = tree.nodes.where(f"node.level > 1 OR node.tree = {TOP}")
     often = F.col("size") > tree.total / HOT_NODES
-    before = {k: spark.conf.get(k) for k in _LINKS}
+    before = {k: spark.conf.get(k) for k in _RECURSION}
     try:
-        for k, v in _LINKS.items():
+        for k, v in _RECURSION.items():
             spark.conf.set(k, v)
         # A node isn't above fewer leaves than those below it, so no climb comes back to the first kind.
         if nodes.where(~often).limit(1).count():
