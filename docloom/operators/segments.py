@@ -195,9 +195,34 @@ class Segment:
             score[own] += w * impact(tf, self.lengths[own], self.average)
             added, scored = added + len(own), scored + len(own)
 
+        whole: list[tuple[float, np.ndarray, np.ndarray]] = []
+
+        def add_whole() -> None:
+            """Lists of which all tiers count are added together: most are short."""
+            nonlocal added, scored
+            if whole:
+                own, tf = (np.concatenate([x[j] for x in whole]) for j in (1, 2))
+                weight = np.repeat([x[0] for x in whole], [len(x[1]) for x in whole])
+                score[:] += np.bincount(own, weight * impact(tf, self.lengths[own], self.average), len(score))
+                held[own] = True
+                added, scored = added + len(own), scored + len(own)
+                whole.clear()
+
         # While units that haven't been met can be among the best, postings are added, from the rarest terms on, tier by tier.
+        waiting = 0
         while i < len(lists) and (at or rest[i] >= least - SLACK):
             w, docs, cuts, bounds, tfs = lists[i]
+            if not at and len(docs) <= ROUND and (not prunes or w * bounds[-1] + rest[i + 1] >= least - SLACK):
+                whole.append((w, docs, tfs))
+                waiting, i = waiting + len(docs), i + 1
+                if waiting >= ROUND:
+                    add_whole()
+                    waiting = 0
+                    if prunes:
+                        least, added = max(least, kth(score[held & ~self.dead], k)), 0
+                continue
+            add_whole()
+            waiting = 0
             end = cuts[int((w * bounds + rest[i + 1] >= least - SLACK).sum())] if prunes else len(docs)
             if at < end:
                 to = min(end, cuts[min(len(cuts) - 1, int(np.searchsorted(cuts, at + ROUND - added)))]) if prunes else len(docs)
@@ -212,6 +237,7 @@ class Segment:
                 i, at = i + 1, 0
             if prunes and added >= ROUND:
                 least, added = max(least, kth(score[held & ~self.dead], k)), 0
+        add_whole()
         if prunes:
             least = max(least, kth(score[held & ~self.dead], k))
         # The others can only be overtaken by candidates: these are looked up in each tier, or among its units if they are many.
