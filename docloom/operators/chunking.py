@@ -127,11 +127,11 @@ def _places(pieces: DataFrame, step: int) -> DataFrame:
     windows = F.ceil(F.col("total") / step).alias("_n")
     if "pos" not in pieces.columns:
         counts = kept(pieces.select("doc_ord", n.alias("total")).where("total > 0"))
-        return counts.join(running_offsets(counts.select("doc_ord", windows), "doc_ord", {"first": "_n"}), "doc_ord").withColumn("at", F.lit(0).cast("long"))
+        return counts.join(running_offsets(counts.select("doc_ord", windows), "doc_ord", {"first": "_n"}, written=True), "doc_ord").withColumn("at", F.lit(0).cast("long"))
     counts = kept(pieces.select(F.struct("doc_ord", "pos").alias("place"), n.alias("n")).where("n > 0"))
-    starts = kept(running_offsets(counts, "place", {"start": "n"}).join(counts, "place").select("place.*", "start", "n"))
+    starts = kept(running_offsets(counts, "place", {"start": "n"}, written=True).join(counts, "place").select("place.*", "start", "n"))
     docs = kept(starts.groupBy("doc_ord").agg(F.min("start").alias("begin"), F.sum("n").alias("total")))
-    docs = docs.join(running_offsets(docs.select("doc_ord", windows), "doc_ord", {"first": "_n"}), "doc_ord")
+    docs = docs.join(running_offsets(docs.select("doc_ord", windows), "doc_ord", {"first": "_n"}, written=True), "doc_ord")
     return starts.join(docs, "doc_ord").select("doc_ord", "pos", (F.col("start") - F.col("begin")).alias("at"), "total", "first")
 
 

@@ -6,15 +6,17 @@ from pyspark.sql import functions as F
 from ..sources.kept import kept
 
 
-def running_offsets(counts: DataFrame, order: str, sums: dict[str, str]) -> DataFrame:
+def running_offsets(counts: DataFrame, order: str, sums: dict[str, str], written: bool = False) -> DataFrame:
     """(order, *names): for each row the sums of its columns over the rows with a smaller order, a value that doesn't repeat.
 
     sums: name -> column of counts. Rows are dealt by ranges of the order; each range is summed by itself, and only the
-    ranges' own sums, one row for each, meet in one task. Only these small columns are shuffled and written.
+    ranges' own sums, one row for each, meet in one task. Only these small columns are shuffled and written. written: counts
+    are cheap to read again, as a kept table is.
     """
     columns = [F.col(c).cast("long").alias(f"_{name}") for name, c in sums.items()]
     # Finding ranges reads the rows once more, so they are written before.
-    dealt = kept(kept(counts.select(order, *columns)).repartitionByRange(order).withColumn("_range", F.spark_partition_id()))
+    counts = counts.select(order, *columns)
+    dealt = kept((counts if written else kept(counts)).repartitionByRange(order).withColumn("_range", F.spark_partition_id()))
     before, whole = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1), dealt.groupBy("_range").agg(*(F.sum(f"_{n}").alias(f"_{n}") for n in sums))
     whole = whole.select("_range", *(F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in sums))
     own = Window.partitionBy("_range").orderBy(order)
