@@ -15,7 +15,7 @@ from ..functions import text as T
 from ..functions import vectors as V
 from ..functions.html import html_rows
 from ..operators import bm25, chunking, conflicts, retrieval
-from ..operators.blocks import parse_blocks
+from ..operators.blocks import parse_blocks, parse_pieces
 from ..sources.documents import from_table, page_content
 from ..sources.kept import kept
 from ..sources.workers import find_package, spread
@@ -97,17 +97,29 @@ def _parents(spark: SparkSession, sf_dir: str, cut: bool = False) -> DataFrame:
 _NATIONS_SQL = f"s AS ({_SUPPLIERS}), n AS (SELECT doc_ord, doc_name, r_name, n_nationkey, n_name, count(*) AS n_rows, string_agg({_ROW_SQL}, chr(10) ORDER BY s_suppkey) AS rows_text FROM s GROUP BY ALL)"
 
 
-@_query(
-    f"""WITH {_NATIONS_SQL}, b AS (
+_BLOCKS_SQL = f"""WITH {_NATIONS_SQL}, b AS (
 SELECT doc_ord, doc_name, -1 AS a, 0 AS b, 'text' AS type, 'Intro of ' || r_name AS text, 0 AS n_rows FROM n GROUP BY ALL
 UNION ALL SELECT doc_ord, doc_name, n_nationkey, 1, 'heading', n_name, 0 FROM n
 UNION ALL SELECT doc_ord, doc_name, n_nationkey, 2, 'text', 'Rows of ' || n_name, 0 FROM n
 UNION ALL SELECT doc_ord, doc_name, n_nationkey, 3, 'table', '', n_rows FROM n
 UNION ALL SELECT doc_ord, doc_name, n_nationkey, 4, 'text', 'Note of ' || n_name, 0 FROM n)
 SELECT doc_name, CAST(row_number() OVER (PARTITION BY doc_ord ORDER BY a, b) AS INTEGER) AS block_no, type, text, CAST(n_rows AS INTEGER) AS n_rows FROM b"""
-)
+
+
+@_query(_BLOCKS_SQL)
 def parse_blocks_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = parse_blocks(_syn(spark, sf_dir))
+    return _blocks_in_order(parse_blocks(_syn(spark, sf_dir)))
+
+
+@_query(_BLOCKS_SQL)
+def parse_blocks_in_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of a table stands on a line of its own, and each line is a piece."""
+    docs = _syn(spark, sf_dir)
+    lines = F.regexp_extract_all(F.replace("content", F.lit("<tr>"), F.lit("\n<tr>")), F.lit("[^\n]*\n|[^\n]+$"), F.lit(0))
+    return _blocks_in_order(parse_pieces(docs.select("doc_ord", "doc_name", F.posexplode(lines).alias("part", "content"))))
+
+
+def _blocks_in_order(blocks: DataFrame) -> DataFrame:
     number = F.row_number().over(Window.partitionBy("doc_ord").orderBy("pos"))
     return blocks.select("doc_name", number.alias("block_no"), "type", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.size("rows"), F.lit(0)).alias("n_rows"))
 
