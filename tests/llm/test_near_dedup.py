@@ -80,6 +80,14 @@ def test_every_bound_at_its_least(spark, monkeypatch, seed):
     assert {r.doc_id: r.component_id for r in found.collect()} == want
 
 
+def test_thousands_of_near_copies_of_one_text(spark):
+    """20,000 different near copies of one text, beside others: one class, whose centre is sent to every part of them."""
+    base = " ".join(f"w{i}" for i in range(60))
+    own = F.when(F.col("id") < 20_000, F.concat(F.lit(base), F.lit(" "), F.col("id"))).otherwise(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(30)), lambda i: F.hash("id", i)), " "))
+    found = near_dedup.near_duplicate_classes(spark.range(20_300, numPartitions=8).select(F.col("id").alias("doc_id"), own.alias("text")), k=3, num=85)
+    assert sorted(map(tuple, found.groupBy((F.col("doc_id") < 20_000).alias("near")).agg(F.count_distinct("component_id"), F.count("*"), F.sum(F.col("kept").cast("int"))).collect())) == [(False, 300, 300, 300), (True, 1, 20_000, 1)]
+
+
 def test_words_that_collide_in_polynomials(spark):
     words = [w for n in (10, 11, 12) for w in thue_morse(n)]
     found = near_dedup.near_duplicate_classes(spark.createDataFrame(list(enumerate(words)), "doc_id long, text string"), k=3, num=85)
