@@ -45,7 +45,7 @@ def test_stages(spark, tmp_path):
 
 
 def test_registered():
-    assert sorted(q.split("_")[0] for q in queries()) == sorted(f"op{i}" for i in range(1, 11))
+    assert sorted(q.split("_")[0] for q in queries()) == sorted(f"op{i}" for i in range(1, 14))
     assert oracle_sql().keys() < queries().keys()
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "quality", "near_dedup", "pii", "packing"]
 
