@@ -154,3 +154,47 @@ def test_questions_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(bm25, "BROADCAST_TERMS", 3)
     texts = _texts(100)
     _check(spark, bm25.index(spark.createDataFrame(texts, UNITS)), texts, QUERIES, (5,))
+
+
+def test_many_questions_of_many_terms(spark, monkeypatch):
+    """Whole texts as questions are scored together, over several segments, parts and blocks; each goes to a part once, not to each
+    segment, and only a part's k best come back."""
+    monkeypatch.setattr(bm25, "PART_SEGMENTS", 3)
+    texts = [(i, f"{t} {' '.join(f'r{i % 50}x{j}' for j in range(20))}") for i, t in _texts(300, 7)] + [(1000 + i, "w1 copy") for i in range(40)]
+    index = bm25.index(spark.createDataFrame(texts, UNITS).repartition(24))
+    assert index.rows.where("term = ''").count() == 24
+    questions = [(i, t) for i, t in texts if i % 20 == 0 and i < 1000]
+    _check(spark, index, texts, questions, (1, 5))
+    asked = spark.createDataFrame(questions, QUESTIONS)
+    assert bm25.search(index, asked, 5).count() <= len(questions) * 8 * 5
+    monkeypatch.setattr(bm25, "BROADCAST_TERMS", 100)
+    _check(spark, index, texts, questions, (5,))
+    less = index.withdraw(spark.createDataFrame([(i,) for i in range(0, 300, 3)], "id long"))
+    _check(spark, less, [x for x in texts if x[0] >= 300 or x[0] % 3], questions, (5,))
+
+
+def test_questions_of_many_terms_against_a_segment(monkeypatch):
+    """Products, sums over postings and cuts of both give what one question at a time gives, ties, withdrawn units and a small k included."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    lengths = rng.integers(20, 400, 900)
+    lengths[500:] = 50
+    lists = [np.sort(rng.choice(900, int(900 / (i + 2)) + 1, replace=False)) for i in range(80)]
+    term, docs = np.repeat(np.arange(80), [len(x) for x in lists]), np.concatenate(lists)
+    seg = segments.Segment(150.0)
+    for rows in segments.segment_rows(0, np.arange(900) * 2, lengths, pa.array([f"t{i}" for i in range(80)]), term, docs, np.ones(len(term), int)):
+        seg.add(rows)
+    seg.dead[::7] = True
+    terms = [[f"t{i}" for i in rng.choice(90, int(rng.integers(0, 30)), replace=False)] for _ in range(70)]
+    weights = [[1 + int(t[1:]) % 9 / 4 for t in own] for own in terms]
+    for scores, summed, dense in ((1 << 21, 1 << 20, 512), (5000, 700, 3), (1, 1, 0)):
+        for name, value in (("SCORES", scores), ("SUMMED", summed), ("DENSE", dense)):
+            monkeypatch.setattr(segments, name, value)
+        for k in (1, 10, 5000):
+            asked = segments.Asked(pa.array(terms, pa.list_(pa.string())), pa.array(weights, pa.list_(pa.float64())))
+            seg.best_of_many(asked, k)
+            who, ids, found = asked.found
+            for q, (own, w) in enumerate(zip(terms, weights, strict=True)):
+                want, score, _, total = seg.best(own, w, k)
+                assert ids[who == q].tolist() == want.tolist() and np.allclose(found[who == q], score) and asked.postings[q] == total
