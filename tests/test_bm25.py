@@ -198,3 +198,15 @@ def test_questions_of_many_terms_against_a_segment(monkeypatch):
             for q, (own, w) in enumerate(zip(terms, weights, strict=True)):
                 want, score, _, total = seg.best(own, w, k)
                 assert ids[who == q].tolist() == want.tolist() and np.allclose(found[who == q], score) and asked.postings[q] == total
+
+
+def test_rows_of_an_index_hold_many_terms(spark):
+    """An index of thousands of terms has a few rows for each segment; its units are cut at what T.tokens cuts at."""
+    from docloom.functions import text as T
+
+    texts = [(i, f" {' '.join(f'V{i}n{j}' for j in range(50))}　x\x1cİY\x85 z​ \t") for i in range(100)] + [(100, None), (101, "")]
+    units = spark.createDataFrame(texts, UNITS).repartition(2)
+    index = bm25.index(units)
+    assert index.rows.count() <= 6
+    want = {r.term: (r.df, r.n) for r in units.select("child_idx", F.explode(T.tokens(F.col("embed_text"))).alias("term")).groupBy("term").agg(F.count_distinct("child_idx").alias("df"), F.count("*").alias("n")).collect()}
+    assert {r.term: (r.df, r.tokens) for r in index.counts.where("term <> ''").collect()} == want and len(want) > 5000
