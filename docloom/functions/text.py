@@ -8,12 +8,13 @@ BIC = r"\b([A-Z]{4}[A-Z]{2}[A-Z0-9]{2}(?:[A-Z0-9]{3})?)\b"
 IBAN = r"\b([A-Z]{2}\d{2}[A-Z0-9]{10,30})\b"
 BROAD_WORDS = ["all", "every", "full", "complete", "entire", "list all", "download"]
 
-#: Every white-space character at either end, beyond the spaces that trim() takes.
-_ENDS = r"^(?U)[\s\x1c-\x1f]+|(?U)[\s\x1c-\x1f]+$"
+#: Every white-space character, beyond the spaces that trim() takes by itself.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, _ENDS, "")
+    """Looks at both ends only: an expression for these would be tried at each place of a long text."""
+    return F.btrim(c, F.lit(WHITE))
 
 
 def tokens(c: Column) -> Column:

@@ -15,21 +15,29 @@ _OPEN, _CLOSE = "<table", "</table>"
 
 
 def _held(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("content", F.regexp_replace(F.coalesce("content", F.lit("")), f"[{_CUT}{_HEADING}{_PIECE}]", " "))
+    content = F.coalesce("content", F.lit(""))
+    has = F.contains(content, F.lit(_CUT)) | F.contains(content, F.lit(_HEADING)) | F.contains(content, F.lit(_PIECE))
+    return docs.withColumn("content", F.when(has, F.regexp_replace(content, f"[{_CUT}{_HEADING}{_PIECE}]", " ")).otherwise(content))
+
+
+def _may_open(content: Column) -> Column:
+    """Few texts have a table; the others aren't searched for where one ends."""
+    return F.contains(content, F.lit(_OPEN[0])) & F.contains(F.lower(content), F.lit(_OPEN))
 
 
 def _segments(content: Column) -> Column:
     """Texts and closed tables in turn; texts may be empty."""
-    return F.split(F.regexp_replace(content, f"(?is)({_OPEN}.*?{_CLOSE})", f"{_CUT}$1{_CUT}"), _CUT)
+    cut = F.split(F.regexp_replace(content, f"(?is)({_OPEN}.*?{_CLOSE})", f"{_CUT}$1{_CUT}"), _CUT)
+    return F.when(_may_open(content), cut).otherwise(F.array(content))
 
 
 def _pieces(text: Column) -> Column:
     """Runs of lines and headings, which start with a mark, in turn; empty where nothing stands before, between or behind them."""
     marked = F.transform(
-        F.split(text, _LINE_ENDS),
-        lambda x: F.when(strip(x) == "", F.lit(_PIECE)).when(strip(x).startswith("#"), F.concat(F.lit(_PIECE + _HEADING), strip(F.regexp_replace(strip(x), "^#+", "")), F.lit(_PIECE))).otherwise(strip(x)),
+        F.transform(F.split(text, _LINE_ENDS), strip),
+        lambda x: F.when(x == "", F.lit(_PIECE)).when(x.startswith("#"), F.concat(F.lit(_PIECE + _HEADING), strip(F.regexp_replace(x, "^#+", "")), F.lit(_PIECE))).otherwise(x),
     )
-    return F.transform(F.split(F.array_join(marked, "\n"), _PIECE), lambda p: F.regexp_replace(p, r"^\n+|\n+$", ""))
+    return F.transform(F.split(F.array_join(marked, "\n"), _PIECE), lambda p: F.btrim(p, F.lit("\n")))
 
 
 def parse_blocks(docs: DataFrame, keep_repeated_headers: bool = False) -> DataFrame:
@@ -52,7 +60,7 @@ def parse_blocks(docs: DataFrame, keep_repeated_headers: bool = False) -> DataFr
     texts = texts.select(
         "doc_ord", "doc_name", "seg", "sub", F.when(heads, "heading").otherwise("text").alias("type"), F.when(heads, F.substring("p", 2, 1 << 30)).otherwise(F.col("p")).alias("text"), none.alias("rows")
     )
-    tables = parts(held.where(F.col("content").rlike("(?i)<table"))).where(is_table).select("doc_ord", "doc_name", "seg", F.lit(0).alias("sub"), F.lit("table").alias("type"), F.lit(None).cast("string").alias("text"), html_rows(F.col("part"), keep_repeated_headers).alias("rows"))
+    tables = parts(held.where(_may_open(F.col("content")))).where(is_table).select("doc_ord", "doc_name", "seg", F.lit(0).alias("sub"), F.lit("table").alias("type"), F.lit(None).cast("string").alias("text"), html_rows(F.col("part"), keep_repeated_headers).alias("rows"))
     found = texts.unionByName(tables.where(F.size("rows") > 0))
     return found.select("doc_ord", "doc_name", (F.col("seg").cast("long") * (1 << 32) + F.col("sub")).alias("pos"), "type", "text", "rows")
 

@@ -94,3 +94,16 @@ def test_cells_and_headers(spark):
 def test_vectors(spark):
     assert one(spark, [3.0, 4.0], vectors.normalise, "array<float>") == [0.6, 0.8]
     assert one(spark, [0.0, 0.0], vectors.normalise, "array<float>") == [0.0, 0.0]
+
+
+def test_strip_looks_at_the_ends_only(spark):
+    """Every white-space character goes at both ends, none in between; a long run of them inside is no work of its square."""
+    import time
+
+    white = [chr(c) for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+    rows = [(f"{w}{white[i - 1]}a{w}b{w}\n{w}", f"a{w}b") for i, w in enumerate(white)] + [("".join(white), ""), ("​x﻿", "​x﻿"), (None, None)]
+    found = spark.createDataFrame(rows, "x string, want string").select(text.strip(F.col("x")).alias("x"), "want").collect()
+    assert all(r.x == r.want for r in found)
+    started = time.monotonic()
+    assert spark.range(1).select(F.length(text.strip(F.concat(F.lit("a"), F.repeat(F.lit(" "), F.lit(400_000)), F.lit("b"))))).first()[0] == 400_002
+    assert time.monotonic() - started < 20
