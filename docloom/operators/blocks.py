@@ -55,7 +55,7 @@ def parse_blocks(docs: DataFrame, keep_repeated_headers: bool = False) -> DataFr
         return rows.select("doc_ord", "doc_name", F.posexplode(_segments(F.col("content"))).alias("seg", "part")).withColumn("part", strip(F.col("part"))).where("part <> ''")
 
     pieces = F.filter(_pieces(F.col("part")), lambda p: p != "")
-    texts = parts(held).where(~is_table).select("doc_ord", "doc_name", "seg", F.posexplode(pieces).alias("sub", "p"))
+    texts = parts(held).where(~is_table).select("doc_ord", "doc_name", "seg", F.posexplode_outer(pieces).alias("sub", "p")).where("p is not null")
     heads = F.col("p").startswith(_HEADING)
     texts = texts.select(
         "doc_ord", "doc_name", "seg", "sub", F.when(heads, "heading").otherwise("text").alias("type"), F.when(heads, F.substring("p", 2, 1 << 30)).otherwise(F.col("p")).alias("text"), none.alias("rows")

@@ -120,15 +120,20 @@ def sliding_window(blocks: DataFrame, window: int = WINDOW_WORDS, overlap: int =
     return windows_of(blocks.select("doc_ord", "doc_name", "pos", flat.alias("content")), window, overlap)
 
 
+def _with_words(pieces: DataFrame) -> DataFrame:
+    """Those of which more than white space is left. A condition on the words themselves would cut each text twice."""
+    return pieces.where(T.strip(F.col("content")) != "")
+
+
 def _places(pieces: DataFrame, step: int) -> DataFrame:
     """(doc_ord, pos, at, total, first): where a piece's words start in its document, how many that has, and the number of its
     first window. Only counts are shuffled and summed."""
     n = F.size(T.words(F.col("content"))).cast("long")
     windows = F.ceil(F.col("total") / step).alias("_n")
     if "pos" not in pieces.columns:
-        counts = kept(pieces.select("doc_ord", n.alias("total")).where("total > 0"))
+        counts = kept(_with_words(pieces).select("doc_ord", n.alias("total")))
         return counts.join(running_offsets(counts.select("doc_ord", windows), "doc_ord", {"first": "_n"}, written=True), "doc_ord").withColumn("at", F.lit(0).cast("long"))
-    counts = kept(pieces.select(F.struct("doc_ord", "pos").alias("place"), n.alias("n")).where("n > 0"))
+    counts = kept(_with_words(pieces).select(F.struct("doc_ord", "pos").alias("place"), n.alias("n")))
     starts = kept(running_offsets(counts, "place", {"start": "n"}, written=True).join(counts, "place").select("place.*", "start", "n"))
     docs = kept(starts.groupBy("doc_ord").agg(F.min("start").alias("begin"), F.sum("n").alias("total")))
     docs = docs.join(running_offsets(docs.select("doc_ord", windows), "doc_ord", {"first": "_n"}, written=True), "doc_ord")
@@ -145,12 +150,12 @@ def windows_of(pieces: DataFrame, window: int = WINDOW_WORDS, overlap: int = OVE
     step, keys = max(1, window - overlap), [c for c in ("doc_ord", "pos") if c in pieces.columns]
     # What is known of the pieces is written, so it is joined by broadcast where it is small, and no text is shuffled.
     known = kept(_places(pieces, step))
-    words = pieces.select(*keys, "doc_name", T.words(F.col("content")).alias("w")).where(F.size("w") > 0).join(known, keys)
+    words = _with_words(pieces).select(*keys, "doc_name", T.words(F.col("content")).alias("w")).join(known, keys)
     end = F.col("at") + F.size("w")
     lowest = F.greatest(F.floor((F.col("at") - window) / step) + 1, F.lit(0))
     start = lambda k: F.greatest(k * step, F.col("at"))
     part = lambda k: F.struct(k.alias("k"), F.array_join(F.slice("w", (start(k) - F.col("at") + 1).cast("int"), (F.least(k * step + window, end) - start(k)).cast("int")), " ").alias("piece"))
-    cut = words.where(lowest <= F.floor((end - 1) / step)).select("doc_ord", "doc_name", "first", "at", "total", end.alias("end"), F.inline(F.transform(F.sequence(lowest, F.floor((end - 1) / step)), part)))
+    cut = words.where(lowest <= F.floor((end - 1) / step)).select("doc_ord", "doc_name", "first", "at", "total", end.alias("end"), F.inline_outer(F.transform(F.sequence(lowest, F.floor((end - 1) / step)), part)))
     if "pos" in keys:
         whole = (F.col("k") * step >= F.col("at")) & (F.least(F.col("k") * step + window, F.col("total")) <= F.col("end"))
         parts = cut.where(~whole).groupBy("doc_ord", "k").agg(F.first("doc_name").alias("doc_name"), F.first("first").alias("first"), F.array_join(_listed("at", "piece"), " ").alias("piece"))
@@ -167,7 +172,7 @@ def paragraph(blocks: DataFrame) -> DataFrame:
     named = blocks.withColumn("heading", F.lit(""))
     pieces = F.filter(F.transform(F.split("text", "\n\n"), T.strip), lambda p: p != "")
     empty = F.expr("cast(array() as array<string>)")
-    texts = named.where("type <> 'table'").select("doc_ord", "doc_name", "pos", "heading", F.posexplode(pieces).alias("sub", "piece"))
+    texts = named.where("type <> 'table'").select("doc_ord", "doc_name", "pos", "heading", F.posexplode_outer(pieces).alias("sub", "piece")).where("piece is not null")
     texts = texts.select("doc_ord", "doc_name", F.struct("pos", "sub").alias("at"), F.lit("narrative").alias("type"), "heading", F.array("piece").alias("rows"))
     tables = named.where("type = 'table'").select("doc_ord", "doc_name", F.struct("pos", F.lit(0).alias("sub")).alias("at"), F.lit("table").alias("type"), "heading", F.transform("rows", T.flatten_row).alias("rows"))
     return _numbered(texts.unionByName(tables).withColumn("preamble", F.lit("")).withColumn("notes", empty), "at")

@@ -48,3 +48,13 @@ def test_a_document_of_fifty_million_words(spark):
     seen = found.agg(F.count("*"), F.count_distinct("parent_id"), F.max("parent_id"), F.sum("n"), F.max("n"), F.sum((F.col("first") == F.hex(F.floor(F.col("parent_id") * 120 / each))).cast("int"))).first()
     assert tuple(seen[:3]) == (total, total, total - 1) and seen[4] == 150 and seen[5] == total
     assert seen[3] == sum(min(150, n * each - a) for a in range(0, n * each, 120))
+
+
+def test_words_of_a_text_are_cut_once(spark):
+    """No condition on the words makes the optimizer cut them again, before a shuffle or behind it."""
+    from docloom.operators import chunking
+
+    docs = spark.createDataFrame([(0, "d", "a b c"), (1, "e", " \n"), (2, "f", None)], "doc_ord long, doc_name string, content string")
+    found = chunking.windows_of(docs.repartition(2))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    assert [(r.doc_ord, r.parent_id, r.rows) for r in found.collect()] == [(0, 0, ["a b c"])]
