@@ -66,7 +66,7 @@ class Index:
 
     def add(self, units: DataFrame, id_col: str = "child_idx", text_col: str = "embed_text") -> "Index":
         """The index of these units, too, whose ids aren't in it. Only they are read; the old index stays as it is."""
-        more = kept(S.build_rows(units, id_col, text_col, self.version + 1))
+        more = kept(S.build_rows(units, id_col, text_col, self.version + 1), S.FILE_ROWS)
         return self._with(_deltas(more), rows=self.rows.unionByName(more), version=self.version + 1)
 
     def withdraw(self, ids: DataFrame) -> "Index":
@@ -76,7 +76,7 @@ class Index:
         gone = units.join(ids.select(F.col("id").cast("long")).distinct(), "id").join(self.withdrawn, ["segment", "id"], "left_anti")
         gone = kept(gone.select("segment", "id", "doc", F.get("lengths", F.col("doc")).alias("dl")))
         posted = self.rows.where(F.col("term").isNull()).join(gone.select("segment").distinct(), "segment", "left_semi")
-        posted = posted.select("segment", "counts", "docs", "tfs").mapInArrow(S.postings, "segment long, term string, doc int, tf int")
+        posted = posted.select("segment", "words", "dfs", "docs", "tfs").mapInArrow(S.postings, "segment long, term string, doc int, tf int")
         posted = posted.join(gone, ["segment", "doc"]).groupBy("term").agg((-F.count("*")).alias("df"), (-F.sum("tf")).alias("tokens"))
         units = gone.groupBy(F.lit(S.UNITS).alias("term")).agg((-F.count("*")).alias("df"), (-F.sum("dl")).alias("tokens"))
         return self._with(posted.unionByName(units), withdrawn=self.withdrawn.unionByName(gone.select("segment", "id")))
@@ -102,7 +102,7 @@ class Index:
 
         rows = _with_withdrawn(self.rows, self.withdrawn).join(bins, "segment")
         rows = rows.repartition("bin").sortWithinPartitions("bin", "segment", "kind")
-        return replace(self, rows=kept(rows.mapInArrow(run, S.SCHEMA)), withdrawn=self.withdrawn.limit(0), version=version)
+        return replace(self, rows=kept(rows.mapInArrow(run, S.SCHEMA), S.FILE_ROWS), withdrawn=self.withdrawn.limit(0), version=version)
 
 
 def _raw(n: int):
@@ -110,11 +110,12 @@ def _raw(n: int):
 
 
 def _deltas(rows: DataFrame) -> DataFrame:
-    return rows.select(F.inline("counts")).groupBy("term").agg(F.sum("df").alias("df"), F.sum("tokens").alias("tokens"))
+    counted = rows.select("words", "dfs", "sums").mapInArrow(S.counts, "term string, df int, tokens long")
+    return counted.groupBy("term").agg(F.sum("df").alias("df"), F.sum("tokens").alias("tokens"))
 
 
 def _with_withdrawn(rows: DataFrame, withdrawn: DataFrame) -> DataFrame:
-    """With kind, by which a segment's rows are read: its units, those withdrawn (null counts), its postings."""
+    """With kind, by which a segment's rows are read: its units, those withdrawn (null words), its postings."""
     listed = withdrawn.groupBy("segment").agg(F.collect_list("id").alias("ids"))
     listed = listed.select(*(F.col(f.name) if f.name in ("segment", "ids") else F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields), F.lit(1).alias("kind"))
     return rows.withColumn("kind", F.when(F.col("term") == S.UNITS, 0).otherwise(2)).unionByName(listed)
@@ -122,7 +123,7 @@ def _with_withdrawn(rows: DataFrame, withdrawn: DataFrame) -> DataFrame:
 
 def index(units: DataFrame, id_col: str = "child_idx", text_col: str = "embed_text") -> Index:
     """Segments are written once, and all statistics come from them. Ids are integers that don't repeat."""
-    rows = kept(S.build_rows(units, id_col, text_col))
+    rows = kept(S.build_rows(units, id_col, text_col), S.FILE_ROWS)
     none = rows.sparkSession.range(0).select(F.col("id").alias("segment"), "id")
     return Index(rows, none, rows, 0, 0.0, 0.0, 0)._counted(_deltas(rows))
 
@@ -201,8 +202,9 @@ def search(indexed: Index, questions: DataFrame, k: int) -> DataFrame:
     # One row for each segment is numbered.
     part = units.select("segment", ((F.row_number().over(Window.orderBy("segment")) - 1) % parts).alias("part"))
     rows = _with_withdrawn(indexed.rows, indexed.withdrawn).join(F.broadcast(part), "segment")
-    rows = rows.select("part", *indexed.rows.columns, "kind", F.lit(None).cast(kind).alias("qid"), F.lit(None).cast("array<string>").alias("terms"), F.lit(None).cast("array<double>").alias("weights"))
-    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in indexed.rows.schema.fields if f.name != "segment"]
+    columns = [f for f in indexed.rows.schema.fields if f.name != S.UNSEARCHED]
+    rows = rows.select("part", *(f.name for f in columns), "kind", F.lit(None).cast(kind).alias("qid"), F.lit(None).cast("array<string>").alias("terms"), F.lit(None).cast("array<double>").alias("weights"))
+    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in columns if f.name != "segment"]
     visits = asked.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(_QUESTIONS).alias("segment"), *empty, F.lit(3).alias("kind"), "qid", "terms", "weights")
     dealt = rows.unionByName(visits).repartitionById(parts, "part").sortWithinPartitions("segment", "kind")
     arrow = pa.int64() if kind.typeName() == "long" else pa.int32() if kind.typeName() == "integer" else pa.string()

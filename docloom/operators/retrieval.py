@@ -34,9 +34,15 @@ def _block_top_k(k: int):
             order = np.argsort(ids, kind="stable")
             ids, u, q = ids[order], rows_of(units["vector"])[order], rows_of(questions["vector"])
             for at in range(0, len(q), 256):
-                near = q[at : at + 256] @ u.T
-                best = np.argsort(-np.round(near, DECIMALS), axis=1, kind="stable")[:, :k]
-                out.append((np.repeat(qids[at : at + 256], best.shape[1]), ids[best].ravel(), np.take_along_axis(near, best, axis=1).ravel()))
+                near = np.round(q[at : at + 256] @ u.T, DECIMALS)
+                # Only what isn't under the k-th is sorted; what isn't a number comes last.
+                by = np.fmax(near, -2.0)
+                least = np.partition(by, len(ids) - k, axis=1)[:, len(ids) - k, None] if k < len(ids) else -2.0
+                row, unit = np.nonzero(by >= least)
+                best = np.lexsort((unit, -by[row, unit], row))
+                best = best[np.arange(len(row)) - np.searchsorted(row, row) < k]
+                row, unit = row[best], unit[best]
+                out.append((qids[at + row], ids[unit], near[row, unit]))
         qid, id_, score = (np.concatenate(x) for x in zip(*out, strict=True))
         return pa.table({"qid": pa.array(qid, pa.int64()), "id": pa.array(id_, pa.int64()), "score": pa.array(score, pa.float64())})
 

@@ -37,13 +37,15 @@ SCORES, SUMMED, DENSE = 1 << 21, 1 << 20, 512
 #: What a posting costs, as a number of multiplications in a product.
 POSTING_COST = 128
 
-#: counts: one for each term; docs, tfs and what bounds the tiers: those of all terms, one behind another, as bytes, which
-#: move whole; docs: places in the segment. term is null but in the row of units, which has that term only: df is their number, ids
-#: and lengths are theirs, and the rest is empty.
-SCHEMA = "segment long, term string, counts array<struct<term: string, df: int, tokens: long>>, docs binary, tfs binary, tops binary, leasts binary, highest binary, ids array<long>, lengths array<int>"
-COLUMNS = ["segment", "term", "counts", "docs", "tfs", "tops", "leasts", "highest", "ids", "lengths"]
+#: words: a row's terms, each on a line; dfs and sums: in how many units each is, and how often; docs, tfs and what bounds the tiers:
+#: those of all terms, one behind another. All of these move whole, as text and bytes; docs: places in the segment. term is
+#: null but in the row of units, which has that term only: its df is their number, ids and lengths are theirs, and the rest is empty.
+SCHEMA = "segment long, term string, words string, dfs binary, sums binary, docs binary, tfs binary, tops binary, leasts binary, highest binary, ids array<long>, lengths array<int>"
+COLUMNS = ["segment", "term", "words", "dfs", "sums", "docs", "tfs", "tops", "leasts", "highest", "ids", "lengths"]
 #: What the bytes are.
-KINDS = {"docs": "<i4", "tfs": "<i4", "tops": "<i4", "leasts": "<f8", "highest": "<f8"}
+KINDS = {"dfs": "<i4", "sums": "<i8", "docs": "<i4", "tfs": "<i4", "tops": "<i4", "leasts": "<f8", "highest": "<f8"}
+#: What a search doesn't need, and the rows of a file at most: a file's rows are read at once.
+UNSEARCHED, FILE_ROWS = "sums", 64
 
 
 def segment_number(version: int, task: int) -> int:
@@ -114,12 +116,12 @@ def segment_rows(segment: int, ids: np.ndarray, lengths: np.ndarray, terms: pa.A
         yield _row(segment, None, terms.take(pa.array(some)), df[some], total[some], *(np.concatenate(x) for x in zip(*lists, strict=True)))
 
 
-def _row(segment: int, term: str | None, terms: pa.Array, dfs, tokens, docs, tfs, tops, leasts, highest, ids=(), lengths=()) -> pa.RecordBatch:
-    one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-    counts = pa.StructArray.from_arrays([terms.cast(pa.string()), pa.array(np.asarray(dfs, np.int64), pa.int32()), pa.array(np.asarray(tokens, np.int64), pa.int64())], names=["term", "df", "tokens"])
-    blobs = [pa.array([x.astype(k).tobytes()], pa.binary()) for x, k in zip((docs, tfs, tops, leasts, highest), KINDS.values(), strict=True)]
-    own = [pa.array(np.asarray(x, np.int64), k) for x, k in ((ids, pa.int64()), (lengths, pa.int32()))]
-    return pa.RecordBatch.from_arrays([pa.array([segment], pa.int64()), pa.array([term], pa.string()), one(counts), *blobs, *map(one, own)], names=COLUMNS)
+def _row(segment: int, term: str | None, terms: pa.Array, dfs, sums, docs, tfs, tops, leasts, highest, ids=(), lengths=()) -> pa.RecordBatch:
+    # No term holds white space.
+    words = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(terms)], pa.int32()), terms.cast(pa.string())), "\n")
+    blobs = [pa.array([np.asarray(x).astype(k).tobytes()], pa.binary()) for x, k in zip((dfs, sums, docs, tfs, tops, leasts, highest), KINDS.values(), strict=True)]
+    own = [pa.array([np.asarray(x, np.int64)], pa.list_(k)) for x, k in ((ids, pa.int64()), (lengths, pa.int32()))]
+    return pa.RecordBatch.from_arrays([pa.array([segment], pa.int64()), pa.array([term], pa.string()), words, *blobs, *own], names=COLUMNS)
 
 
 def _bytes_of(rows: pa.RecordBatch, name: str, i: int) -> np.ndarray:
@@ -181,12 +183,20 @@ def kth(scores: np.ndarray, k: int) -> float:
 def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of SCHEMA to rows (segment, term, doc, tf)."""
     for batch in batches:
+        words = pc.split_pattern(batch["words"], "\n")
         for i in range(len(batch)):
-            counts = batch["counts"][i].values.flatten()
-            terms = counts[0].take(pa.array(np.repeat(np.arange(len(counts[0])), counts[1].to_numpy())))
+            terms = words[i].values.take(pa.array(np.repeat(np.arange(len(words[i])), _bytes_of(batch, "dfs", i))))
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(terms), batch["segment"][i].as_py())), terms, *(pa.array(_bytes_of(batch, c, i)) for c in ("docs", "tfs"))], names=["segment", "term", "doc", "tf"])
 
 
+def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of SCHEMA to rows (term, df, tokens) of each segment."""
+    for batch in batches:
+        if len(batch):
+            df, tokens = (np.concatenate([_bytes_of(batch, c, i) for i in range(len(batch))]) for c in ("dfs", "sums"))
+            yield pa.RecordBatch.from_arrays([pc.split_pattern(batch["words"], "\n").flatten(), pa.array(df), pa.array(tokens)], names=["term", "df", "tokens"])
+
+
 class Asked:
     """Questions that are scored together: terms and weights are lists, one for each."""
 
@@ -221,17 +231,17 @@ class Segment:
         self.lists: dict[str, tuple] = {}
 
     def add(self, rows: pa.RecordBatch) -> None:
-        """Rows of SCHEMA, that of the units before the others, but null counts: ids are units that have been withdrawn."""
+        """Rows of SCHEMA, that of the units before the others, but null words: ids are units that have been withdrawn."""
         own = lambda c, i: rows[c][i].values.to_numpy(zero_copy_only=False)
+        words = pc.split_pattern(rows["words"], "\n")
         for i, term in enumerate(rows["term"].to_pylist()):
-            if not rows["counts"][i].is_valid:
+            if not words[i].is_valid:
                 self.dead |= np.isin(self.ids, own("ids", i))
             elif term == UNITS:
                 self.ids, self.lengths = own("ids", i), own("lengths", i).astype(np.int64)
                 self.dead = np.zeros(len(self.ids), bool)
             else:
-                words, df, _ = rows["counts"][i].values.flatten()
-                self._rows.append((words, df.to_numpy(), *(_bytes_of(rows, c, i) for c in KINDS)))
+                self._rows.append((words[i].values, *(_bytes_of(rows, c, i) for c in KINDS if c != UNSEARCHED)))
 
     def flat(self) -> tuple:
         """Terms, where the postings of each start and the last end, the same of tiers, and postings and tiers of all terms."""

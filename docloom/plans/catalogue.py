@@ -506,7 +506,8 @@ def hybrid_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = vectors.where("vec_id % 50 = 0").join(vectors.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next")), "vec_id")
     asked = both.select(F.col("vec_id").alias("child_idx"), F.zip_with("embedding", "next", lambda a, b: a.cast("double") + b.cast("double")).alias("vector"))
     asked = asked.join(_units(spark, sf_dir), "child_idx").select(F.col("child_idx").alias("qid"), F.col("embed_text").alias("question"), "vector")
-    hits = retrieval.retrieve(kept(asked), units, "hybrid", K)
+    # Texts are indexed where they lie, not behind the join with their vectors.
+    hits = retrieval.retrieve(kept(asked), units, "hybrid", K, bm25.index(_units(spark, sf_dir)))
     return retrieval.gate(hits, 0.75).select("qid", "id", F.round("score", 9).alias("score"), "rank", "best_score", "blocked")
 
 

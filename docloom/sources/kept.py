@@ -26,11 +26,12 @@ def _own(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/docloom/{spark.sparkContext.applicationId}"
 
 
-def kept(df: DataFrame) -> DataFrame:
+def kept(df: DataFrame, file_rows: int = 0) -> DataFrame:
     """The same rows, written once as Parquet and read back: no lineage, so later plans stay small and read only the columns
-    they need, and a lost executor costs no second call of a model. They stay until release() or their releasing() is over."""
+    they need, and a lost executor costs no second call of a model. They stay until release() or their releasing() is over.
+    file_rows: a file's rows at most, if not 0, for rows of megabytes, since a reader holds thousands of a file's rows at a time."""
     path = f"{_own(df.sparkSession)}/{'/'.join(_scopes)}/kept-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("maxRecordsPerFile", file_rows).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

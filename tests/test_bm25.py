@@ -210,3 +210,17 @@ def test_rows_of_an_index_hold_many_terms(spark):
     assert index.rows.count() <= 6
     want = {r.term: (r.df, r.n) for r in units.select("child_idx", F.explode(T.tokens(F.col("embed_text"))).alias("term")).groupBy("term").agg(F.count_distinct("child_idx").alias("df"), F.count("*").alias("n")).collect()}
     assert {r.term: (r.df, r.tokens) for r in index.counts.where("term <> ''").collect()} == want and len(want) > 5000
+
+
+def test_files_of_an_index_are_small(spark, monkeypatch):
+    """A reader holds a file's rows at once, and an index has rows of megabytes: no file has many of them, and no row has lists of
+    its terms, which are slow to move."""
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(segments, "FILE_ROWS", 2, raising=False)
+    texts = _texts(900, 4)
+    index = bm25.index(spark.createDataFrame(texts, UNITS).coalesce(1))
+    files = index.rows.inputFiles()
+    assert len(files) > 1 and max(pq.read_metadata(f.removeprefix("file://")).num_rows for f in files) <= 2
+    assert {f.name for f in index.rows.schema.fields if f.dataType.typeName() == "array"} == {"ids", "lengths"}
+    _check(spark, index, texts, QUERIES, (5,))

@@ -50,3 +50,13 @@ def test_entry(spark):
     df = __spark_entry__.entry(spark)
     assert df.columns == ["qid", "best_score", "blocked", "reason", "prompt", "citation"]
     assert df.limit(1).count() == 1
+
+
+def test_hybrid_gate_indexes_texts_where_they_lie(spark, monkeypatch):
+    """What is indexed hasn't been joined with its vectors, which would move every text."""
+    from docloom.operators import bm25
+
+    seen, index = [], bm25.index
+    monkeypatch.setattr(bm25, "index", lambda units, *a: seen.append(units) or index(units, *a))
+    assert catalogue.QUERIES["hybrid_gate"](spark, str(SF)).count()
+    assert len(seen) == 1 and "Join" not in seen[0]._jdf.queryExecution().optimizedPlan().toString()

@@ -72,3 +72,21 @@ def test_no_bound_is_under_a_cosine():
     asked /= np.linalg.norm(asked, axis=1, keepdims=True)
     bounds = cells.bounds(asked)
     assert all((asked @ rows[cell == i].T).max(axis=1)[j] <= bounds[j, i] + 1e-9 for i in range(9) for j in range(50))
+
+
+def test_a_block_keeps_ties_by_id_and_what_is_no_number_last():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    vectors = rng.integers(-1, 2, (500, 3)).astype(float)
+    vectors[::50] = np.nan
+    table = lambda name, rows: pa.table({name: pa.array(np.arange(len(rows))[::-1]), "vector": pa.array(rows.tolist(), pa.list_(pa.float64()))})
+    units, questions = vectors[::-1], vectors[1:300]
+    for k in (1, 7, 495, 600):
+        found = retrieval._block_top_k(k)(table("id", units), table("qid", questions)).to_pydict()
+        rows = list(zip(found["qid"], found["id"], strict=True))
+        assert len(rows) == len(set(rows)) == len(questions) * min(k, 500)
+        near = np.round(pivots.rows_of(table("q", questions)["vector"]) @ pivots.rows_of(table("u", vectors)["vector"]).T, retrieval.DECIMALS)
+        for n in (0, 5, 298):
+            want = np.argsort(-near[n], kind="stable")[:k]
+            assert [i for q, i in rows if q == len(questions) - 1 - n] == want.tolist()
